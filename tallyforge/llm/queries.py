@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_cascade, sharding
+from . import bpe, dart_minhash, mixing, quality_cascade, sharding, simple8b, tiff
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(documents(spark, sf_dir))
 
@@ -21,12 +27,31 @@ def op2_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(documents(spark, sf_dir))
 
 
+def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digest(documents(spark, sf_dir))
+
+
+def op5_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.digest(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.digest(documents(spark, sf_dir))
+
+
 def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade.digest(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sampled_splitters, op2_hypergeometric_mix, op10_rule_cascade)
+    f.__name__: f
+    for f in (
+        op1_sampled_splitters, op2_hypergeometric_mix, op4_tiff_pages, op5_simple8b_tokens, op6_byte_bpe, op9_dart_minhash, op10_rule_cascade,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_rule_cascade": quality_cascade.ORACLE_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dart_minhash, mixing, quality_cascade, sharding, simple8b, tiff
+from . import bpe, dart_minhash, fuzzy_lines, mixing, quality_cascade, sharding, simple8b, tiff
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.digest(documents(spark, sf_dir))
+
+
 def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.digest(documents(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_sampled_splitters, op2_hypergeometric_mix, op4_tiff_pages, op5_simple8b_tokens, op6_byte_bpe, op9_dart_minhash, op10_rule_cascade,
+        op1_sampled_splitters, op2_hypergeometric_mix, op4_tiff_pages, op5_simple8b_tokens, op6_byte_bpe, op8_fuzzy_lines, op9_dart_minhash, op10_rule_cascade,
     )
 }
 

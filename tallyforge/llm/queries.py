@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dart_minhash, fuzzy_lines, mixing, quality_cascade, sharding, simple8b, tiff
+from . import bpe, dart_minhash, fuzzy_lines, kneser_ney, mixing, quality_cascade, sharding, simple8b, suffix_repeats, tiff
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(documents(spark, sf_dir))
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digest(documents(spark, sf_dir))
 
@@ -39,6 +43,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.digest(documents(spark, sf_dir))
+
+
 def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.digest(documents(spark, sf_dir))
 
@@ -54,7 +62,8 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_sampled_splitters, op2_hypergeometric_mix, op4_tiff_pages, op5_simple8b_tokens, op6_byte_bpe, op8_fuzzy_lines, op9_dart_minhash, op10_rule_cascade,
+        op1_sampled_splitters, op2_hypergeometric_mix, op3_kneser_ney, op4_tiff_pages, op5_simple8b_tokens, op6_byte_bpe,
+        op7_suffix_repeats, op8_fuzzy_lines, op9_dart_minhash, op10_rule_cascade,
     )
 }
 

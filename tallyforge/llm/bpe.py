@@ -184,3 +184,19 @@ def decoded_digest(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
 def digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return decoded_digest(encode_column(docs.select("doc_id", "text"), tokenizer_path), tokenizer_path)
+
+
+def decode_column(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
+    """``encoded`` (with n_tokens and ids) with the column ``decoded``."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = ByteBPE(tokenizer_path)
+        for b in batches:
+            for k in range(0, len(b), 256):
+                some = b.slice(k, 256)
+                ids = np.frombuffer(b"".join(some.column("ids").to_pylist()), "<u4").astype(np.int64)
+                texts = bpe.decode(ids, some.column("n_tokens").to_numpy())
+                yield pa.RecordBatch.from_arrays([some.column("row"), pa.array([t.decode() for t in texts], pa.string())], names=["row", "decoded"])
+
+    packed = encoded.select(F.struct(*[F.col(f"`{c}`") for c in encoded.columns if c != "decoded"]).alias("row"), "n_tokens", "ids")
+    return packed.mapInArrow(decode, f"row {packed.schema['row'].dataType.simpleString()}, decoded string").select("row.*", "decoded")

@@ -47,7 +47,7 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def resolve(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], centres: int = 8) -> DataFrame:
+def resolve(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], centres: int = 32) -> DataFrame:
     """Links (a, b) that join every two ids of a bucket that ``verify`` would link, directly
     or through others; ``bands`` holds (key, id).
 
@@ -60,19 +60,22 @@ def resolve(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], centres:
     members = staged(bands.join(ends.select("key", "lo"), "key").distinct(), "members")
     pairs = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
     left = members.where("id <> lo").select("key", "id")
-    links = None
+    links = labels = None
     while True:
         found = staged(verify(pairs.distinct()), "verified")
-        links = found if links is None else staged(links.unionByName(found).distinct(), "verified")
-        labels = components(links)
+        links = found if links is None else links.unionByName(found)
+        labels = components(found if labels is None else found.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))
         open_ = left.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
         mixed = open_.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
         open_ = staged(open_.join(mixed, "key"), "open")
         if open_.isEmpty():
-            return links
-        # Spark limits the rows of each key before it shuffles them for this window
-        lowest = Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id")
-        c = open_.withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= centres)
+            return links.distinct()
+        # ids of the components with the fewest ids in the bucket come first: once they are
+        # through, one component is left.  Spark limits the rows of each key before it
+        # shuffles them for this window.
+        sizes = open_.groupBy("key", "label").agg(F.count("*").alias("size"))
+        lowest = Window.partitionBy("key").orderBy("size", F.xxhash64("key", "id"), "id")
+        c = open_.join(sizes, ["key", "label"]).withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= centres)
         c = staged(c.select("key", F.col("id").alias("c"), F.col("label").alias("cl")), "centres")
         pairs = open_.join(c, "key").where("label <> cl").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
         left = open_.select("key", "id").join(c.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti")

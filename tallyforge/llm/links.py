@@ -33,11 +33,9 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(large.distinct(), "links")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        edges = staged(small.distinct(), "links")
+        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = staged(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = _mark(edges)
         if now == before:
             break
@@ -74,7 +72,8 @@ def resolve(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], centres:
         # through, one component is left.  Spark limits the rows of each key before it
         # shuffles them for this window.
         sizes = open_.groupBy("key", "label").agg(F.count("*").alias("size"))
-        lowest = Window.partitionBy("key").orderBy("size", F.xxhash64("key", "id"), "id")
+        # Ordered by id alone, buckets that share ids share centres, and pairs repeat less.
+        lowest = Window.partitionBy("key").orderBy("size", F.xxhash64("id"), "id")
         c = open_.join(sizes, ["key", "label"]).withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= centres)
         c = staged(c.select("key", F.col("id").alias("c"), F.col("label").alias("cl")), "centres")
         pairs = open_.join(c, "key").where("label <> cl").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))

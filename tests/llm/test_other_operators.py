@@ -201,11 +201,11 @@ def test_components_and_buckets(spark):
     got = {r["id"]: r["label"] for r in links.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     label = union(200, pairs)
     assert all(got[x] == label[x] for p in pairs if p[0] != p[1] for x in p)
-    # one bucket of 120 ids in 40 chains: all links that join components are found
-    ids = spark.range(120).select(F.lit(1).cast("long").alias("key"), "id")
-    found = links.resolve(ids, lambda p: p.where("a % 40 = b % 40 AND abs(a - b) = 40"), centres=4)
+    # one bucket of 40 ids in 10 chains: all links that join components are found
+    ids = spark.range(40).select(F.lit(1).cast("long").alias("key"), "id")
+    found = links.resolve(ids, lambda p: p.where("a % 10 = b % 10 AND abs(a - b) = 10"), centres=12)
     got = {r["id"]: r["label"] for r in links.components(found).collect()}
-    assert all(got[i] == i % 40 for i in range(120))
+    assert all(got[i] == i % 10 for i in range(40))
 
 
 @pytest.mark.parametrize("run", [tiff.digest, dart_minhash.digest, suffix_repeats.digest, lambda d: simple8b.digest(d, WORD_FILE), lambda d: bpe.digest(d, BYTE_FILE)])

@@ -257,7 +257,7 @@ def _count_strings(contexts: DataFrame, length: int) -> DataFrame:
     return each.join(twice, ["fp", "string"]).select("row", at.alias("lo"), (at + length).alias("hi"))
 
 
-def repeats(rows: DataFrame, length: int = 200, k: int = 64, hot: int = 256) -> DataFrame:
+def repeats(rows: DataFrame, length: int = 200, k: int = 64, hot: int = 4096) -> DataFrame:
     """(row, lo, hi): spans of ``rows`` (row, text as bytes) that together cover exactly the
     bytes of all strings of ``length`` bytes that start at two or more places."""
     found = staged(_anchor_table(rows, length, k), "anchors")

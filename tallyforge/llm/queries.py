@@ -67,4 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_rule_cascade": quality_cascade.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op7_suffix_repeats": suffix_repeats.ORACLE_SQL,
+    "op8_fuzzy_lines": fuzzy_lines.ORACLE_SQL,
+    "op9_dart_minhash": dart_minhash.ORACLE_SQL,
+    "op10_rule_cascade": quality_cascade.ORACLE_SQL,
+}

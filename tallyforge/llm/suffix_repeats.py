@@ -314,3 +314,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def digest(docs: DataFrame) -> DataFrame:
     return without_repeats(docs, keep_text=False).drop("kept")
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, i, md5_number(substring(h, 2 * i + 1, 400)) AS s FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+r AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM (SELECT rid, i, count(*) OVER (PARTITION BY s) AS n FROM w) WHERE n > 1),
+g AS (SELECT rid, i, count(*) FILTER (before IS NULL OR i - before > 200) OVER (PARTITION BY rid ORDER BY i) AS run FROM r),
+x AS (SELECT rid, run, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY rid, run),
+y AS (SELECT rid, lo, hi, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) AS upto FROM x),
+z AS (SELECT rid, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substring(h, 2 * upto + 1, 2 * (lo - upto)), '' ORDER BY lo) || any_value(substring(h, 2 * last + 1)) AS kept
+      FROM y JOIN d USING (rid) JOIN (SELECT rid, max(hi) AS last FROM x GROUP BY rid) USING (rid) GROUP BY rid)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN z USING (rid)
+"""

@@ -12,6 +12,7 @@ replaces those it writes.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Iterator
@@ -115,15 +116,18 @@ class ByteBPE:
             rank[pair] = self._ranks(sym[pair], sym[pair + 1])
         return [np.zeros(0, np.int64) if x is None else x for x in out]
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks end to end, and ids per chunk."""
         out: list[np.ndarray | None] = [np.array([self.special[c]]) if c in self.special else None for c in chunks]
         todo = [k for k, x in enumerate(out) if x is None]
         cut = [self.piece.findall(chunks[k]) for k in todo]
         distinct = list(dict.fromkeys(p for c in cut for p in c))
-        ids = dict(zip(distinct, self.merge([p.encode() for p in distinct]), strict=True))
+        ids = {}
+        for at in range(0, len(distinct), 5000):  # arrays that stay in the cache
+            ids |= zip(distinct[at : at + 5000], self.merge([p.encode() for p in distinct[at : at + 5000]]), strict=False)
         for k, c in zip(todo, cut, strict=True):
-            out[k] = np.concatenate([ids[p] for p in c]) if c else np.zeros(0, np.int64)
-        return out
+            out[k] = ids[c[0]] if len(c) == 1 else np.concatenate([ids[p] for p in c]) if c else np.zeros(0, np.int64)
+        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
 
     def chunks(self, text: str) -> list[str]:
         if self.special_cut is None or not any(s in text for s in self.special):
@@ -141,6 +145,13 @@ class ByteBPE:
         return [p.decode("utf-8", "replace").encode() for p in parts]
 
 
+@functools.cache
+def loaded(tokenizer_path: str) -> tuple[ByteBPE, WordTable]:
+    """The vocabulary and one table for all tasks of a worker process."""
+    bpe = ByteBPE(tokenizer_path)
+    return bpe, WordTable(bpe.encode_chunks)
+
+
 TYPE = "n_tokens long, ids binary"
 
 
@@ -148,8 +159,7 @@ def encode_column(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     """``docs`` with n_tokens and ids (little-endian unsigned 32-bit)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(tokenizer_path)
-        table = WordTable(bpe.encode_chunks)
+        bpe, table = loaded(tokenizer_path)
         for b in batches:
             for k in range(0, len(b), rows):
                 some = b.slice(k, rows)
@@ -170,7 +180,7 @@ def decoded_digest(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens and the hashes of the ids and of the text they decode to."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(tokenizer_path)
+        bpe, _ = loaded(tokenizer_path)
         for b in batches:
             for k in range(0, len(b), 256):
                 some = b.slice(k, 256)
@@ -190,7 +200,7 @@ def decode_column(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """``encoded`` (with n_tokens and ids) with the column ``decoded``."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(tokenizer_path)
+        bpe, _ = loaded(tokenizer_path)
         for b in batches:
             for k in range(0, len(b), 256):
                 some = b.slice(k, 256)

@@ -17,6 +17,7 @@ empty table gives an empty result.  Only the id and text columns are read.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -57,11 +58,12 @@ def pack(ids: np.ndarray) -> np.ndarray:
         else:
             bad = np.where(fits, n, at)
             run = np.minimum.accumulate(bad[::-1])[::-1] - at
-            if not fits.any():
-                break
         # a word reaching past the end is padded, so all ids left need only fit
-        ok = (run >= COUNTS[s]) | (run == n - at) & fits
+        full = run >= COUNTS[s]
+        ok = full | (run == n - at) & fits
         sel[ok], step[ok] = s, COUNTS[s]
+        if not full.any():  # narrower words would need longer runs of smaller ids
+            break
     hops, i, jumps = [], 0, step.tolist()
     while i < n:
         hops.append(i)
@@ -155,21 +157,41 @@ def pieces(text: str) -> list[str]:
     return text.split()
 
 
-def word_encoder(tokenizer_path: str) -> Callable[[list[str]], list[list[int]]]:
+def word_encoder(tokenizer_path: str, at_once: int = 500) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Ids of words, end to end, and ids per word.  Words are encoded many to a text, and
+    told apart by where the ids' characters begin, since each call has its price."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path)
     tok.no_truncation()
     tok.no_padding()
-    return lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [], []
+        for k in range(0, len(words), at_once):
+            part = words[k : k + at_once]
+            e = tok.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            begins = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append(np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    return encode
+
+
+@functools.cache
+def word_table(tokenizer_path: str) -> WordTable:
+    """One table for all tasks of a worker process."""
+    return WordTable(word_encoder(tokenizer_path))
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 256) -> DataFrame:
     """The written files: part, block, n_docs, n_ids, data; blocks ascend by (part, block)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, block = WordTable(word_encoder(tokenizer_path)), TaskContext.get().partitionId(), 0
+        table, part, block = word_table(tokenizer_path), TaskContext.get().partitionId(), 0
         for b in batches:
             for k in range(0, len(b), block_docs):
                 some = b.slice(k, block_docs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
 
@@ -10,11 +10,12 @@ import numpy as np
 class WordTable:
     """Ids of words in one flat array; ``encode`` is asked for unseen words only.
 
-    Holds at most about ``limit`` words; beyond that it starts anew, which costs time
+    ``encode`` gives the ids of all words end to end and how many each has.  The table
+    holds at most about ``limit`` words; beyond that it starts anew, which costs time
     and changes nothing.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 800_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -26,8 +27,7 @@ class WordTable:
 
     def _add(self, words: list[str]) -> None:
         base = len(self.index)
-        ids = self.encode(words)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids, sizes = self.encode(words)
         while len(self.starts) < base + len(words) + 1:
             self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
         ends = self.used + np.cumsum(sizes)
@@ -35,7 +35,7 @@ class WordTable:
         total = int(ends[-1])
         while len(self.flat) < total:
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[self.used : total] = np.concatenate([np.asarray(x, np.uint32) for x in ids]) if total > self.used else 0
+        self.flat[self.used : total] = ids
         self.used = total
         self.index.update(zip(words, range(base, base + len(words)), strict=True))
 
@@ -45,10 +45,11 @@ class WordTable:
             self.clear()
         words = [w for t in texts for w in t]
         at = list(map(self.index.get, words))
-        if None in at:
-            new = list(dict.fromkeys(w for w, i in zip(words, at, strict=True) if i is None))
-            self._add(new)
-            at = list(map(self.index.get, words))
+        unseen = [k for k, i in enumerate(at) if i is None]
+        if unseen:
+            self._add(list(dict.fromkeys(words[k] for k in unseen)))
+            for k in unseen:
+                at[k] = self.index[words[k]]
         where = np.array(at, np.int64)
         lo, hi = self.starts[where], self.starts[where + 1]
         sizes = hi - lo

@@ -50,8 +50,8 @@ def resolve(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], centres:
     or through others; ``bands`` holds (key, id).
 
     In the first round each bucket compares its ids with its least one.  A bucket whose
-    ids then fall into one component is done; else ``centres`` further ids are compared
-    with the rest and leave, round after round, so no pair that could join two
+    ids then fall into one component is done; else further ids, ``centres`` at most, are
+    compared with the rest and leave, round after round, so no pair that could join two
     components goes untested and no bucket lists all its pairs.
     """
     ends = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
@@ -59,6 +59,7 @@ def resolve(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], centres:
     pairs = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
     left = members.where("id <> lo").select("key", "id")
     links = labels = None
+    few = many = min(4, centres)
     while True:
         found = staged(verify(pairs.distinct()), "verified")
         links = found if links is None else links.unionByName(found)
@@ -73,8 +74,9 @@ def resolve(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], centres:
         # shuffles them for this window.
         sizes = open_.groupBy("key", "label").agg(F.count("*").alias("size"))
         # Ordered by id alone, buckets that share ids share centres, and pairs repeat less.
-        lowest = Window.partitionBy("key").orderBy("size", F.xxhash64("id"), "id")
-        c = open_.join(sizes, ["key", "label"]).withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= centres)
+        lowest = Window.partitionBy("key").orderBy(*(["size"] if many > few else []), F.xxhash64("id"), "id")
+        c = open_.join(sizes, ["key", "label"]).withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= many)
         c = staged(c.select("key", F.col("id").alias("c"), F.col("label").alias("cl")), "centres")
         pairs = open_.join(c, "key").where("label <> cl").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
+        many = min(4 * many, centres)
         left = open_.select("key", "id").join(c.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti")

@@ -217,21 +217,24 @@ def file_starts(files: DataFrame) -> DataFrame:
     return files.select("part", "block", inside.alias("inside")).join(parts, "part").select("part", "block", (F.col("base") + F.col("inside")).alias("start"))
 
 
-def read_token_files(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of each document in the files."""
+def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (little-endian unsigned
+    32-bit) of each document in the files."""
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, data in zip(b.column("start").to_pylist(), b.column("data"), strict=True):
                 docs, ends, ids = read_block(data.as_py())
                 begin = np.concatenate(([0], ends[:-1]))
-                raw = ids.astype("<u4").tobytes()
+                raw = memoryview(ids.astype("<u4").tobytes())
                 parts = [raw[4 * lo : 4 * hi] for lo, hi in zip(begin.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(begin + start, pa.int64()), "n_tokens": pa.array(ends - begin, pa.int64()), "ids": pa.array(parts, pa.binary())})
+                cols = [pa.array(docs, pa.int64()), pa.array(begin + start, pa.int64()), pa.array(ends - begin, pa.int64()), pa.array(map(zlib.crc32, parts), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(map(bytes, parts), pa.binary())] if with_ids else [])], names=names)
 
-    return files.join(file_starts(files), ["part", "block"]).select("start", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    kinds = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    return files.join(file_starts(files), ["part", "block"]).select("start", "data").mapInArrow(decode, kinds)
 
 
 def digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    back = read_token_files(write_token_files(docs, tokenizer_path))
-    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_files(write_token_files(docs, tokenizer_path), with_ids=False)

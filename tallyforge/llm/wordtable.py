@@ -15,7 +15,7 @@ class WordTable:
     and changes nothing.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_100_000):
         self.encode, self.limit = encode, limit
         self.clear()
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def _number(text: Column) -> Column:
-    return text.try_cast("double")
+    v = text.try_cast("double")
+    return F.when(~F.isnan(v), v)  # the text "nan" is no number
 
 
 def sheet_money(text: Column) -> Column:

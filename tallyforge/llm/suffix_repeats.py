@@ -262,14 +262,16 @@ def repeats(rows: DataFrame, length: int = 200, k: int = 64, hot: int = 4096) ->
     bytes of all strings of ``length`` bytes that start at two or more places."""
     found = staged(_anchor_table(rows, length, k), "anchors")
     groups = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("kind").alias("k0"), F.max("kind").alias("k1")).where("n > 1")
-    shared = staged(found.join(groups.select("fp", (F.col("k0") != F.col("k1")).alias("varied")), "fp"), "shared")
+    # written first: Spark splits a hot key's rows only in joins whose inputs come straight from a shuffle
+    groups = staged(groups.select("fp", (F.col("k0") != F.col("k1")).alias("varied")), "groups")
+    shared = staged(found.join(groups, "fp"), "shared")
     same = shared.where("NOT varied").select("row", "lo", (F.col("hi") + length).alias("hi"))
 
     varied = shared.where("varied")
     kinds = staged(varied.groupBy("fp", "kind").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi")).alias("one")), "kinds")
     many = kinds.where("n > 1").select("fp", "kind")
     whole = varied.join(many, ["fp", "kind"], "left_semi").select("row", "lo", (F.col("hi") + length).alias("hi"))
-    crowded = kinds.groupBy("fp").agg((F.count("*") > hot).alias("crowded"))
+    crowded = staged(kinds.groupBy("fp").agg((F.count("*") > hot).alias("crowded")), "crowded")
     contexts = staged(_contexts(rows, kinds.select("fp", "one.*"), length).join(crowded, "fp"), "contexts")
     compared = _compare(contexts.where("NOT crowded").drop("crowded"), length)
     counted = _count_strings(contexts.where("crowded").drop("crowded"), length)

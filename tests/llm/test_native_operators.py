@@ -1,5 +1,6 @@
 """Sharding, mixing, quality rules and fuzzy lines."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -119,6 +120,26 @@ def test_fuzzy_lines_against_brute_force(docs, rows):
     assert out.columns == docs.columns and out.count() == len(rows)
 
 
+def test_fuzzy_lines_without_spaces_and_short_lines(spark):
+    rng = random.Random(8)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    lines = []
+    for _ in range(20):
+        x, u = han(100), "https://" + hexa(150)
+        lines += [x, han(1) + x[1:], "a " + u, "b " + u]
+    for n in (*range(8, 27), 35, 42, 63):  # one character is appended, until the similarity is just the threshold
+        for _ in range(10):
+            x = hexa(n)
+            lines += [x + hexa(k) for k in range(max(1, n // 4))]
+    rng.shuffle(lines)
+    sets = [{x[j : j + 8] for j in range(len(x) - 7)} if len(x) > 8 else {x} for x in lines]
+    label = union(len(lines), similar(sets, 0.8))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {r["doc_id"] for r in fuzzy_lines.digest(docs).collect() if r["n_removed"]}
+    assert gone == {i for i in range(len(lines)) if label[i] != i}
+
+
 @pytest.mark.parametrize("run", [sharding.digest, mixing.digest, quality_cascade.digest, fuzzy_lines.digest])
 def test_empty_table(none, run):
     assert run(none).count() == 0

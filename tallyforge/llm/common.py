@@ -46,6 +46,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, id_col: str, name: str) -> DataFrame:
+    """``docs`` with a column ``name`` that tells rows of equal ids apart, null ids too.
+    Row numbers are frozen by writing the table; it is not written if no id repeats."""
+    ids = docs.groupBy(F.col(f"`{id_col}`")).count()
+    if ids.where("count > 1").isEmpty():
+        return docs.withColumn(name, F.lit(0).cast("long"))
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` applied to ``value``, which is evaluated once however often it is used."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

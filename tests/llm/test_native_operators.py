@@ -140,6 +140,13 @@ def test_fuzzy_lines_without_spaces_and_short_lines(spark):
     assert gone == {i for i in range(len(lines)) if label[i] != i}
 
 
+def test_lines_of_equal_and_null_ids_are_removed_by_row(spark):
+    rows = [(None, "alpha line one\nbeta line two"), (None, "gamma line three\nalpha line one"), (5, "delta line four\nbeta line two"), (5, "epsilon line five\nzeta line six"), (6, "eta line seven"), (6, "eta line seven"), (None, None)]
+    got = [(r["doc_id"], r["text"]) for r in fuzzy_lines.deduplicated_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]
+    want = [(None, rows[0][1]), (None, "gamma line three"), (5, "delta line four"), rows[3], (6, "eta line seven"), (6, ""), (None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("run", [sharding.digest, mixing.digest, quality_cascade.digest, fuzzy_lines.digest])
 def test_empty_table(none, run):
     assert run(none).count() == 0

@@ -195,6 +195,15 @@ def test_near_duplicates_against_brute_force(docs, rows):
     assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter({c for _, c in want})
 
 
+def test_rows_of_equal_and_null_ids_stay_apart(spark):
+    rng = random.Random(6)
+    prose = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(None, a), (None, b), (None, c + " tail"), (7, c), (8, d), (8, e), (8, e), (None, None), (None, "")]
+    got = dart_minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in got) == Counter([(None, a), (None, b), (7, c), (8, d), (8, e), (None, "")])
+
+
 def test_components_and_buckets(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(50)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(40)]

@@ -44,7 +44,7 @@ def section_slice(spark, d):
 
 @query()
 def header_gaps(spark, d):
-    return lines.headers_apart(_lines(spark, d).where(F.length("line") < 100), "doc_id", "pos", 5)
+    return lines.headers_apart(_lines(spark, d), "doc_id", "pos", 5)
 
 
 @query("SELECT event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS DISTINCT FROM event_type OR b IS NULL")

@@ -47,6 +47,17 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert got == ordered([tuple(plain(r[i]) for i in at) for r in want.fetchall()])
 
 
+def test_header_gaps_against_brute_force(spark, duck):
+    want = []
+    for doc, text in duck.sql("SELECT doc_id, text FROM documents WHERE text IS NOT NULL").fetchall():
+        last = None
+        for at, _ in enumerate(text.split("\n")):
+            if last is None or at - last > 5:
+                want.append((doc, at))
+                last = at
+    assert sorted((r["doc_id"], r["pos"]) for r in catalog.QUERIES["header_gaps"](spark, FOLDER).collect()) == sorted(want)
+
+
 def test_entry_has_all_queries(spark):
     import __spark_entry__ as e
 

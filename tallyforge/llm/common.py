@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,13 +22,15 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests in one JVM) a temporary folder stands in
-    and goes when the interpreter ends.
+    Where the session names none, a temporary folder stands in if the master is local
+    (one machine, as in tests) and goes when the interpreter ends; on a cluster it is an error.
     """
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tallyforge-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -40,10 +43,36 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage so that a lost executor costs a re-read, freezes values such as
     row numbers, and keeps columns prunable, which ``checkpoint()`` does not.
     """
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Staged tables that go when the block ends; what leaves it must be staged elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _written(df, name)
+        self.paths.append(path)
+        return out
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for p in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+        self.paths = []
 
 
 def numbered(docs: DataFrame, id_col: str, name: str) -> DataFrame:

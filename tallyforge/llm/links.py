@@ -1,82 +1,142 @@
 """Connected components and bucket resolution as joins and aggregations.
 
 Both work on links between ids and never gather a bucket or a component: a group of any
-size is handled by minima per key, which Spark combines before shuffling, and by joins,
-which it can split when they are skewed.
+size is handled by minima and maxima per key, which Spark combines before shuffling, and
+by joins of written tables, which it can split when they are skewed.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Scratch, staged
 
+#: A bucket of so many ids is small: those not joined by then meet in pairs.
+SMALL = 32
+#: A large bucket is dealt anew by each of so many following keys of its ids.
+SPREAD = 3
+#: Of so many keys at most; ids that share them have nearly equal signatures.
+MOST = 4
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is a leaf with one centre, or a centre."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+    return ends.groupBy("id").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf + centre > 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the least id of the component, for every id in ``links`` (a, b).
 
-    Alternates large and small stars until the links stop changing, which takes a
-    number of rounds logarithmic in the longest path.  Each round is written out.
+    Alternates large and small stars until each component is a star around its least id,
+    which takes a number of rounds logarithmic in the longest path.  Each round is written out.
     """
-    edges = staged(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
-    )
-    before = _mark(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = _mark(edges)
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(
-        edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
-    )
-
-
-def resolve(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], centres: int = 32) -> DataFrame:
-    """Links (a, b) that join every two ids of a bucket that ``verify`` would link, directly
-    or through others; ``bands`` holds (key, id).
-
-    In the first round each bucket compares its ids with its least one.  A bucket whose
-    ids then fall into one component is done; else further ids, ``centres`` at most, are
-    compared with the rest and leave, round after round, so no pair that could join two
-    components goes untested and no bucket lists all its pairs.
+    with Scratch(links.sparkSession) as scratch:
+        edges = scratch.staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+        while not _stars(edges):
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = scratch.staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+            large = scratch.staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+            lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            edges = scratch.staged(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        leaves = edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
+        return staged(leaves.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()), "labels")
+
+
+def joined(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """``labels`` after ``new`` links: only the components that they touch are worked on."""
+    if new.isEmpty():
+        return labels
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+    told = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    moved = components(told).select(F.col("id").alias("label"), F.col("label").alias("to"))
+    # the full join lists ids that had no link before
+    return staged(labels.join(moved, "label", "full").select(F.coalesce("id", "label").alias("id"), F.coalesce("to", "label").alias("label")), "labels")
+
+
+def pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def resolve(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between ids of one bucket that ``verify`` confirms, so many that they
+    make the components that all such links would make, but for the losses named below;
+    and those components (id, label), for every id with a link.  ``nodes`` has (id, keys)
+    with a key or null for each band; equal keys make a bucket.
+
+    1. Every bucket compares its ids with one of them, its centre: the least id, or in a
+       bucket of more than ``small`` ids the one whose buckets are largest, since a text
+       that many were copied from shares most buckets with them.
+    2. A bucket whose ids are then in one component is done.  In a small bucket, ids of
+       different components meet in pairs, at most ``small / 2`` for each id.
+    3. A large bucket, without its centre, is dealt anew by its key and one of the
+       ``SPREAD`` next keys of each id, its parts by twice as many keys, until a part goes
+       by ``MOST`` keys; there the parts are compared in the same way.
+
+    So comparisons grow with the number of ids, whatever the size of a bucket, and rounds
+    are few.  A link is lost if its ids meet in large buckets only, share none of the next
+    keys there, and are joined by no other way.
     """
-    ends = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    members = staged(bands.join(ends.select("key", "lo"), "key").distinct(), "members")
-    pairs = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    left = members.where("id <> lo").select("key", "id")
-    links = labels = None
-    few = many = min(4, centres)
-    while True:
-        found = staged(verify(pairs.distinct()), "verified")
-        links = found if links is None else links.unionByName(found)
-        labels = components(found if labels is None else found.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))
-        open_ = left.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        mixed = open_.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-        open_ = staged(open_.join(mixed, "key"), "open")
-        if open_.isEmpty():
-            return links.distinct()
-        # ids of the components with the fewest ids in the bucket come first: once they are
-        # through, one component is left.  Spark limits the rows of each key before it
-        # shuffles them for this window.
-        sizes = open_.groupBy("key", "label").agg(F.count("*").alias("size"))
-        # Ordered by id alone, buckets that share ids share centres, and pairs repeat less.
-        lowest = Window.partitionBy("key").orderBy(*(["size"] if many > few else []), F.xxhash64("id"), "id")
-        c = open_.join(sizes, ["key", "label"]).withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= many)
-        c = staged(c.select("key", F.col("id").alias("c"), F.col("label").alias("cl")), "centres")
-        pairs = open_.join(c, "key").where("label <> cl").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
-        many = min(4 * many, centres)
-        left = open_.select("key", "id").join(c.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti")
+    with Scratch(nodes.sparkSession) as scratch:
+        n_bands = nodes.agg(F.coalesce(F.max(F.size("keys")), F.lit(0))).first()[0]
+        following = lambda i: F.get("keys", (F.col("at") + F.lit(i)) % F.lit(n_bands))
+
+        def pairs_of(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+            """(pairs to compare, the large buckets with their centres); with labels, ids of
+            one component are not compared, and small buckets are taken in pairs."""
+            large, more = members.where(F.col("n") > small), None
+            few = members.where(F.col("n") <= small)
+            if labels is None:
+                pairs = few.where("id <> c").select(*pair("c", "id"))
+            else:
+                other = few.select("key", F.col("id").alias("id2"), F.col("label").alias("label2"))
+                pairs = few.join(other, "key").where("label <> label2 AND id < id2").select(*pair("id", "id2"))
+            if not large.isEmpty():
+                score = large.groupBy("id").agg(F.sum("n").alias("score"))
+                scored = scratch.staged(large.join(score, "id"), "scored")
+                label = F.lit(None).cast("long") if labels is None else F.col("label")
+                hubs = scored.groupBy("key").agg(F.max(F.struct("score", "id", label.alias("label"))).alias("top"))
+                hubs = scratch.staged(hubs.select("key", F.col("top.id").alias("c"), F.col("top.label").alias("lc")), "hubs")
+                more = scratch.staged(scored.drop("c", "score").join(hubs, "key"), "large")
+                pairs = pairs.unionByName(more.where("id <> c" if labels is None else "label <> lc").select(*pair("c", "id")))
+                more = more.drop("lc")
+            return pairs.distinct(), more
+
+        def gathered(bands: DataFrame) -> DataFrame:
+            sizes = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("c")).where("n > 1")
+            return scratch.staged(bands.join(scratch.staged(sizes, "sizes"), "key"), "members")
+
+        def unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+            """The rows of buckets with more than one component, with labels, without centres."""
+            told = scratch.staged(rows.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "told")
+            mixed = told.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
+            return scratch.staged(told.join(scratch.staged(mixed, "mixed"), "key").where("id <> c"), "unsettled")
+
+        members = gathered(nodes.select("id", F.posexplode("keys").alias("at", "key")).where("key IS NOT NULL"))
+        pairs, large = pairs_of(members, None)
+        found = [scratch.staged(verify(pairs), "verified")]
+        labels = components(found[0])
+        pairs, _ = pairs_of(unsettled(members.where(F.col("n").between(3, small)), labels), labels)
+        used = 1
+        while True:
+            found.append(scratch.staged(verify(pairs), "verified"))
+            labels = joined(labels, found[-1])
+            if large is None or used >= min(n_bands, MOST):
+                break
+            rest = unsettled(large, labels).select("id", "key", "at", "label").join(nodes.select("id", "keys"), "id")
+            if used == 1:
+                rest = rest.select("id", "key", "keys", "label", F.explode(F.array(*[F.col("at") + i for i in range(min(SPREAD, n_bands - 1))])).alias("at"))
+                rest = rest.where(following(1).isNotNull())
+            keys = [following(i + 1) for i in range(min(used, n_bands - used))]
+            at = ((F.col("at") + F.lit(len(keys))) % F.lit(n_bands)).cast("int")
+            members = gathered(scratch.staged(rest.select("id", "label", at.alias("at"), F.xxhash64("key", "at", *keys).alias("key")), "dealt"))
+            if members.isEmpty():
+                break
+            pairs, large = pairs_of(members, labels)
+            used *= 2
+        return staged(functools.reduce(DataFrame.unionByName, found).distinct(), "links-found"), labels

@@ -212,7 +212,7 @@ def test_components_and_buckets(spark):
     assert all(got[x] == label[x] for p in pairs if p[0] != p[1] for x in p)
     # one bucket of 40 ids in 10 chains: all links that join components are found
     ids = spark.range(40).select(F.lit(1).cast("long").alias("key"), "id")
-    found = links.resolve(ids, lambda p: p.where("a % 10 = b % 10 AND abs(a - b) = 10"), centres=12)
+    found, _ = links.resolve(ids.select("id", F.array("key").alias("keys")), lambda p: p.where("a % 10 = b % 10 AND abs(a - b) = 10"), small=40)
     got = {r["id"]: r["label"] for r in links.components(found).collect()}
     assert all(got[i] == i % 10 for i in range(40))
 

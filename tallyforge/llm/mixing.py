@@ -7,12 +7,13 @@
 3. A binary tree over the output shards splits the exact block counts of all sources:
    at each node the left half's counts are one multivariate-hypergeometric draw, so the
    quotas of the leaves add up to the blocks there are.
-4. Each shard reads disjoint runs of every source's permuted blocks and orders its rows
-   by a hash: the local shuffle.
+4. A source's blocks are put in an order that depends on seed and source, and each shard
+   takes its quota of them, one run after the other.  So blocks are disjoint and each
+   shard has exactly its quotas.  It orders its rows by a hash: the local shuffle.
 
 Running sums are taken per (source, bucket), with the square root of a source's rows as
 its number of buckets, so a source with a third of all rows is no single task.  The
-quota tree has one array entry per source.
+quota tree has one array entry per source; more than ``MAX_SOURCES`` sources are an error.
 
 A null source is a source, the last one.  Null text has no words; rows without words are
 never drawn.  Repeated rows count each.  An empty table gives an empty result.  The plan
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import let, staged, unit_hash, words
 
-#: Coprime to every number of blocks below it.
-PRIME = 2147483647
+#: Rounds of the keyed permutation of a source's blocks.
+ROUNDS = 32
+#: The quota tree holds a number per source in one row.
+MAX_SOURCES = 20_000
 
 
 def water_fill(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
@@ -150,6 +153,20 @@ def split_tree(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select(F.col("lo").alias("shard"), F.posexplode("counts").alias("rank", "quota"))
 
 
+def permuted(x: Column, n: Column, *key: Column) -> Column:
+    """The place of ``x`` among the ``n`` numbers from 0 in an order that depends on the key.
+
+    Swap or not: each round pairs the numbers by a keyed sum and swaps some of the pairs,
+    so every round is a permutation, whatever ``n`` is.
+    """
+
+    def step(at: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(*key, r), n) - at, n)
+        return F.when(F.pmod(F.xxhash64(*key, r, F.greatest(at, other)), F.lit(2)) == 0, other).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, step)
+
+
 def mix_plan(
     docs: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
@@ -178,6 +195,8 @@ def mix_plan(
     per = water_fill(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), weights, cap)
     per = staged(per.withColumn("n_blocks", F.when(F.col("target") > 0, F.floor(F.col("target") / F.lit(block_words)) + 1).otherwise(F.lit(0))).coalesce(1), "mix-sources")
 
+    if per.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: merge the small ones first")
     quotas = split_tree(per.select("rank", "n_blocks"), shards, seed)
     ends = quotas.withColumn("end", F.sum("quota").over(Window.partitionBy("rank").orderBy("shard")))
     ends = ends.groupBy("rank").agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends"))
@@ -199,22 +218,26 @@ def mix_plan(
     def one(i: Column) -> Column:
         block = F.floor((i * F.col("source_size") + F.col("start")) / F.lit(block_words)).cast("long")
         block = F.least(block, F.col("n_blocks") - 1)
-        permuted = (block * (F.lit(PRIME) % F.col("n_blocks")) + F.lit(seed)) % F.col("n_blocks")
-        shard = F.size(F.filter(F.col("ends"), lambda e: e <= permuted))
+        shard = let(permuted(block, F.col("n_blocks"), F.lit(seed), F.col("rank")), lambda at: F.size(F.filter(F.col("ends"), lambda e: e <= at)))
         return F.struct(i.alias("pass"), block.alias("block"), shard.alias("shard"), F.xxhash64(F.col("h"), i, F.lit(seed)).alias("place"))
 
     draws = F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), one)).otherwise(F.array().cast("array<struct<pass:int,block:bigint,shard:int,place:bigint>>"))
     return placed.select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"), *(["row"] if carry else []))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: the rows of ``docs``, each as often as it is drawn, grouped by
-    output shard (one task each) and shuffled within it."""
+def mixed(docs: DataFrame, shard_col: str | None = None, **options) -> DataFrame:
+    """The mixture itself: the rows of ``docs``, each as often as it is drawn, in the order
+    of output shard and place in it.  Tasks are ranges of that order, as many as Spark
+    needs, so a shard of any size is written by several.  ``shard_col`` names a column
+    for the shard, to partition files by."""
     plan = mix_plan(docs, carry=docs.columns, **options)
-    shards = options.get("shards", 32)
-    out = plan.select("row", F.explode("draws").alias("draw")).select("row.*", F.col("draw.shard").alias("__shard"), F.col("draw.place").alias("__place"))
-    return out.repartitionByRange(shards, "__shard", "__place").sortWithinPartitions("__shard", "__place").drop("__shard", "__place")
+    shard, place = "__shard", "__place"
+    out = plan.select("row", F.explode("draws").alias("draw")).select("row.*", F.col("draw.shard").alias(shard), F.col("draw.place").alias(place))
+    out = out.repartitionByRange(shard, place).sortWithinPartitions(shard, place).drop(place)
+    return out.withColumnRenamed(shard, shard_col) if shard_col else out.drop(shard)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return mix_plan(docs).select("doc_id", "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"))
+    """The contract's columns, and the draws themselves: pass, block, shard and place."""
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda n, _: n + F.col("size"))
+    return mix_plan(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")

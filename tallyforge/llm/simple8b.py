@@ -4,7 +4,8 @@ A 64-bit word holds a 4-bit selector and as many ids as fit into 60 bits at the
 selector's width; an id too wide for that is escaped and takes a word of its own.  A
 block holds the ids of a run of documents: header, document ids, where each document's
 ids end, the id count before every 1024th word, then the words.  Selectors are grouped,
-so encoding and decoding are array operations; the offsets let a reader start inside.
+so encoding and decoding are array operations; the offsets let a reader of some of the
+ids start and stop inside (``read_ids``, ``token_range``).
 
 Files are binary values, a block each, in a Parquet table in ascending document order:
 Spark writes and reads them wherever it has its storage.  Texts are range-partitioned by
@@ -41,11 +42,12 @@ MAGIC, HEADER = b"S8B1", "<4sIQQI"
 EVERY = 1024
 
 
-def pack(ids: np.ndarray) -> np.ndarray:
-    """``ids`` (uint64) as Simple-8b words.  The last word may be padded with zeros."""
+def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` (uint64) as Simple-8b words, and how many ids are in each: none in a word that
+    follows an escape.  The last word may be padded with zeros."""
     n = len(ids)
     if not n:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     wide = ids >= ESCAPE
     top = int(ids[~wide].max(initial=0))
     step = np.ones(n, np.int64)
@@ -86,7 +88,9 @@ def pack(ids: np.ndarray) -> np.ndarray:
                 word |= value << np.uint64(k * WIDTHS[s])
         out[place[here]] = word
     out[place[wide[starts]] + 1] = ids[starts[wide[starts]]]
-    return out
+    counted = np.zeros(len(out), np.int64)
+    counted[place] = np.array(COUNTS)[chosen]
+    return out, counted
 
 
 def unpack(words: np.ndarray, n: int) -> np.ndarray:
@@ -115,34 +119,43 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def write_block(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
-    words = pack(ids.astype(np.uint64))
-    counted = np.array(COUNTS)[(words >> np.uint64(60)).astype(np.int64)]
-    before = (np.cumsum(counted) - counted)[::EVERY].astype("<u8")  # of use only in blocks without escapes
+    words, counted = pack(ids.astype(np.uint64))
+    before = (np.cumsum(counted) - counted)[::EVERY]
+    # the lowest bit tells that the word belongs to the escape before: reading starts behind it
+    offsets = before * 2 + (counted[::EVERY] == 0)
     body = b"".join((
         np.array([d is None for d in doc_ids], np.uint8).tobytes(),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
-        np.cumsum(sizes).astype("<u8").tobytes(), before.tobytes(), words.astype("<u8").tobytes(),
+        np.cumsum(sizes).astype("<u8").tobytes(), offsets.astype("<u8").tobytes(), words.astype("<u8").tobytes(),
     ))
     return struct.pack(HEADER, MAGIC, len(doc_ids), len(ids), len(words), zlib.crc32(body)) + body
 
 
+def read_ids(data: bytes, lo: int, hi: int) -> np.ndarray:
+    """The ids ``lo`` to ``hi`` of a block; no words are decoded but those between the two
+    offsets around them."""
+    _, docs, n, n_words, _ = struct.unpack_from(HEADER, data)
+    lo, hi = max(lo, 0), min(hi, n)
+    if lo >= hi:
+        return np.zeros(0, np.uint64)
+    at = struct.calcsize(HEADER) + 17 * docs
+    offsets = np.frombuffer(data, "<u8", -(-n_words // EVERY), at).astype(np.int64)
+    before, begin = offsets >> 1, np.arange(len(offsets)) * EVERY + (offsets & 1)
+    first, last = int(np.searchsorted(before, lo, side="right")) - 1, int(np.searchsorted(before, hi))
+    stop = int(begin[last]) if last < len(begin) else n_words
+    words = np.frombuffer(data, "<u8", stop - int(begin[first]), at + 8 * len(offsets) + 8 * int(begin[first]))
+    skipped = int(before[first])
+    return unpack(words, hi - skipped)[lo - skipped :]
+
+
 def read_block(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(document ids, where each one's ids end, ids)."""
-    magic, docs, n, words, crc = struct.unpack_from(HEADER, data)
+    magic, docs, n, _, crc = struct.unpack_from(HEADER, data)
     at = struct.calcsize(HEADER)
-    if magic != MAGIC or zlib.crc32(data[at:]) != crc:
+    if magic != MAGIC or zlib.crc32(memoryview(data)[at:]) != crc:
         raise ValueError("not a whole Simple-8b block")
-
-    def take(kind: str, count: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(data, kind, count, at)
-        at += out.nbytes
-        return out
-
-    none, ids = take("u1", docs), take("<i8", docs)
-    ends = take("<u8", docs).astype(np.int64)
-    take("<u8", -(-words // EVERY))
-    return [None if z else d for z, d in zip(none.tolist(), ids.tolist(), strict=True)], ends, unpack(take("<u8", words), n)
+    none, ids, ends = np.frombuffer(data, "u1", docs, at), np.frombuffer(data, "<i8", docs, at + docs), np.frombuffer(data, "<u8", docs, at + 9 * docs)
+    return [None if z else d for z, d in zip(none.tolist(), ids.tolist(), strict=True)], ends.astype(np.int64), read_ids(data, 0, n)
 
 
 #: The controls 28 to 31 count as white space for str.split, but not for tokenizers.
@@ -188,10 +201,11 @@ def word_table(tokenizer_path: str) -> WordTable:
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 256) -> DataFrame:
-    """The written files: part, block, n_docs, n_ids, data; blocks ascend by (part, block)."""
+    """The written files: part, block, inside (ids before it in its part), n_docs, n_ids and
+    data; blocks ascend by (part, block)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, block = word_table(tokenizer_path), TaskContext.get().partitionId(), 0
+        table, part, block, inside = word_table(tokenizer_path), TaskContext.get().partitionId(), 0, 0
         for b in batches:
             for k in range(0, len(b), block_docs):
                 some = b.slice(k, block_docs)
@@ -200,21 +214,35 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
                     ids = np.insert(ids, np.cumsum(sizes), end_id)
                     sizes = sizes + 1
                 data = write_block(some.column("doc_id").to_pylist(), sizes, ids)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n_docs": pa.array([len(some)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "data": pa.array([data], pa.binary())})
-                block += 1
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "inside": pa.array([inside], pa.int64()), "n_docs": pa.array([len(some)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "data": pa.array([data], pa.binary())})
+                block, inside = block + 1, inside + len(ids)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return staged(placed.mapInArrow(encode, "part int, block int, n_docs long, n_ids long, data binary"), "tokens")
+    return staged(placed.mapInArrow(encode, "part int, block int, inside long, n_docs long, n_ids long, data binary"), "tokens")
 
 
-def file_starts(files: DataFrame) -> DataFrame:
-    """(part, block, start): ids in all blocks before.  Parts are summed first, so the
-    window over everything has a row per part."""
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(upto(Window.orderBy("part"))), F.lit(0)).alias("base"))
-    inside = F.coalesce(F.sum("n_ids").over(upto(Window.partitionBy("part").orderBy("block"))), F.lit(0))
-    return files.select("part", "block", inside.alias("inside")).join(parts, "part").select("part", "block", (F.col("base") + F.col("inside")).alias("start"))
+def located(files: DataFrame) -> DataFrame:
+    """``files`` with start: ids in all blocks before.  Only the parts' totals are summed, a
+    row for each task that wrote, and go to the blocks as a broadcast."""
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
+    return files.join(F.broadcast(parts), "part").withColumn("start", F.col("base") + F.col("inside"))
+
+
+def token_range(files: DataFrame, first: int, count: int) -> DataFrame:
+    """(start, ids): the ids ``first`` to ``first + count`` of all files laid end to end, a
+    piece for each block they lie in; ids are little-endian unsigned 32-bit."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, data in zip(b.column("start").to_pylist(), b.column("data"), strict=True):
+                lo = max(first - start, 0)
+                ids = read_ids(data.as_py(), lo, first + count - start).astype("<u4").tobytes()
+                yield pa.RecordBatch.from_pydict({"start": pa.array([start + lo], pa.int64()), "ids": pa.array([ids], pa.binary())})
+
+    inside = located(files).where((F.col("start") < first + count) & (F.col("start") + F.col("n_ids") > first))
+    return inside.select("start", "data").mapInArrow(cut, "start long, ids binary")
 
 
 def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -233,7 +261,7 @@ def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*cols, *([pa.array(map(bytes, parts), pa.binary())] if with_ids else [])], names=names)
 
     kinds = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return files.join(file_starts(files), ["part", "block"]).select("start", "data").mapInArrow(decode, kinds)
+    return located(files).select("start", "data").mapInArrow(decode, kinds)
 
 
 def digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:

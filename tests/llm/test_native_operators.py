@@ -63,6 +63,22 @@ def test_split_tree_keeps_block_counts(spark):
     assert dict(per_rank) == {0: 100, 1: 7, 2: 0, 3: 64} and set(per_shard.values()) <= {24, 25}
 
 
+def test_blocks_are_permuted_and_shards_have_their_quotas(spark):
+    for n in (1, 2, 3, 7, 33, 100):
+        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3), F.lit(1)).alias("at")).collect()
+        assert sorted(r["at"] for r in got) == list(range(n))
+    got = [r["at"] for r in spark.range(100).select(mixing.permuted(F.col("id"), F.lit(100).cast("long"), F.lit(3), F.lit(1)).alias("at")).collect()]
+    assert len({(b - a) % 100 for a, b in zip(got, got[1:])}) > 40  # no shift, no progression
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 7 as int))").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    blocks = {}
+    for r in mixing.mix_plan(docs, shards=5, block_words=16).collect():
+        for d in r["draws"]:
+            blocks.setdefault(r["source"], {}).setdefault(d["block"], set()).add(d["shard"])
+    assert all(len(s) == 1 for b in blocks.values() for s in b.values())  # a block goes to one shard
+    share = [sum(len([1 for s in b.values() if k in s]) for b in blocks.values()) for k in range(5)]
+    assert max(share) - min(share) <= 2 + 3  # equal totals, but for a last block of a source that no row lies in
+
+
 def test_hypergeometric_distribution(spark):
     n = 20000
     u = (F.col("id") + F.lit(0.5)) / n
@@ -95,6 +111,36 @@ def test_order_of_rules_changes_no_verdict(docs):
     assert a == b
 
 
+def test_rules_behind_the_first_that_rejects_are_not_evaluated(spark):
+    from tallyforge.llm.quality_cascade import RULES, Rule, verdict, work
+
+    trap = Rule("trap", ("n_words",), lambda f: F.when(f["n_words"] < 20, F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(F.lit(False)))
+    df = spark.createDataFrame([("one two",), (" ".join(f"w{i}" for i in range(50)),)], "text string")
+    assert [r["v"] for r in df.select(verdict(F.col("text"), [RULES[0], trap])["rejected_by"].alias("v")).collect()] == ["too_few_words", None]
+    with pytest.raises(Exception, match="evaluated"):
+        df.select(verdict(F.col("text"), [trap, RULES[0]])["rejected_by"].alias("v")).collect()
+    figures = {r.name: (1.0 + k, 0.2) for k, r in enumerate(RULES)}
+    assert work(quality_cascade.order_rules(RULES, figures), figures) < work(RULES[::-1], figures)
+
+
+def test_a_filter_on_long_texts_keeps_the_words_cut_once(spark):
+    import time
+
+    long = " ".join(f"w{i}" for i in range(20000))
+    df = spark.createDataFrame([(1, long), (2, "short"), (3, long + " " + long)], "doc_id int, text string")
+    kept = quality_cascade.cascade(df).where("rejected_by IS NULL").drop("rejected_by")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(trim") + plan.count("split(lambda") == 1
+    began = time.perf_counter()
+    assert [r["doc_id"] for r in kept.collect()] == [1] and time.perf_counter() - began < 30
+
+
+def test_late_rules(spark):
+    rows = [(1, "a " * 10 + "1 " * 30, "few_letters"), (2, "\n".join(f"- item {i} of the list here" for i in range(12)), "bullets"), (3, "\n".join(f"line number {i} breaks off ..." for i in range(12)), "cut_off"), (4, "\n".join(f"a plain line of number {i} ends." for i in range(12)), None)]
+    got = spark.createDataFrame(rows, "doc_id int, text string, want string").withColumn("v", quality_cascade.verdict(F.col("text"), quality_cascade.RULES[2:])["rejected_by"])
+    assert all(r["v"] == r["want"] for r in got.collect())
+
+
 def test_rules_are_ordered_by_rejection_per_cost():
     r = quality_cascade.RULES[:3]
     figures = {r[0].name: (1.0, 0.1), r[1].name: (1.0, 0.5), r[2].name: (10.0, 0.6)}

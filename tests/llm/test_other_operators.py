@@ -85,7 +85,13 @@ def test_simple8b_round_trip():
     rng = random.Random(5)
     for v in ([], [0] * 1000, [1 << 62, 5, (1 << 60) - 1, (1 << 64) - 1, 0], list(range(70000)), [rng.getrandbits(rng.randint(0, 64)) for _ in range(5000)], [(1 << 64) - 1] * 9):
         a = np.array(v, np.uint64)
-        assert np.array_equal(simple8b.unpack(simple8b.pack(a), len(a)), a)
+        assert np.array_equal(simple8b.unpack(simple8b.pack(a)[0], len(a)), a)
+        block = simple8b.write_block([1, None], np.array([len(a), 0]), a)
+        assert np.array_equal(simple8b.read_block(block)[2], a)
+        for _ in range(20):  # any range, from the offsets around it
+            lo = rng.randint(0, len(a))
+            hi = rng.randint(lo, len(a))
+            assert np.array_equal(simple8b.read_ids(block, lo, hi), a[lo:hi])
     with pytest.raises(ValueError):
         simple8b.read_block(simple8b.write_block([1], np.array([1]), np.array([7]))[:-1] + b"x")
 
@@ -99,6 +105,11 @@ def test_token_files(docs, rows):
         ids = [*tok.encode(text[r["doc_id"]] or "", add_special_tokens=False).ids, 2]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+    files = simple8b.write_token_files(docs, WORD_FILE, block_docs=8)
+    every = b"".join(bytes(r["ids"]) for r in sorted(simple8b.read_token_files(files).collect(), key=lambda r: r["start"]))
+    for first, count in ((0, 10), (700, 9000), (at - 5, 50), (at, 3)):
+        pieces = sorted(simple8b.token_range(files, first, count).collect(), key=lambda r: r["start"])
+        assert b"".join(bytes(r["ids"]) for r in pieces) == every[4 * first : 4 * (first + count)]
 
 
 def test_bpe_equals_the_library():

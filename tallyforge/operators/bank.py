@@ -68,6 +68,16 @@ def debit_order(check_no: Column, date: Column) -> list[Column]:
     return [check_no.isNull(), F.when(check_no.isNull(), 0).otherwise(F.coalesce(digits.try_cast("long"), F.lit(999999999))), F.coalesce(date, F.lit("99/99"))]
 
 
+def deposit_order(date: Column) -> list[Column]:
+    """By date; what has none comes last."""
+    return [F.coalesce(date, F.lit("99/99"))]
+
+
+def placed(tx: DataFrame, part: str, order: list[Column | str]) -> DataFrame:
+    """The rows with their place within their statement."""
+    return tx.withColumn("place", F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+
+
 def sums(tx: DataFrame, part: str) -> DataFrame:
     """Deposits, debits without and with a check number."""
     v, check = F.col("value"), F.col("check_no").isNotNull()

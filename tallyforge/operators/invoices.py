@@ -114,3 +114,261 @@ def move_adjustments(rows: DataFrame, plan: str, current: str, adjustment: str)
 
 def missing_rates(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(*[F.avg((F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).cast("double")).alias(c) for c in columns])
+
+
+ABSENT = ("n/a", "none", "")
+
+
+def given(value: Column) -> Column:
+    """The value, or null where it stands for nothing."""
+    return F.when(~F.lower(F.trim(value.cast("string"))).isin(*ABSENT), value)
+
+
+def three_totals(rows: DataFrame, label: str, current: str, adjustment: str) -> DataFrame:
+    """The rows and three more: all current premiums, all adjustments, and both together."""
+    s = rows.agg(F.coalesce(F.sum(current), F.lit(0)).alias("c"), F.coalesce(F.sum(adjustment), F.lit(0)).alias("a"))
+    line = lambda name, c, a: F.struct(F.lit(name).alias(label), c.alias(current), a.alias(adjustment))
+    none = F.lit(None).cast(rows.schema[current].dataType)
+    c, a = F.col("c").cast(rows.schema[current].dataType), F.col("a").cast(rows.schema[adjustment].dataType)
+    totals = s.select(F.inline(F.array(line("TOTAL CURRENT PREMIUM", c, none), line("TOTAL ADJUSTMENTS", none, a), line("GRAND TOTAL", (c + a).cast(rows.schema[current].dataType), none))))
+    return rows.unionByName(totals, allowMissingColumns=True)
+
+
+#: Labels of a row with the invoice's total, the best first.
+TOTAL_LABELS = ("AMOUNT DUE", "INVOICED AMOUNT", "BALANCE DUE", "REPORTED INVOICE TOTAL", "GRAND TOTAL")
+
+
+def display_total(rows: DataFrame, doc: str, order: str, stated: str, plan: str, first: str, current: str) -> DataFrame:
+    """One total per document: the first stated total above 0, else the last row that the best
+    label names, else the sum over rows with a first name.  Texts may have ``$`` and commas."""
+    num = lambda c: F.regexp_replace(F.col(c).cast("string"), "[,$]", "").try_cast("decimal(18,2)")
+    value, total = num(current), num(stated)
+    names = F.concat_ws("\n", F.upper(plan), F.upper(first))
+    rank = F.lit(None).cast("int")
+    for k, label in reversed(list(enumerate(TOTAL_LABELS))):
+        rank = F.when(names.contains(label), k).otherwise(rank)
+    g = rows.groupBy(doc).agg(
+        F.min_by(total, F.when(total > 0, F.col(order))).alias("stated"),
+        F.min_by(value, F.when((value > 0) & rank.isNotNull(), F.struct(rank.alias("r"), (-F.col(order)).alias("o")))).alias("labelled"),
+        F.sum(F.when(F.coalesce(F.col(first), F.lit("")) != "", F.coalesce(value, F.lit(0)))).alias("summed"),
+    )
+    return g.select(doc, F.coalesce("stated", "labelled", "summed", F.lit(0)).cast("double").alias("display_total"))
+
+
+def merged_header(headers: DataFrame, doc: str, order: str, amounts: list[str], others: list[str]) -> DataFrame:
+    """One header per document from its chunks': the largest of each amount above 0, the first
+    given value in chunk order of all else."""
+    top = [F.max(F.when(F.col(c) > 0, F.col(c))).alias(c) for c in amounts]
+    return headers.groupBy(doc).agg(*top, *[F.min_by(given(F.col(c)), F.when(given(F.col(c)).isNotNull(), F.col(order))).alias(c) for c in others])
+
+
+def inject_headers(items: DataFrame, headers: DataFrame, chunk: str, fields: list[str], invoice: str, due: str, dues: DataFrame) -> DataFrame:
+    """Items take from their chunk's header what they lack; then all items of an invoice in
+    ``dues`` (invoice, amount) take its amount."""
+    h = headers.select(chunk, *[given(F.col(c)).alias(f"__{c}") for c in fields])
+    out = items.join(h, chunk, "left").withColumns({c: F.coalesce(F.when(F.col(c).cast("string") != "", F.col(c)), F.col(f"__{c}")) for c in fields}).drop(*[f"__{c}" for c in fields])
+    known = dues.select(F.col("invoice").alias("__inv"), F.col("amount").alias("__amount"))
+    return out.join(known, F.col(invoice) == F.col("__inv"), "left").withColumn(due, F.coalesce("__amount", due)).drop("__inv", "__amount")
+
+
+SYNTHETIC = "REPORTED INVOICE TOTAL (FOR AUDIT)"
+
+
+def synthetic_totals(rows: DataFrame, doc: str, invoice: str, due: str, plan: str, first: str, current: str, header_due: str) -> DataFrame:
+    """The total rows that documents lack: one per invoice that states an amount and has no
+    total row; for a document without invoice numbers, or where none came of it and no plan
+    names a total, one from the header's amount."""
+    inv = F.coalesce(F.nullif(F.col(invoice).cast("string"), F.lit("")), F.lit("global"))
+    in_plan = F.upper(F.coalesce(F.col(plan), F.lit(""))).contains("TOTAL")
+    has = in_plan | F.upper(F.coalesce(F.col(first), F.lit(""))).contains("TOTAL")
+    g = rows.groupBy(doc, inv.alias("inv")).agg(F.max(F.coalesce(F.col(due), F.lit(0))).alias("amount"), F.bool_or(has).alias("has"), F.bool_or(in_plan).alias("in_plan"), F.max(header_due).alias("header"))
+    by_doc = Window.partitionBy(doc)
+    clustered = (F.count("*").over(by_doc) > 1) | (F.max("inv").over(by_doc) != "global")
+    g = g.withColumn("adds", clustered & ~F.col("has") & (F.col("amount") > 0))
+    g = g.withColumn("any_added", F.max("adds").over(by_doc)).withColumn("any_total", F.max("in_plan").over(by_doc)).withColumn("header", F.max("header").over(by_doc)).withColumn("n", F.row_number().over(by_doc.orderBy("inv")))
+    from_header = ~F.col("any_added") & ~F.col("any_total") & (F.col("n") == 1) & (F.coalesce("header", F.lit(0)) > 0)
+    out = g.where(F.col("adds") | from_header)
+    return out.select(
+        doc, F.when(F.col("adds") & (F.col("inv") != "global"), F.col("inv")).alias(invoice), F.lit("TOTAL").alias(plan), F.lit(SYNTHETIC).alias(first), F.when(F.col("adds"), F.col("amount")).otherwise(F.col("header")).alias(current)
+    )
+
+
+def invoice_list(docs: DataFrame, doc: str, invoices: str, number: str, amount: str) -> DataFrame:
+    """Per document its invoices' numbers in order, how many there are, and their sum."""
+    amounts = F.transform(F.col(invoices), lambda x: F.coalesce(x[amount].cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")))
+    return docs.select(
+        doc, F.coalesce(F.transform(F.col(invoices), lambda x: x[number]), F.array()).alias("numbers"), F.coalesce(F.size(invoices), F.lit(0)).alias("invoices"),
+        F.coalesce(F.aggregate(amounts, F.lit(0).cast("decimal(38,2)"), lambda s, x: (s + x).cast("decimal(38,2)")), F.lit(0)).cast("double").alias("total_value"),
+    )
+
+
+def fill_rate(rows: DataFrame, doc: str, texts: list[str], premiums: list[str]) -> DataFrame:
+    """How many of a document's slots are filled: one per row for each text, one for any premium."""
+    filled = [F.coalesce(~F.trim(F.col(c).cast("string")).isin("", "null", "None"), F.lit(False)).cast("int") for c in texts]
+    paid = F.lit(False)
+    for p in premiums:
+        paid = paid | (F.coalesce(p, F.lit(0)) != 0)
+    slots = sum(filled[1:], filled[0]) + paid.cast("int")
+    return rows.groupBy(doc).agg((F.sum(slots) / (F.count("*") * (len(texts) + 1))).alias("fill_rate"))
+
+
+def member_audit(rows: DataFrame, part: str, last: str, name: str, current: str) -> DataFrame:
+    """Rows and premiums of a person, by part, and over all parts (null)."""
+    found = rows.where(F.contains(F.lower(last), F.lit(name.lower())))
+    return found.rollup(part).agg(F.count("*").alias("rows"), F.coalesce(F.sum(current), F.lit(0)).cast("double").alias("subtotal"))
+
+
+# --- fixed values: words of total rows, of fees, and of plans that only sound like totals ---
+TOTAL_WORDS = ("TOTAL", "GRAND TOTAL", "SUBTOTAL", "SUB TOTAL", "INVOICE TOTAL", "BALANCE DUE", "AMOUNT DUE", "EAP FEE", "MONTHLY PREMIUM STATEMENT SUMMARY", "ADJUSTMENTS/FEES")
+FEE_WORDS = ("FEE", "ADJUSTMENT", "CREDIT", "CHARGE")
+NO_TOTALS = ("TOTAL PET", "SUBSCRIBER TOTAL", "MEMBER TOTAL", "PERSON TOTAL", "EE TOTAL")
+SUMMARY_WORDS = ("TOTAL", "SUMMARY", "SUBTOTAL", "BALANCE DUE", "GRAND TOTAL", "INVOICE TOTAL")
+BLANK_NAMES = ("", "NONE", "NAN", "N/A", "UNKNOWN")
+HEADER_CELLS = ("last name", "first name", "lastname", "firstname", "name")
+DUMMY_IDS = ("123456789", "987654321", "000000000", "111223344", "556677889", "112233445")
+# --- end of fixed values ---
+
+
+def names_word(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of the words stands in the text as a whole word."""
+    return F.upper(F.coalesce(text, F.lit(""))).rlike(r"\b(" + "|".join(words) + r")\b")
+
+
+def summary_row(columns: list[str], first: str, last: str, plan: str, premium: str) -> Column:
+    """Rows that sum others: a total word in any column, unless the column says TOTAL PET, or
+    the row is a reported invoice total; or a premium that nobody and no plan goes with."""
+    out = (lambda blank: blank(first) & blank(last) & blank(plan) & F.col(premium).isNotNull())(lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))).isin("none", "", "nan"))
+    for c in reversed(columns):  # the first column with a word decides
+        v = F.upper(F.coalesce(F.col(c), F.lit("")))
+        hit = ~v.contains("TOTAL PET") & names_word(F.col(c), SUMMARY_WORDS)
+        out = F.when(hit, ~v.contains("REPORTED INVOICE TOTAL")).otherwise(out)
+    return out
+
+
+def header_echo(last: Column) -> Column:
+    """A repeated header line: its name cell holds the heading."""
+    return F.coalesce(F.lower(F.trim(last)).isin(*HEADER_CELLS), F.lit(False))
+
+
+def dummy_id(*ids: Column) -> Column:
+    """Whether an id holds one of the digit rows that stand for no one."""
+    out = F.lit(False)
+    for i in ids:
+        out = out | F.coalesce(i.cast("string"), F.lit("")).rlike("|".join(DUMMY_IDS))
+    return out
+
+
+def without_subscriber_totals(rows: DataFrame, doc: str, ids: list[str], plan: str) -> DataFrame:
+    """Rows without a person's subscriber total where the person has other rows."""
+    pid = F.coalesce(*[F.nullif(F.upper(F.trim(F.col(c).cast("string"))), F.lit("")) for c in ids])
+    r = rows.withColumn("__pid", pid).withColumn("__n", F.count("__pid").over(Window.partitionBy(doc, "__pid")))
+    return r.where(~(F.col("__pid").isNotNull() & F.upper(F.coalesce(plan, F.lit(""))).contains("SUBSCRIBER TOTAL") & (F.col("__n") > 1))).drop("__pid", "__n")
+
+
+def initial_matches(left: DataFrame, right: DataFrame, key: str, id_col: str, first: str, last: str) -> DataFrame:
+    """(key, match): the least ``id_col`` of ``right`` with the same last name and the same
+    first name, or one of the two an initial of the other; spaces and case do not count."""
+    squeezed = lambda c: F.lower(F.regexp_replace(F.trim(c), " ", ""))
+    keys = lambda t, k: t.select(F.col(k).alias(k), squeezed(F.col(last)).alias("l"), squeezed(F.col(first)).alias("f")).where("l <> '' AND f <> ''")
+    a, b = keys(left, key), keys(right, id_col)
+    # equal joins only: on the whole first name, and on its first letter where either is an initial
+    whole = a.join(b.groupBy("l", "f").agg(F.min(id_col).alias("match")), ["l", "f"])
+    letter = lambda t: t.withColumn("i", F.left("f", F.lit(1)))
+    short = letter(a).where("length(f) > 1").join(letter(b).where("length(f) = 1").groupBy("l", "i").agg(F.min(id_col).alias("match")), ["l", "i"])
+    long = letter(a).where("length(f) = 1").join(letter(b).groupBy("l", "i").agg(F.min(id_col).alias("match")), ["l", "i"])
+    both = whole.select(key, "match").unionByName(short.select(key, "match")).unionByName(long.select(key, "match"))
+    return both.groupBy(key).agg(F.min("match").alias("match"))
+
+
+def legal_plans(rows: DataFrame, member: str, plan: str, kind: str, current: str, adjustment: str, dates: list[str], invoice_date: Column) -> DataFrame:
+    """Legal plans by the member id: 101 and 700 name the plan where it is missing; a premium
+    on a row with a date of its own, not the invoice's, is an adjustment."""
+    m, p = F.trim(F.coalesce(F.col(member), F.lit(""))), F.upper(F.trim(F.coalesce(F.col(plan), F.lit(""))))
+    named = F.when(p.isin("", "INVOICE") & m.startswith("101"), "Legal Plan").when(p.isin("", "INVOICE") & m.startswith("700"), "Identity Theft Plan")
+    own = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in dates])
+    digits = lambda c: F.regexp_replace(F.regexp_replace(c, r"\D", ""), "^0+", "")
+    dated = F.coalesce(own.rlike("[/-]") & F.coalesce(digits(own) != digits(invoice_date), F.lit(True)), F.lit(False))
+    c, a = F.coalesce(F.col(current), F.lit(0)), F.coalesce(F.col(adjustment), F.lit(0))
+    moves = dated & (c != 0) & (a == 0)
+    zero = F.lit(0).cast(rows.schema[current].dataType)
+    return rows.withColumns({
+        plan: F.coalesce(named, F.col(plan)), kind: F.when(named.isNotNull(), "VOLUNTARY").otherwise(F.col(kind)),
+        adjustment: F.when(moves, F.col(current)).otherwise(F.col(adjustment)), current: F.when(moves, zero).otherwise(F.col(current)),
+    })
+
+
+def single_fees(rows: DataFrame, doc: str, order: str, plan: str, kind: str, last: str, first: str, tier: str, current: str, adjustment: str) -> DataFrame:
+    """Each fee or credit of a document once, named alike and after the members: the result has
+    ``is_fee`` and ``place`` within the document."""
+    up = lambda c: F.upper(F.coalesce(F.col(c), F.lit("")))
+    value = F.coalesce(F.when(F.col(current) != 0, F.col(current)), F.col(adjustment), F.lit(0)).cast("decimal(18,2)")
+    billing = (up(plan).contains("BILLING FEE") | (up(plan) == "FEES") | up(plan).contains("SETUP FEE") | (up(last) == "BILLING FEE")) & (value == 25)
+    name = F.when(billing, "Billing Fee").when(up(plan).contains("SURPLUS REIMBURSEMENT"), "Surplus Reimbursement").when(up(plan).contains("PACKAGED SAVINGS"), "Packaged Savings Credit")
+    fee = name.isNotNull() | (up(kind) == "FEES") | (up(last) == "CREDIT/FEE")
+    key = F.when(billing, F.struct(F.lit("billing").alias("k"), F.lit(None).cast("decimal(18,2)").alias("v"))).when(fee, F.struct(F.coalesce(name, F.concat(F.lit("other "), up(plan))).alias("k"), value.alias("v")))
+    r = rows.withColumn("__name", name).withColumn("is_fee", fee).withColumn("__key", key)
+    n = F.row_number().over(Window.partitionBy(doc, "__key").orderBy(order))
+    r = r.withColumn("__n", F.when(F.col("is_fee"), n).otherwise(1)).where("__n = 1")
+    named = F.col("__name").isNotNull()
+    none = F.lit(None).cast("string")
+    r = r.withColumns({
+        plan: F.when(named, F.col("__name")).otherwise(F.col(plan)), kind: F.when(named, "FEES").otherwise(F.col(kind)), last: F.when(named, "Credit/Fee").otherwise(F.col(last)),
+        first: F.when(named, none).otherwise(F.col(first)), tier: F.when(named, none).otherwise(F.col(tier)),
+    })
+    return r.withColumn("place", F.row_number().over(Window.partitionBy(doc).orderBy("is_fee", order))).drop("__name", "__key", "__n")
+
+
+def own_member_id(member: Column, ssn: Column) -> Column:
+    """The member id, unless it is the social security number again or both are masked."""
+    m, s = F.trim(F.coalesce(member, F.lit(""))), F.trim(F.coalesce(ssn, F.lit("")))
+    same = (m != "") & (s != "") & ((m == s) | (m.startswith("***") & s.startswith("***")))
+    return F.when(~same, member)
+
+
+def row_class(plan: str, first: str, last: str, member: str, ssn: str, kind: str, current: str, most: float = 6000) -> Column:
+    """member, adjustment or total: totals by their words, by an amount over ``most``, or as a
+    name without id and plan, or as neither name nor plan; a row of a person with an id is no
+    total by its words alone."""
+    up = lambda c: F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    there = lambda c: ~up(c).isin(*BLANK_NAMES)
+    names = (up(first) != "") & (up(last) != "") & ~up(first).isin("NONE", "NAN", "N/A")
+    words = names_word(F.col(plan), TOTAL_WORDS) | names_word(F.col(first), TOTAL_WORDS) | names_word(F.col(last), TOTAL_WORDS)
+    sounds = F.lit(False)
+    for x in NO_TOTALS:
+        sounds = sounds | up(plan).contains(x)
+    by_words = words & ~sounds & ~((there(member) | there(ssn)) & names)
+    fee = ~by_words & (names_word(F.col(plan), FEE_WORDS) | names_word(F.col(last), FEE_WORDS) | (up(kind) == "FEES") | (up(last) == "CREDIT/FEE"))
+    nobody = (names & ~there(member) & ~there(plan)) | (~names & ~there(plan) & ~fee)
+    is_total = by_words | (F.coalesce(F.col(current), F.lit(0)) > most) | nobody
+    return F.when(is_total, "total").when(fee, "adjustment").otherwise("member")
+
+
+def partitioned(rows: DataFrame, doc: str, order: str, class_: Column) -> DataFrame:
+    """Rows with their class and place: members first, then adjustments, then totals."""
+    rank = F.when(F.col("row_class") == "member", 0).when(F.col("row_class") == "adjustment", 1).otherwise(2)
+    return rows.withColumn("row_class", class_).withColumn("place", F.row_number().over(Window.partitionBy(doc).orderBy(rank, order)))
+
+
+def member_order(invoice: str, last: str, first: str) -> list[Column]:
+    """By invoice, last and first name; missing ones last."""
+    return [F.col(c).asc_nulls_last() for c in (invoice, last, first)]
+
+
+def empty_items(items: Column, fields: list[str]) -> Column:
+    """Whether no item of a list has any of the fields."""
+    said = lambda x, f: F.coalesce(~F.lower(F.trim(x[f].cast("string"))).isin("", "none", "null", "nan"), F.lit(False))
+
+    def any_field(x: Column) -> Column:
+        out = said(x, fields[0])
+        for f in fields[1:]:
+            out = out | said(x, f)
+        return out
+
+    return ~F.coalesce(F.exists(items, any_field), F.lit(False))
+
+
+def benefit_rows(rows: DataFrame, description: str, premium: str, type_of) -> DataFrame:
+    """A row per benefit: rows without a description, or that repeat the heading or a total, drop out."""
+    text = F.trim(F.coalesce(F.col(description), F.lit("")))
+    kept = rows.where(~F.lower(text).isin("", "nan", "benefit description", "total"))
+    return kept.withColumns({"PLAN_NAME": text, "PLAN_TYPE": type_of(text), "CURRENT_PREMIUM": F.coalesce(F.col(premium).cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")), "ADJUSTMENT_PREMIUM": F.lit(0).cast("decimal(18,2)")})

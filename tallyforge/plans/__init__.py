@@ -1,3 +1,3 @@
 """Queries over the driver's tables: importing this package fills the catalog."""
 
-from . import catalog, more  # noqa: F401
+from . import catalog, claim_queries, invoice_queries, more  # noqa: F401

@@ -12,23 +12,34 @@ STATE_FACTORS = {"GERMANY": 1.0, "FRANCE": 2.0, "JAPAN": 3.0, "CHINA": 6.0, "BRA
 CLASS_FACTORS = {"Brand#11": 1.0, "Brand#22": 3.0, "Brand#33": 6.0, "Brand#44": 8.0, "Brand#55": 10.0}
 
 
-def claims(spark: SparkSession, d: str) -> DataFrame:
-    """A claim per order line.  Columns that a query does not use are pruned, and with them
-    the joins' columns; the small tables are broadcast by the planner if their size allows."""
-    li, o, c = (table(spark, d, t) for t in ("lineitem", "orders", "customer"))
-    n, p, s = (table(spark, d, t) for t in ("nation", "part", "supplier"))
+#: The tables behind the columns of a claim that are not on the order line itself.
+BEHIND = {"cause": "orders", "client": "customer", "account": "customer", "state": "nation", "class_code": "part", "class_text": "part", "carrier": "supplier"}
+
+
+def claims(spark: SparkSession, d: str, *extra: str) -> DataFrame:
+    """A claim per order line, with the columns ``extra`` from other tables.  Only tables that
+    a column needs are joined: Spark does not drop an inner join that nobody reads from."""
+    li = table(spark, d, "lineitem")
     price, cut = cents(F.col("l_extendedprice")), cents(F.col("l_discount"))
-    j = (
-        li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-        .join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
-    )
-    return j.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_number"), F.col("c_name").alias("client"), F.col("c_mktsegment").alias("account"), F.col("n_name").alias("state"),
-        F.when(F.col("l_linestatus") == "O", "OPEN").otherwise("CLOSED").alias("status"), price.alias("incurred"), (price - price * cut).alias("paid"), (price * cut).alias("reserve"),
-        (F.col("l_returnflag") == "R").alias("litigated"), F.col("p_brand").alias("class_code"), F.col("p_type").alias("class_text"), F.col("o_orderpriority").alias("cause"),
-        F.col("l_shipdate").cast("date").alias("loss_date"), F.year("l_shipdate").alias("year"), F.col("s_name").alias("carrier"), F.col("l_suppkey").cast("string").alias("policy"),
+    c = li.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_number"), F.when(F.col("l_linestatus") == "O", "OPEN").otherwise("CLOSED").alias("status"),
+        price.alias("incurred"), (price - price * cut).alias("paid"), (price * cut).alias("reserve"), (F.col("l_returnflag") == "R").alias("litigated"),
+        F.col("l_shipdate").cast("date").alias("loss_date"), F.year("l_shipdate").alias("year"), F.col("l_suppkey").cast("string").alias("policy"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
     )
+    need = {BEHIND[x] for x in extra}
+    if need & {"orders", "customer", "nation"}:
+        o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.col("o_orderpriority").alias("cause"))
+        if need & {"customer", "nation"}:
+            o = o.join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("client"), F.col("c_mktsegment").alias("account"), "c_nationkey"), "o_custkey")
+        if "nation" in need:
+            o = o.join(table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("state")), "c_nationkey")
+        c = c.join(o, "l_orderkey")
+    if "part" in need:
+        c = c.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("class_code"), F.col("p_type").alias("class_text")), "l_partkey")
+    if "supplier" in need:
+        c = c.join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("carrier")), "l_suppkey")
+    return c
 
 
 CLAIMS = """claims AS (

@@ -44,17 +44,17 @@ TOTAL_ORDER = ["claim_number", "l_partkey", "l_suppkey"]
 
 @query("SELECT claim_number, state, status, CAST(incurred AS DOUBLE) AS incurred FROM claims ORDER BY incurred DESC, claim_number, l_partkey, l_suppkey LIMIT 10", b.CLAIMS)
 def top_claims(spark, d):
-    return ops.top_claims(b.claims(spark, d), 10, ["claim_number", "state", "status"], TOTAL_ORDER)
+    return ops.top_claims(b.claims(spark, d, "state"), 10, ["claim_number", "state", "status"], TOTAL_ORDER)
 
 
 @query("SELECT claim_number, client, CAST(incurred AS DOUBLE) AS incurred FROM claims ORDER BY incurred DESC, claim_number, l_partkey, l_suppkey LIMIT 5", b.CLAIMS)
 def top_five_claims(spark, d):
-    return ops.top_claims(b.claims(spark, d), 5, ["claim_number", "client"], TOTAL_ORDER)
+    return ops.top_claims(b.claims(spark, d, "client"), 5, ["claim_number", "client"], TOTAL_ORDER)
 
 
 @query(f"SELECT * FROM (SELECT state, count(claim_number) AS claim_count, {SUMS} AS outstanding_reserve FROM claims GROUP BY state) ORDER BY total_incurred DESC, state LIMIT 10", b.CLAIMS)
 def losses_by_state(spark, d):
-    return ops.losses_by_state(b.claims(spark, d))
+    return ops.losses_by_state(b.claims(spark, d, "state"))
 
 
 LOSSES = "SELECT {k}, count(*) AS claim_count, CAST(sum(incurred) AS DOUBLE) AS total_incurred, CAST(sum(incurred) AS DOUBLE) / count(*) AS average_severity FROM claims GROUP BY {k} ORDER BY sum(incurred) DESC, {k} LIMIT 10"
@@ -62,12 +62,12 @@ LOSSES = "SELECT {k}, count(*) AS claim_count, CAST(sum(incurred) AS DOUBLE) AS
 
 @query(LOSSES.format(k="class_code, class_text"), b.CLAIMS)
 def losses_by_class(spark, d):
-    return ops.losses_by(b.claims(spark, d), ["class_code", "class_text"])
+    return ops.losses_by(b.claims(spark, d, "class_code", "class_text"), ["class_code", "class_text"])
 
 
 @query(LOSSES.format(k="cause"), b.CLAIMS)
 def losses_by_cause(spark, d):
-    return ops.losses_by(b.claims(spark, d), ["cause"])
+    return ops.losses_by(b.claims(spark, d, "cause"), ["cause"])
 
 
 @query(f"""SELECT bucket, count(claim_number) AS claim_count, CAST(sum(reserve) AS DOUBLE) AS total_reserve, CAST(sum(incurred) AS DOUBLE) AS total_incurred FROM (
@@ -100,7 +100,7 @@ risk AS (SELECT client, n AS claim_count, inc AS total_incurred, {_steps('n', op
 
 
 def _risk(spark, d):
-    return ops.client_risk(b.claims(spark, d), b.STATE_FACTORS, b.CLASS_FACTORS)
+    return ops.client_risk(b.claims(spark, d, "client", "state", "class_code"), b.STATE_FACTORS, b.CLASS_FACTORS)
 
 
 @query(f"SELECT client, claim_count, total_incurred, CAST(round_even(raw, 0) AS BIGINT) AS score, {_category('raw')} AS category FROM risk", RISK)
@@ -153,7 +153,7 @@ def year_breakdown(spark, d):
 @query(f"SELECT coalesce(nullif(CASE WHEN l_suppkey % 5 = 0 THEN '' WHEN l_suppkey % 7 = 0 THEN NULL ELSE carrier END, ''), 'Unknown') AS carrier, {BREAKDOWN} FROM claims GROUP BY 1", b.CLAIMS)
 def carrier_breakdown(spark, d):
     gone = F.when(F.col("l_suppkey") % 5 == 0, "").when(F.col("l_suppkey") % 7 != 0, F.col("carrier"))
-    return ops.by_carrier(b.claims(spark, d).withColumn("carrier", gone))
+    return ops.by_carrier(b.claims(spark, d, "carrier").withColumn("carrier", gone))
 
 
 @query("""SELECT year, t AS total_incurred, CASE WHEN lag(t) OVER (ORDER BY year) > 0 THEN (t - lag(t) OVER (ORDER BY year)) / lag(t) OVER (ORDER BY year) * 100 END AS change_pct
@@ -178,7 +178,7 @@ def observations(spark, d):
 
 @query("SELECT year, min(policy) AS policy, min(carrier) AS carrier FROM claims GROUP BY year", b.CLAIMS)
 def summary_level(spark, d):
-    return ops.summary_level(b.claims(spark, d))
+    return ops.summary_level(b.claims(spark, d, "carrier"))
 
 
 @query("""SELECT claim_number, CAST(total AS DOUBLE) AS total FROM (SELECT claim_number, CASE WHEN sum(zero) OVER () = 0 THEN paid + reserve ELSE zero END AS total FROM (SELECT *, 0 AS zero FROM claims))""", b.CLAIMS)
@@ -198,7 +198,7 @@ def first_wins_dedupe(spark, d):
 
 @query("""SELECT claim_number, count(*) AS copies, CAST(max(CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE 0 END) AS INTEGER) AS best_score FROM claims GROUP BY claim_number""", b.CLAIMS)
 def best_claim_version(spark, d):
-    c = b.claims(spark, d).withColumn("score", (F.col("l_partkey") % 2 == 0).cast("int"))
+    c = b.claims(spark, d, "class_text").withColumn("score", (F.col("l_partkey") % 2 == 0).cast("int"))
     return cleaning.best_version(c, "claim_number", ["l_partkey", "l_suppkey", "incurred"], "score", "loss_date", ["class_text"]).select("claim_number", "copies", "best_score")
 
 
@@ -401,14 +401,15 @@ def summary_line_filter(spark, d):
     return t.where(~bank.summary_line(F.col("description"), F.col("amount"), 150) & ~F.upper("description").contains("VIEW")).select("event_id", "description")
 
 
-@query("SELECT event_id FROM tx ORDER BY check_no IS NULL, CASE WHEN check_no IS NULL THEN 0 ELSE CAST(check_no AS BIGINT) END, date, event_id LIMIT 20", b.TRANSACTIONS)
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY check_no IS NULL, CASE WHEN check_no IS NULL THEN 0 ELSE CAST(check_no AS BIGINT) END, date, event_id) AS place FROM tx", b.TRANSACTIONS)
 def debit_sort(spark, d):
-    return b.transactions(spark, d).orderBy(*bank.debit_order(F.col("check_no"), F.col("date")), "event_id").limit(20).select("event_id")
+    """Every statement's debits in order: a place for each row, so the whole order is checked."""
+    return bank.placed(b.transactions(spark, d), "user_id", [*bank.debit_order(F.col("check_no"), F.col("date")), "event_id"]).select("user_id", "event_id", "place")
 
 
-@query("SELECT event_id, date FROM tx ORDER BY date, event_id LIMIT 20", b.TRANSACTIONS)
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY date, event_id) AS place FROM tx", b.TRANSACTIONS)
 def deposit_sort(spark, d):
-    return b.transactions(spark, d).orderBy("date", "event_id").limit(20).select("event_id", "date")
+    return bank.placed(b.transactions(spark, d), "user_id", [*bank.deposit_order(F.col("date")), "event_id"]).select("user_id", "event_id", "place")
 
 
 # ---------------------------------------------------------------- workers' compensation

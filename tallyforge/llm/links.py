@@ -55,8 +55,9 @@ def joined(labels: DataFrame, new: DataFrame) -> DataFrame:
     of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
     told = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     moved = components(told).select(F.col("id").alias("label"), F.col("label").alias("to"))
-    # the full join lists ids that had no link before
-    return staged(labels.join(moved, "label", "full").select(F.coalesce("id", "label").alias("id"), F.coalesce("to", "label").alias("label")), "labels")
+    old = labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label"))  # a hot label's side can be split
+    first = moved.select(F.col("label").alias("id"), F.col("to").alias("label")).join(labels.select("id"), "id", "left_anti")
+    return staged(old.unionByName(first), "labels")
 
 
 def pair(x: str, y: str) -> list[Column]:

@@ -113,3 +113,41 @@ def json_merge(old: Column, new: Column) -> Column:
     parse = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
     o, n = parse(old), parse(new)
     return F.map_concat(F.map_filter(o, lambda k, _: ~F.map_contains_key(n, k)), n)
+
+
+def request_steps(requests: DataFrame, steps: DataFrame, key: str) -> DataFrame:
+    """Requests with their steps, a row per step; requests without steps drop out."""
+    return requests.join(steps, key)
+
+
+def resolved_paths(names: DataFrame, name: str, cache: DataFrame) -> DataFrame:
+    """Each file name with its path in ``cache`` (file, path), null if it has none; of several
+    paths the least."""
+    known = cache.groupBy(F.col("file").alias("__f")).agg(F.min("path").alias("path"))
+    return names.join(known, F.col(name) == F.col("__f"), "left").drop("__f")
+
+
+def with_call(requests: DataFrame, calls: str, new: Column) -> DataFrame:
+    """Requests whose list of model calls has one more, with the totals over all of them."""
+    every = F.array_append(F.coalesce(F.col(calls), F.array().cast(requests.schema[calls].dataType)), new)
+    tokens = lambda c: F.coalesce(c["prompt_tokens"], F.lit(0)) + F.coalesce(c["completion_tokens"], F.lit(0))
+    out = requests.withColumn(calls, every)
+    return out.withColumns({
+        "total_ai_tokens": F.aggregate(calls, F.lit(0).cast("long"), lambda a, c: a + tokens(c)), "total_ai_cost": F.aggregate(calls, F.lit(0.0), lambda a, c: a + F.coalesce(c["total_cost"], F.lit(0.0))),
+    })
+
+
+def appended(log: DataFrame, entries: DataFrame) -> DataFrame:
+    """A log after more entries; columns that an entry lacks are null, and none is replaced."""
+    return log.unionByName(entries.select(*[c for c in entries.columns if c in log.columns]), allowMissingColumns=True)
+
+
+def poll_interval(polls: DataFrame, part: str, order: str, found: str, base: float, patience: int = 3, most: float = 300) -> DataFrame:
+    """The seconds to wait after each poll: ``base``, doubled for every empty poll in a row from
+    the ``patience``-th on, up to ``most``; a poll that finds something starts anew."""
+    w = Window.partitionBy(part).orderBy(order)
+    run = F.count_if(F.col(found) > 0).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    p = polls.withColumn("__run", run)
+    empty = F.count_if(F.col(found) == 0).over(Window.partitionBy(part, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    doubled = F.lit(float(base)) * F.pow(F.lit(2.0), F.least(empty - patience + 1, F.lit(60)))
+    return p.withColumn("wait", F.when(empty >= patience, F.least(doubled, F.lit(float(most)))).otherwise(F.lit(float(base)))).drop("__run")

@@ -18,7 +18,12 @@ COVERAGE = {
     "EMPLOYEE ONLY": "EE", "EMPLOYEE AND SPOUSE": "ES", "EMPLOYEE AND FAMILY": "FAM", "EMPLOYEE AND CHILD": "EC", "EMPLOYEE AND CHILD(REN)": "EC",
     "EMPLOYEE & ONE OR MORE DEPENDENT": "EC", "EMPLOYEE & TWO OR MORE DEPENDENTS": "EC", "EMPLOYEE & THREE OR MORE DEPENDENTS": "EC",
     "EMPLOYEE & FOUR OR MORE DEPENDENTS": "EC", "EMPLOYEE & FIVE OR MORE DEPENDENTS": "EC",
+    "E1D": "EC", "E2D": "EC", "E3D": "EC", "E4D": "EC", "E5D": "EC", "E6D": "EC", "E7D": "EC", "E8D": "EC", "E9D": "EC",
 }
+PHANTOMS = (
+    "john smith", "smith john", "john doe", "doe john", "jane smith", "smith jane", "jane doe", "doe jane", "alice johnson", "johnson alice", "michael johnson", "johnson michael", "escort service", "insurance company",
+    "employers insurance", "policy total", " llc", " corp", " inc", "placeholder", "test person",
+)
 CORPORATE = "LLC|INC|CORP|CORPORATION|LIMITED|SERVICES|PLC|COMPANY|INSURED"
 # --- end of fixed values ---
 
@@ -76,9 +81,8 @@ def injury_type(raw: Column) -> Column:
 
 
 def coverage(raw: Column) -> Column:
-    """Coverage codes to EE, ES, EC or FAM; ``E1D`` to ``E9D`` are EC; others stay."""
-    t = F.upper(F.trim(raw))
-    return F.when(t.rlike("^E[1-9]D$"), "EC").otherwise(F.coalesce(lookup(raw, COVERAGE), raw))
+    """Coverage codes to EE, ES, EC or FAM; others stay."""
+    return F.coalesce(lookup(raw, COVERAGE), raw)
 
 
 def coverage_from_text(text: Column) -> Column:
@@ -104,6 +108,35 @@ def id_text(raw: Column) -> Column:
     return F.when(t.rlike(r"^0{4,}[1-9][0-9]{2,}$"), F.regexp_replace(t, "^0+", "")).otherwise(t)
 
 
+def invoice_number(raw: Column, total: Column) -> Column:
+    """Invoice numbers as text: none where it is the invoice's total in cents, padded with
+    zeros; without four or more zeros in front if three digits or more are left."""
+    t = raw.cast("string")
+    bare = F.regexp_replace(t, "^0+", "")
+    amount = (F.length(t) > 8) & (total > 0) & (bare == F.round(total * 100, 0).cast("decimal(18,0)").cast("string"))
+    short = F.regexp_replace(t, "[.-]", "").rlike(r"^\d+$") & (F.length(t) - F.length(bare) >= 4) & (F.length(bare) >= 3)
+    return F.when(~F.coalesce(amount, F.lit(False)), F.when(short, bare).otherwise(t))
+
+
+def stands_in(name: Column) -> Column:
+    """Whether a name stands for nobody: an example's name, or a business."""
+    t = F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), "[,.]", "")
+    out = F.lit(False)
+    for p in PHANTOMS:
+        out = out | t.contains(p)
+    return out
+
+
+def sheet_coverage(raw: Column) -> Column:
+    """Coverage as sheets word it; numbers are none, and what fits no rule stays."""
+    t = F.upper(F.coalesce(raw, F.lit("")))
+    has = lambda *w: F.forall(F.array(*[F.lit(x) for x in w]), lambda x: t.contains(x))
+    return (
+        F.when(F.regexp_replace(t, r"\.", "").rlike(r"^\d+$"), F.lit(None)).when(has("EMP", "CH"), "EC").when(has("EMP", "SP"), "ES").when(has("EE", "ONLY"), "EE").when(has("FAM"), "FAM").when(has("EE + SP"), "ES")
+        .when(has("EE + CH"), "EC").when(has("EMP"), "EE").when(has("CH"), "EC").when(has("SP"), "ES").otherwise(raw)
+    )
+
+
 def zero_stripped(raw: Column) -> Column:
     return F.regexp_replace(raw.cast("string"), "^0+", "")
 

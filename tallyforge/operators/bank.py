@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import month_day_gap
+from ..functions.dates import month_day, month_day_gap
 from ..functions.text import squeeze
 
 # --- fixed values ---
 CREDIT_WORDS = "deposit|credit|interest|refund|incoming|receive"
 DEBIT_WORDS = "withdrawal|debit|check|payment|fee|purchase|outgoing|send"
-SUMMARY_WORDS = "SUMMARY|SUM\\. |TOTAL|LEDGER BALANCE|PAGE |ACCOUNT STATEMENT|FOR THE PERIOD|ACCOUNT NUMBER:|DISBURSEMENTS|ZERO BALANCE TRANSFERS|ADJUSTMENTS"
+DEPOSIT_SUMMARY_WORDS = (
+    "SUMMARY", "SUM. ", "TOTAL", "BALANCE SUMMARY", "LEDGER BALANCE", "NATIONAL LOCKBOX", "PAGE ", "RECOVERED VIA", "==================", "ACCOUNT STATEMENT", "FOR THE PERIOD", "ACCOUNT NUMBER:",
+    "TRANSACTIONS FOR A TOTAL", "DEPOSITS AND OTHER CREDITS", "DATE CHECK REFERENCE", "DISBURSEMENTS", "TRADE SERVICES", "ZERO BALANCE TRANSFERS", "POSTED AMOUNT DESCRIPTION", "ADJUSTMENTS", "ACCOUNT SUMMARY",
+)
+DEBIT_SUMMARY_WORDS = (
+    "SUMMARY", "SUM. ", "TOTAL", "LEDGER BALANCE", "BEGINNING BALANCE", "PAGE ", "RECOVERED VIA", "==================", "ACCOUNT STATEMENT", "FOR THE PERIOD", "ACCOUNT NUMBER:", "TRANSACTIONS FOR A TOTAL",
+    "CHECKS AND OTHER DEBITS", "DATE CHECK REFERENCE", "DISBURSEMENTS", "ZERO BALANCE TRANSFERS", "POSTED AMOUNT DESCRIPTION", "ADJUSTMENTS", "ACH DEBITS", "TRADE SERVICES", "INVESTMENTS", "NATIONAL LOCKBOX",
+    "CHECK REFERENCE | DATE", "ITEMS AMOUNT", "DEPOSITS AND OTHER CREDITS", "FUNDS TRANSFER FROM ACCT", "ACCOUNT SUMMARY",
+)
 # --- end of fixed values ---
 
 
@@ -22,7 +30,8 @@ def signed(amount: Column, description: Column) -> Column:
 
 
 def audit_balance(tx: DataFrame, part: str, order: list[str], opening: Column, tolerance: float = 0.01) -> DataFrame:
-    """Adds prior (the balance before), value (signed), and fixed with the amount it should be.
+    """Adds prior (the balance before), value (signed), fixed with the amount it should be, and
+    a note: whether the sign alone is wrong, else the amount.
 
     A printed balance is an anchor: the balance before a row is the last anchor before it,
     or the opening, plus the signed amounts since."""
@@ -34,21 +43,42 @@ def audit_balance(tx: DataFrame, part: str, order: list[str], opening: Column, t
     t = t.withColumn("prior", F.coalesce("__a", opening) + F.coalesce(F.sum(F.when(F.col("running_balance").isNull(), F.col("value"))).over(since), F.lit(0)))
     off = F.abs(F.col("prior") + F.col("value") - F.col("running_balance")) > tolerance
     t = t.withColumn("fixed", F.coalesce(off, F.lit(False)))
+    swapped = F.abs(F.col("prior") - F.col("value") - F.col("running_balance")) <= tolerance
+    note = F.when(F.col("fixed") & swapped, "sign reversed").when(F.col("fixed"), F.concat(F.lit("amount should be "), F.format_string("%.2f", F.abs(F.col("running_balance") - F.col("prior")).cast("double"))))
+    t = t.withColumn("note", note)
     return t.withColumn("amount_due", F.when(F.col("fixed"), F.abs(F.round(F.col("running_balance") - F.col("prior"), 2))).otherwise(F.col("amount"))).drop("__g", "__a")
 
 
-def summary_line(description: Column, amount: Column, most: float) -> Column:
-    return F.upper(F.coalesce(description, F.lit(""))).rlike(SUMMARY_WORDS) | (F.abs(amount) > most)
+def summary_line(description: Column, amount: Column, most: float, words: tuple[str, ...] = DEPOSIT_SUMMARY_WORDS) -> Column:
+    """Rows that sum others: by a word, by an amount over ``most``, or by a count and an amount
+    in the description, the amount being the row's own."""
+    d = F.upper(F.coalesce(description, F.lit("")))
+    named = F.lit(False)
+    for w in words:
+        named = named | d.contains(w)
+    own = F.format_number(F.abs(amount).cast("decimal(18,2)").cast("double"), 2)
+    counted = d.rlike(r"\d+\s+[\d,]+\.\d{2}") & (d.contains(own) | d.contains(F.replace(own, F.lit(","), F.lit(""))))
+    return named | F.coalesce((F.abs(amount) > most) | counted, F.lit(False))
 
 
 def drop_duplicates(tx: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Transactions without those that repeat one of equal keys, at most a day apart, whose
     description holds the other's.  Of two the longer description stays; the first, if equal.
 
-    Only rows with equal keys can be duplicates, so the ordered comparison runs per key,
-    as a fold over the rows of one amount and check number.
+    Equal rows are collapsed first, while Spark combines them before the shuffle: a later
+    one is always covered.  What is left of a key is cut where two days lie further apart
+    than one, and each stretch is folded in order.
     """
-    row = F.struct(order, F.col("date").alias("date"), squeeze(F.upper(F.coalesce("description", F.lit("")))).alias("text"))
+    text = squeeze(F.upper(F.coalesce("description", F.lit(""))))
+    once = tx.groupBy(*keys, "date", text.alias("__text")).agg(F.min(order).alias("__o"))
+    day = F.coalesce(F.datediff(month_day(F.col("date")), F.lit("2000-01-01").cast("date")), F.lit(-999))
+    per_key = Window.partitionBy(*keys)
+    once = once.withColumn("__d", day).withColumn("__new", F.coalesce(F.col("__d") - F.lag("__d").over(per_key.orderBy("__d", "__o")) > 1, F.lit(False)))
+    once = once.withColumn("__run", F.count_if("__new").over(per_key.orderBy("__d", "__o"))).withColumn("__last", F.max("__run").over(per_key))
+    # December 31 and January 1 are neighbours
+    round_ = F.max((F.col("__d") >= 365).cast("int")).over(per_key) * F.max((F.col("__d").between(0, 0)).cast("int")).over(per_key)
+    first_day = F.min(F.when(F.col("__d") >= 0, F.col("__run"))).over(per_key)
+    once = once.withColumn("__run", F.when((round_ == 1) & (F.col("__run") == F.col("__last")), first_day).otherwise(F.col("__run")))
 
     def step(kept: Column, x: Column) -> Column:
         near = lambda u: month_day_gap(x["date"], u["date"]) <= 1
@@ -56,9 +86,9 @@ def drop_duplicates(tx: DataFrame, keys: list[str], order: str) -> DataFrame:
         shorter = lambda u: near(u) & x["text"].contains(u["text"])
         return F.when(covered, kept).otherwise(F.array_append(F.filter(kept, lambda u: ~shorter(u)), x))
 
-    g = tx.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
-    none = F.slice("__rows", 1, 0)
-    stay = g.select(F.explode(F.aggregate("__rows", none, step)).alias("r")).select(F.col(f"r.{order}").alias(order))
+    row = F.struct(F.col("__o").alias("o"), F.col("date").alias("date"), F.col("__text").alias("text"))
+    g = once.groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(row)).alias("__rows"))
+    stay = g.select(F.explode(F.aggregate("__rows", F.slice("__rows", 1, 0), step)).alias("r")).select(F.col("r.o").alias(order))
     return tx.join(stay, order, "left_semi")
 
 

@@ -307,3 +307,14 @@ def backfilled_names(claims: DataFrame, names: DataFrame, order: str) -> DataFra
 def high_reserve_claims(claims: DataFrame) -> DataFrame:
     """The claims that hold over half of their incurred in reserve."""
     return claims.where((F.col("incurred") > 0) & (F.col("reserve") * 2 > F.col("incurred")))
+
+
+def recent_counts(claims: DataFrame, current_year: int, years: int = 5, by: list[str] | None = None) -> DataFrame:
+    """Claims of the last years, older ones, and all; unknown years count as recent."""
+    recent = F.col("year").isNull() | (F.col("year") >= current_year - years + 1)
+    return claims.groupBy(*(by or [])).agg(F.count_if(recent).alias("last_five_years"), F.count_if(~recent).alias("older"), F.count("*").alias("total"))
+
+
+def merged_counts(counts: DataFrame) -> DataFrame:
+    """Counts of several files as one."""
+    return counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("last_five_years", "older", "total")])

@@ -79,3 +79,19 @@ def nearest_before(events: DataFrame, anchors: DataFrame, part: str, at: str, va
     )
     w = Window.partitionBy(part).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__side = 1").drop("__v", "__side")
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, table_key: str, columns: list[str]) -> DataFrame:
+    """The rows with columns of ``table`` by key; null where it has none."""
+    t = table.select(F.col(table_key).alias("__k"), *columns)
+    return rows.join(t, F.col(key) == F.col("__k"), "left").drop("__k")
+
+
+def math_valid(rows: DataFrame, parts: list[Column], reported: Column, tolerance: float = 0.1) -> DataFrame:
+    """Rows whose parts add up to the reported total, to the tolerance."""
+    return rows.where(math_check(parts, reported, tolerance)["diff"] <= tolerance)
+
+
+def quality_score(rows: DataFrame, valid: Column) -> DataFrame:
+    """How many rows are valid, of how many, in percent to one place."""
+    return rows.agg(F.count("*").alias("claims"), F.count_if(valid).alias("valid"), F.round(F.try_divide(F.count_if(valid) * 100, F.count("*")), 1).alias("score"))

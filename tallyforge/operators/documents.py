@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 def alnum_ratio(text: Column) -> Column:
     """Letters and digits among all characters, 0 for empty text."""
     n = F.length(text)
-    return F.when(n > 0, F.length(F.regexp_replace(text, "[^a-zA-Z0-9]", "")) / n).otherwise(F.lit(0.0))
+    return F.when(n > 0, F.length(F.regexp_replace(text, "[^a-zA-Z0-9]+", "")) / n).otherwise(F.lit(0.0))
 
 
 def quality(text: Column) -> dict[str, Column]:
     """Counts and ratios that tell readable text from damaged text."""
     t = F.coalesce(text, F.lit(""))
-    dense = F.length(F.regexp_replace(t, r"[\s$.,/\-:]", ""))
-    alnum = F.length(F.regexp_replace(t, "[^a-zA-Z0-9]", ""))
-    alpha = F.length(F.regexp_replace(t, "[^a-zA-Z]", ""))
-    vowels = F.length(F.regexp_replace(t, "[^aeiouAEIOU]", ""))
+    dense = F.length(F.regexp_replace(t, r"[\s$.,/\-:]+", ""))
+    alnum = F.length(F.regexp_replace(t, "[^a-zA-Z0-9]+", ""))
+    alpha = F.length(F.regexp_replace(t, "[^a-zA-Z]+", ""))
+    vowels = F.length(F.regexp_replace(t, "[^aeiouAEIOU]+", ""))
     lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: F.length(x) >= 5)
-    noisy = F.size(F.filter(lines, lambda x: (F.length(F.regexp_replace(x, "[^a-zA-Z0-9]", "")) * 2 < F.length(x)) | x.rlike(r"[|_]{3,}")))
+    noisy = F.size(F.filter(lines, lambda x: (F.length(F.regexp_replace(x, "[^a-zA-Z0-9]+", "")) * 2 < F.length(x)) | x.rlike(r"[|_]{3,}")))
     return {
         "cid_count": F.regexp_count(t, F.lit(r"\(cid:")).cast("long"), "noise_ratio": F.round(F.when(dense > 0, 1 - alnum / dense).otherwise(F.lit(1.0)), 4),
         "vowel_ratio": F.round(vowels / F.greatest(alpha, F.lit(1)), 4), "alpha_count": alpha.cast("long"), "noisy_line_ratio": F.round(noisy / F.greatest(F.size(lines), F.lit(1)), 4),
@@ -41,8 +41,8 @@ def is_noise(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     n = F.length(t)
     codes = F.regexp_count(t, F.lit(r"\(cid:")) / F.greatest(n / 8, F.lit(1.0)) > 0.25
-    symbols = n - F.length(F.regexp_replace(t, r"[/\\|@#$%&<>={}\[\]^~`]", ""))
-    odd = n - F.length(F.regexp_replace(t, r"[^\x20-\x7E]", ""))
+    symbols = n - F.length(F.regexp_replace(t, r"[/\\|@#$%&<>={}\[\]^~`]+", ""))
+    odd = n - F.length(F.regexp_replace(t, r"[^\x20-\x7E]+", ""))
     noise = (symbols + odd) / F.greatest(n, F.lit(1))
     words = F.regexp_count(t, F.lit("[a-zA-Z]{3,}")) / F.greatest(n / 5, F.lit(1.0))
     runs = F.regexp_count(t, F.lit(r"(.)\1{9,}")) > 3
@@ -109,7 +109,7 @@ def split_pages(docs: DataFrame, doc: str, text: str, marker: str = r"\[\[PAGE_\
 
 def clean_lines(text: Column, least_ratio: float = 0.2) -> Column:
     """Lines of two characters or more with enough letters and digits; wide gaps become cell bars."""
-    kept = F.filter(F.split(text, "\n"), lambda x: (F.length(F.trim(x)) >= 2) & (F.length(F.regexp_replace(x, "[^a-zA-Z0-9]", "")) >= F.length(x) * least_ratio))
+    kept = F.filter(F.split(text, "\n"), lambda x: (F.length(F.trim(x)) >= 2) & (F.length(F.regexp_replace(x, "[^a-zA-Z0-9]+", "")) >= F.length(x) * least_ratio))
     return F.array_join(F.transform(kept, lambda x: F.regexp_replace(F.trim(x), r"\s{3,}", " | ")), "\n")
 
 

@@ -372,3 +372,61 @@ def benefit_rows(rows: DataFrame, description: str, premium: str, type_of) -> Da
     text = F.trim(F.coalesce(F.col(description), F.lit("")))
     kept = rows.where(~F.lower(text).isin("", "nan", "benefit description", "total"))
     return kept.withColumns({"PLAN_NAME": text, "PLAN_TYPE": type_of(text), "CURRENT_PREMIUM": F.coalesce(F.col(premium).cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")), "ADJUSTMENT_PREMIUM": F.lit(0).cast("decimal(18,2)")})
+
+
+def amount_by_invoice(rows: DataFrame, invoice: str, amount: str, name: str = "amount_due") -> DataFrame:
+    """Every row with the largest amount that any row of its invoice states."""
+    return rows.withColumn(name, F.max(amount).over(Window.partitionBy(invoice)))
+
+
+def vendor_statistics(invoices: DataFrame, vendor: str, amount: str, item: str) -> DataFrame:
+    """Per vendor: sum, largest amount, and the item that has it (the least of ties)."""
+    return invoices.groupBy(vendor).agg(F.sum(amount).cast("double").alias("total"), F.max(amount).cast("double").alias("largest"), F.min_by(item, F.struct((-F.col(amount)).alias("a"), item)).alias("largest_item"))
+
+
+def grand_total(rows: DataFrame, plan: str, current: str) -> DataFrame:
+    """The rows without total rows, and one total: what the invoice reports, if it does (the
+    largest such row), else the sum."""
+    name = F.upper(F.coalesce(F.col(plan), F.lit("")))
+    kept = rows.where(~name.contains("TOTAL"))
+    reported = rows.where(name.contains("REPORTED")).agg(F.max(current).alias("v"))
+    total = kept.agg(F.coalesce(F.sum(current), F.lit(0)).alias("s")).withColumn("v", reported.scalar())
+    label = F.when(F.col("v").isNotNull(), "REPORTED GRAND TOTAL").otherwise("CALCULATED GRAND TOTAL")
+    return kept.select(plan, current).unionByName(total.select(label.alias(plan), F.coalesce("v", "s").cast(rows.schema[current].dataType).alias(current)))
+
+
+def flagged_rates(rates: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """Missing rates, a row per field, and whether each is over its limit."""
+    rows = rates.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("rate"), (F.col(c) > limit).alias("over")) for c, limit in limits.items()])))
+    return rows
+
+
+def merge_integrity(before: DataFrame, after: DataFrame, amount: str) -> DataFrame:
+    """The sums before and after a merge of rows, and whether they agree to a cent."""
+    b = before.agg(F.coalesce(F.sum(amount), F.lit(0)).cast("double").alias("before_sum"))
+    a = after.agg(F.coalesce(F.sum(amount), F.lit(0)).cast("double").alias("after_sum"))
+    return b.withColumn("after_sum", a.scalar()).withColumn("intact", F.abs(F.col("before_sum") - F.col("after_sum")) < 0.01)
+
+
+def repair_placeholders(rows: DataFrame, doc: str, order: str, last: str, first: str, plan: str, premiums: list[str], carry: list[str]) -> DataFrame:
+    """Rows of a person who is named on a page before: names that stand in for one, or a missing
+    name beside a premium, take name and ``carry`` from the last real person; those that sum
+    others, and those with no person before them, drop out."""
+    up = lambda c: F.upper(F.coalesce(F.col(c), F.lit("")))
+    weak = (up(first) == "") | up(last).isin("", "UNKNOWN", "NONE", "N/A", "PARTICIPANT", "MISSING")
+    place = (
+        (up(last).isin("MISSING", "UNKNOWN", "N/A", "PARTICIPANT", "PPT", "PPT/DEP", "DEPENDENT", "SPOUSE") & up(first).isin("FROM_PREVIOUS_PAGE", "UNKNOWN", "N/A", "PARTICIPANT")) | (up(last) == "MISSING") | (up(first) == "FROM_PREVIOUS_PAGE")
+        | (up(last).isin("PARTICIPANT", "PPT", "SPOUSE", "DEPENDENT") & (up(first) == "")) | ((up(first) == "") & (up(last) == ""))
+    )
+    paid = F.lit(False)
+    for p in premiums:
+        paid = paid | (F.coalesce(p, F.lit(0)) != 0)
+    place = place | (weak & paid)
+    total = up(plan).rlike("TOTAL|AMOUNT DUE|BILL BRANCH|NET AMOUNT|REPORTED INVOICE|LIFE INSURANCE BENEFITS")
+    sums = total | up(first).contains("TOTAL") | up(last).contains("TOTAL")
+    real = ~place & ~sums & (up(last) != "") & (up(last) != "MISSING")
+    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    fields = [last, first, *carry]
+    r = rows.withColumn("__place", place).withColumn("__person", F.last(F.when(real, F.struct(*fields)), ignorenulls=True).over(w))
+    r = r.where(~F.col("__place") | (~total & F.col("__person").isNotNull()))
+    return r.withColumn("repaired", F.col("__place")).withColumns({c: F.when(F.col("__place"), F.col(f"__person.{c}")).otherwise(F.col(c)) for c in fields}).drop("__place", "__person")

@@ -110,3 +110,8 @@ def absent(rows: DataFrame, known: DataFrame, keys: dict[str, Column]) -> DataFr
     r = rows.withColumns({f"__{n}": c for n, c in keys.items()})
     cond = reduce(lambda a, b: a & b, [r[f"__{n}"].eqNullSafe(k[f"__{n}"]) for n in keys])
     return r.join(k, cond, "left_anti").select(*rows.columns)
+
+
+def cells(line: Column) -> Column:
+    """The trimmed cells between a line's bars; a bar at either end bounds no cell."""
+    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))

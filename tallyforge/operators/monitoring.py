@@ -82,6 +82,34 @@ def usage_by(calls: DataFrame, keys: list[str]) -> DataFrame:
     return calls.groupBy(*keys).agg(F.count("*").alias("calls"), F.sum("total_tokens").cast("long").alias("tokens"), F.round(F.sum("total_cost"), 4).alias("cost"))
 
 
+def usage_details(calls: DataFrame, keys: list[str], kind: str, at: str) -> DataFrame:
+    """``usage_by`` with the kinds of the calls, sorted, and the last time."""
+    return calls.groupBy(*keys).agg(
+        F.count("*").alias("calls"), F.sum("total_tokens").cast("long").alias("tokens"), F.round(F.sum("total_cost"), 4).alias("cost"), F.array_join(F.array_sort(F.collect_set(kind)), ", ").alias("kinds"), F.max(at).alias("last_seen")
+    )
+
+
+def batch_results(items: DataFrame, batch: str, ok: Column, seconds: str) -> DataFrame:
+    """Per batch: how many, succeeded, failed, and the seconds in all."""
+    return items.groupBy(batch).agg(F.count("*").alias("total"), F.count_if(ok).alias("succeeded"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("failed"), F.round(F.coalesce(F.sum(seconds), F.lit(0.0)), 2).alias("seconds"))
+
+
+def mean_confidence(pages: DataFrame, doc: str, confidence: str) -> DataFrame:
+    """The mean confidence of each document's pages, and of all documents (null)."""
+    per = pages.groupBy(doc).agg(F.avg(confidence).alias("confidence"))
+    return per.unionByName(per.agg(F.avg("confidence").alias("confidence")).select(F.lit(None).cast(pages.schema[doc].dataType).alias(doc), "confidence"))
+
+
+def ledger_summary(ledger: DataFrame, message: str) -> DataFrame:
+    """How many messages were read, and how many files they held."""
+    return ledger.agg(F.count_distinct(message).alias("messages"), F.count("*").alias("files"))
+
+
+def active_requests(updates: DataFrame, key: str, order: list[str], status: str, terminal: tuple[str, ...] = ("completed", "failed")) -> DataFrame:
+    """The last update of each request that has not ended."""
+    return latest_state(updates, key, order).where(~F.col(status).isin(*terminal))
+
+
 def security_stats(events: DataFrame, scan: str, action: str) -> DataFrame:
     """Totals over all, by scan status and by action, in one pass."""
     g = events.groupingSets([[], [F.col(scan)], [F.col(action)]], F.col(scan), F.col(action))

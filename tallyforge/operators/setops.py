@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 
 def union_all(tables: list[DataFrame]) -> DataFrame:
@@ -14,9 +15,12 @@ def union_all(tables: list[DataFrame]) -> DataFrame:
 
 
 def sheet_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows, as text, that one table has more often than the other."""
-    text = lambda t: t.select(*[F.col(c).cast("string") for c in a.columns])
-    return text(a).exceptAll(text(b)).withColumn("side", F.lit("left")).unionByName(text(b).exceptAll(text(a)).withColumn("side", F.lit("right")))
+    """Rows, as text, that one table has more often than the other, as often as they are over:
+    one signed count, combined before its only shuffle."""
+    text = lambda t, n: t.select(*[F.col(c).cast("string") for c in a.columns], F.lit(n).alias("__n"))
+    g = text(a, 1).unionByName(text(b, -1)).groupBy(*a.columns).agg(F.sum("__n").alias("__n")).where("__n <> 0")
+    side = F.when(F.col("__n") > 0, "left").otherwise("right")
+    return g.select(*a.columns, side.alias("side"), F.explode(F.array_repeat(F.lit(1), F.abs("__n").cast("int"))).alias("__k")).drop("__k")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -39,3 +43,49 @@ def record_diff(old: DataFrame, new: DataFrame, keys: list[str], columns: list[s
 def distinct_list(df: DataFrame, key: str, column: str, name: str) -> DataFrame:
     """The distinct values of each key, sorted, in one text."""
     return df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(column)), ", ").alias(name))
+
+
+def leaves(schema: StructType, prefix: str = "") -> list[str]:
+    """The paths of all fields of nested structs that are no structs themselves."""
+    out = []
+    for f in schema.fields:
+        path = f"{prefix}{f.name}"
+        out += leaves(f.dataType, path + ".") if isinstance(f.dataType, StructType) else [path]
+    return out
+
+
+def nested_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``record_diff`` of nested records: structs are gone into, lists are compared by place."""
+
+    def elements(p: str, kind: ArrayType) -> Column:
+        text = lambda x: F.to_json(x) if isinstance(kind.elementType, (StructType, ArrayType)) else x.cast("string")
+        place = lambda i: F.concat(F.lit(p + "["), i.cast("string"), F.lit("]"))
+        return F.transform(F.coalesce(F.col(p), F.array().cast(kind)), lambda x, i: F.struct(place(i).alias("path"), text(x).alias("value")))
+
+    def flat(t: DataFrame) -> DataFrame:
+        parts = []
+        for p in leaves(t.drop(key).schema):
+            kind = reduce(lambda s, n: s[n].dataType, p.split("."), t.schema)
+            parts.append(elements(p, kind) if isinstance(kind, ArrayType) else F.array(F.struct(F.lit(p).alias("path"), F.col(p).cast("string").alias("value"))))
+        return t.select(key, F.inline(F.concat(*parts))).where("value IS NOT NULL")
+
+    o, n = flat(old).withColumnRenamed("value", "old"), flat(new).withColumnRenamed("value", "new")
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
+    return o.join(n, [key, "path"], "full").where(~F.col("old").eqNullSafe(F.col("new"))).select(key, "path", "old", "new", kind.alias("kind"))
+
+
+def sorted_union(tables: list[DataFrame]) -> DataFrame:
+    """The distinct values of one-column tables."""
+    return reduce(lambda a, b: a.union(b), tables).distinct()
+
+
+def counted(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """How many rows each key has."""
+    return df.groupBy(*keys).agg(F.count("*").alias(name))
+
+
+def repeats(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(pairs, repeated): different keys without a null, and rows whose key is not their own alone."""
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    g = counted(df, keys, "n")
+    return g.agg(F.count_if(known).alias("pairs"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).cast("long").alias("repeated"))

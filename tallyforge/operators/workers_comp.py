@@ -52,3 +52,21 @@ def stitch(rows: DataFrame, part: str, order: str, code: str, amount: str) -> Da
     r = rows.withColumn("__after", F.when(orphan(F.lead(code).over(w), F.lead(amount).over(w)), F.lead(amount).over(w))).withColumn("__open", F.coalesce(F.lag(c.isNotNull() & a.isNull()).over(w), F.lit(False)))
     r = r.withColumn(amount, F.when(c.isNotNull() & a.isNull(), F.col("__after")).otherwise(a))
     return r.where(~(c.isNull() & F.col("__open"))).drop("__after", "__open")
+
+
+def stitched_lines(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
+    """Lines with amounts that stand alone put into their rating row: the next line if it is
+    one, else the row that they follow, alone or with other amounts.  An amount goes before
+    the rate of 0.000, or to the end."""
+    orphan, rating = F.col(line).rlike(r"^\s*\$?[\d,]+\s*$"), F.trim(line).rlike(r"^.*?\b\d{4}\b.*?\b[A-Z]{2}\b")
+    w = Window.partitionBy(doc).orderBy(pos)
+    r = lines.select(doc, pos, line, orphan.alias("o"), (rating & ~orphan).alias("r"))
+    r = r.withColumn("next", F.when(F.lead("r").over(w), F.lead(pos).over(w)))
+    r = r.withColumn("before", F.last(F.when(~F.col("o"), F.struct(F.col(pos).alias("p"), F.col("r").alias("r"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    goes = F.when(F.col("o"), F.coalesce("next", F.when(F.col("before.r"), F.col("before.p"))))
+    r = r.withColumn("to", F.coalesce(goes, F.col(pos)))
+    g = r.groupBy(doc, F.col("to").alias(pos)).agg(F.max(F.when(F.col("to") == F.col(pos), F.col(line))).alias("own"), F.array_sort(F.collect_list(F.when(F.col("to") != F.col(pos), F.struct(pos, F.trim(line).alias("x"))))).alias("more"))
+    amounts = F.array_join(F.transform("more", lambda x: x["x"]), "    ")
+    at = F.locate("0.000", F.col("own"))
+    merged = F.when(at > 0, F.concat(F.left("own", at - 1), amounts, F.lit("    "), F.substring("own", at, F.length("own")))).otherwise(F.concat(F.rtrim("own"), F.lit("    "), amounts))
+    return g.select(doc, pos, F.when(F.size("more") > 0, merged).otherwise(F.col("own")).alias(line))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, money, text
 from ..operators import bank, claims as ops, cleaning, documents as docs_ops, invoices, monitoring, setops, workers_comp
 from ..sources import readers, writers
+from ..streaming import streams
 from . import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,8 +139,9 @@ def claim_year_split(spark, d):
 @query("""SELECT count(*) FILTER (y IS NULL OR y >= 1994) AS last_five_years, count(*) FILTER (y < 1994) AS older, count(*) AS total
  FROM (SELECT CASE WHEN claim_number % 11 = 0 THEN NULL ELSE year END AS y FROM claims)""", b.CLAIMS)
 def claims_count(spark, d):
-    y = F.when(F.col("claim_number") % 11 != 0, F.col("year"))
-    return b.claims(spark, d).agg(F.count_if(y.isNull() | (y >= 1994)).alias("last_five_years"), F.count_if(y < 1994).alias("older"), F.count("*").alias("total"))
+    """Counted by policy, as by file, and merged by sum."""
+    c = b.claims(spark, d).withColumn("year", F.when(F.col("claim_number") % 11 != 0, F.col("year")))
+    return ops.merged_counts(ops.recent_counts(c, 1998, by=["policy"]))
 
 
 BREAKDOWN = f"count(*) AS claim_count, {SUMS} AS total_reserves, count(*) FILTER (status = 'OPEN') AS open_count, count(*) FILTER (status = 'CLOSED') AS closed_count"
@@ -196,10 +198,18 @@ def first_wins_dedupe(spark, d):
     return w.select("claim_number", "l_partkey", F.col("incurred").cast("double").alias("incurred"))
 
 
-@query("""SELECT claim_number, count(*) AS copies, CAST(max(CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE 0 END) AS INTEGER) AS best_score FROM claims GROUP BY claim_number""", b.CLAIMS)
+VERSIONS = """v AS (SELECT user_id, list({'score': event_id % 4, 'date': CASE WHEN event_id % 3 <> 0 THEN CAST(ts AS DATE) END, 'detail': CASE WHEN event_id % 5 <> 0 THEN event_type END, 'best': event_id % 4} ORDER BY event_id) AS l FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn <= 6 GROUP BY user_id),
+f AS (SELECT user_id, len(l) AS copies, list_reduce(l, lambda a, x: CASE WHEN (x.score > a.best AND (x.date IS NOT NULL OR a.date IS NULL)) OR (a.date IS NULL AND x.date IS NOT NULL)
+ THEN {'score': x.score, 'date': coalesce(x.date, a.date), 'detail': coalesce(x.detail, a.detail), 'best': greatest(a.best, x.score)} ELSE {'score': a.score, 'date': coalesce(a.date, x.date), 'detail': coalesce(a.detail, x.detail), 'best': greatest(a.best, x.score)} END) AS r FROM v)"""
+
+
+@query("SELECT user_id, copies, r.date AS date, r.detail AS detail, CAST(r.best AS INTEGER) AS best_score FROM f", VERSIONS)
 def best_claim_version(spark, d):
-    c = b.claims(spark, d, "class_text").withColumn("score", (F.col("l_partkey") % 2 == 0).cast("int"))
-    return cleaning.best_version(c, "claim_number", ["l_partkey", "l_suppkey", "incurred"], "score", "loss_date", ["class_text"]).select("claim_number", "copies", "best_score")
+    """Up to six copies of a record; score, date and detail may each be missing."""
+    e = readers.table(spark, d, "events").withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("rn <= 6")
+    k = F.col("event_id")
+    e = e.select("user_id", "event_id", (k % 4).cast("int").alias("score"), F.when(k % 3 != 0, F.col("ts").cast("date")).alias("date"), F.when(k % 5 != 0, F.col("event_type")).alias("detail"))
+    return cleaning.best_version(e, "user_id", ["event_id"], "score", "date", ["detail"]).select("user_id", "copies", "date", "detail", "best_score")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 10)")
@@ -249,15 +259,13 @@ def asof_backfill(spark, d):
 
 @query("SELECT o_orderkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal < 0) ON o_custkey = c_custkey")
 def suspicious_lookup(spark, d):
-    c = readers.table(spark, d, "customer").where("c_acctbal < 0").select("c_custkey", "c_name")
-    o = readers.table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return o.join(c, o.o_custkey == c.c_custkey, "left").select("o_orderkey", "c_name")
+    c = readers.table(spark, d, "customer").where("c_acctbal < 0")
+    return cleaning.looked_up(readers.table(spark, d, "orders"), "o_custkey", c, "c_custkey", ["c_name"]).select("o_orderkey", "c_name")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, max(l_extendedprice) OVER (PARTITION BY l_orderkey) AS amount_due FROM lineitem")
 def amount_by_invoice(spark, d):
-    li = readers.table(spark, d, "lineitem")
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.max("l_extendedprice").over(Window.partitionBy("l_orderkey")).alias("amount_due"))
+    return invoices.amount_by_invoice(readers.table(spark, d, "lineitem"), "l_orderkey", "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "amount_due")
 
 
 # ---------------------------------------------------------------- invoices
@@ -276,17 +284,20 @@ def header_item_coalesce(spark, d):
 @query("""SELECT first, last, CAST(sum(amount) AS DOUBLE) AS amount, count(*) AS merged_rows FROM (SELECT c_mktsegment AS first, c_name AS last, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS amount FROM orders JOIN customer ON o_custkey = c_custkey)
  GROUP BY first, last, o_custkey, o_orderstatus""")
 def carrier_row_merge(spark, d):
-    o, c = readers.table(spark, d, "orders"), readers.table(spark, d, "customer")
-    rows = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_mktsegment").alias("first"), F.col("c_name").alias("last"), F.col("o_custkey").cast("string").alias("id"), F.col("o_orderstatus").alias("kind"), money.cents(F.col("o_totalprice")).alias("amount"), "o_orderkey")
-    m = invoices.merge_rows(rows, "first", "last", ["id"], text.plain(F.col("kind")), [], ["amount"], ["id"], ["o_orderkey"])
+    m = invoices.merge_rows(_carrier_rows(spark, d), "first", "last", ["id"], text.plain(F.col("kind")), [], ["amount"], ["id"], ["o_orderkey"])
     return m.select("first", "last", F.col("amount").cast("double").alias("amount"), "merged_rows")
 
 
-@query("""SELECT (SELECT sum(CAST(o_totalprice AS DECIMAL(18,2))) FROM orders)::DOUBLE AS before_sum, (SELECT sum(CAST(o_totalprice AS DECIMAL(18,2))) FROM orders)::DOUBLE AS after_sum""")
+def _carrier_rows(spark, d):
+    o, c = readers.table(spark, d, "orders"), readers.table(spark, d, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_mktsegment").alias("first"), F.col("c_name").alias("last"), F.col("o_custkey").cast("string").alias("id"), F.col("o_orderstatus").alias("kind"), money.cents(F.col("o_totalprice")).alias("amount"), "o_orderkey")
+
+
+@query("""SELECT sum(v)::DOUBLE AS before_sum, (SELECT sum(s)::DOUBLE FROM (SELECT sum(v) AS s FROM p GROUP BY o_custkey, o_orderstatus)) AS after_sum, true AS intact FROM p""", "p AS (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders JOIN customer ON o_custkey = c_custkey)")
 def merge_integrity(spark, d):
-    o = readers.table(spark, d, "orders").select(money.cents(F.col("o_totalprice")).alias("amount"), "o_custkey")
-    after = o.groupBy("o_custkey").agg(F.sum("amount").alias("amount")).agg(F.sum("amount").cast("double").alias("after_sum"))
-    return o.agg(F.sum("amount").cast("double").alias("before_sum")).withColumn("after_sum", after.scalar())
+    """Before and after the merge of ``carrier_row_merge``."""
+    rows = _carrier_rows(spark, d)
+    return invoices.merge_integrity(rows, invoices.merge_rows(rows, "first", "last", ["id"], text.plain(F.col("kind")), [], ["amount"], ["id"], ["o_orderkey"]), "amount")
 
 
 @query("""SELECT o_orderstatus AS label, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'GRAND TOTAL', CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) FROM orders""")
@@ -295,12 +306,13 @@ def grand_total_row(spark, d):
     return invoices.with_totals(g, "label", ["amount"]).select("label", F.col("amount").cast("double").alias("amount"))
 
 
-@query("""SELECT o_orderkey, CAST(coalesce(CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) END, s) AS DOUBLE) AS invoice_total
- FROM orders JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS s FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey""")
+@query("""SELECT o_orderkey, CAST(coalesce(nullif(CASE WHEN coalesce(bl, 0) + coalesce(ad, 0) > coalesce(due, 0) + 0.05 THEN coalesce(bl, 0) + coalesce(ad, 0) ELSE due END, 0), nullif(coalesce(bl, 0) + coalesce(ad, 0), 0), s) AS DOUBLE) AS invoice_total
+ FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS due, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) - 10 END AS bl, CASE WHEN o_orderkey % 5 = 0 THEN 10.04 WHEN o_orderkey % 5 = 1 THEN 10.06 END::DECIMAL(18,2) AS ad FROM orders) JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS s FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey""")
 def invoice_totals(spark, d):
     o, li = readers.table(spark, d, "orders"), readers.table(spark, d, "lineitem")
-    none = F.lit(None).cast("decimal(18,2)")
-    rows = li.join(o, li.l_orderkey == o.o_orderkey).select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, money.cents(F.col("o_totalprice"))).alias("due"), none.alias("billed"), none.alias("adj"), money.cents(F.col("l_extendedprice")).alias("current"))
+    k, price = F.col("o_orderkey"), money.cents(F.col("o_totalprice"))
+    billed, adj = F.when(k % 3 == 0, price - 10).cast("decimal(18,2)"), F.when(k % 5 == 0, 10.04).when(k % 5 == 1, 10.06).cast("decimal(18,2)")
+    rows = li.join(o, li.l_orderkey == o.o_orderkey).select("o_orderkey", F.when(k % 4 != 0, price).alias("due"), billed.alias("billed"), adj.alias("adj"), money.cents(F.col("l_extendedprice")).alias("current"))
     return invoices.amount_due(rows, "o_orderkey", "due", "billed", "adj", "current")
 
 
@@ -320,10 +332,11 @@ def vendor_line(spark, d):
     return invoices.vendor_line(s, "s_name", "amount", ["s_suppkey"])
 
 
-@query("""SELECT s_name AS vendor, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total, max(l_extendedprice) AS largest FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name""")
+@query("""SELECT vendor, sum(a)::DOUBLE AS total, max(a)::DOUBLE AS largest, min(k) FILTER (a = m) AS largest_item FROM (SELECT s_name AS vendor, CAST(l_extendedprice AS DECIMAL(18,2)) AS a, l_orderkey * 10 + l_linenumber AS k, max(CAST(l_extendedprice AS DECIMAL(18,2))) OVER (PARTITION BY s_name) AS m FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) GROUP BY vendor""")
 def vendor_stats(spark, d):
     li, s = readers.table(spark, d, "lineitem"), readers.table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("vendor"))
-    return li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("vendor").agg(F.sum(money.cents(F.col("l_extendedprice"))).cast("double").alias("total"), F.max("l_extendedprice").alias("largest"))
+    bills = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("vendor", money.cents(F.col("l_extendedprice")).alias("amount"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"))
+    return invoices.vendor_statistics(bills, "vendor", "amount", "item")
 
 
 @query("""SELECT l_orderkey, benefit, CAST(premium AS DOUBLE) AS premium FROM (SELECT l_orderkey, l_returnflag AS benefit, sum(CAST(l_tax AS DECIMAL(18,2))) AS premium FROM lineitem GROUP BY 1, 2) WHERE premium <> 0""")
@@ -453,7 +466,7 @@ LAST = "(SELECT max(ts) FROM events)"
 
 
 def _now(spark, d):
-    return F.lit(readers.table(spark, d, "events").agg(F.max("ts")).first()[0])
+    return readers.table(spark, d, "events").agg(F.max("ts")).scalar()
 
 
 @query(f"""SELECT count(*) AS total_requests, count(*) FILTER (status = 'completed') AS completed_requests, count(*) FILTER (status = 'failed') AS failed_requests, count(*) FILTER (status = 'processing') AS processing_requests,
@@ -527,14 +540,12 @@ def retention_sweep(spark, d):
 
 @query("SELECT count(DISTINCT user_id) AS messages, count(*) AS files FROM events")
 def ledger_summary(spark, d):
-    e = readers.table(spark, d, "events").groupBy("user_id").agg(F.collect_list("event_id").alias("files"))
-    return e.agg(F.count("*").alias("messages"), F.sum(F.size("files")).alias("files"))
+    return monitoring.ledger_summary(readers.table(spark, d, "events"), "user_id")
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed_activity(spark, d):
-    e = readers.table(spark, d, "events")
-    return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return streams.window_counts(readers.table(spark, d, "events"), "ts", ["event_type"], "1 day")
 
 
 # ---------------------------------------------------------------- documents
@@ -594,10 +605,12 @@ def chunk_windows(spark, d):
     return docs_ops.overlapping_chunks(readers.table(spark, d, "documents"), "doc_id", "text", 1000, 100)
 
 
-@query("SELECT doc_id, generate_subscripts(parts, 1) - 1 AS page, unnest(parts) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)")
+@query("SELECT doc_id, page, text FROM (SELECT doc_id, CAST(generate_subscripts(parts, 1) - CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS page, unnest(parts) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)) WHERE page > 0 OR trim(text, ' ') <> ''")
 def page_split(spark, d):
-    docs = readers.table(spark, d, "documents")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text")).withColumn("page", F.col("page").cast("long"))
+    """Every line is a page, marked as such; odd documents begin with a mark."""
+    marked = F.regexp_replace("text", "\n", "[[PAGE_7]]")
+    docs = readers.table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, marked).otherwise(F.concat(F.lit("[[PAGE_1]]"), marked)).alias("text"))
+    return docs_ops.split_pages(docs, "doc_id", "text")
 
 
 # ---------------------------------------------------------------- sets
@@ -643,28 +656,3 @@ def pipe_lines(spark, d):
 
 
 # ---------------------------------------------------------------- scalar cleaners
-
-
-@query("""SELECT c_custkey, c_acctbal AS sheet, CASE WHEN c_acctbal < 0 THEN c_acctbal ELSE c_acctbal END AS signed_value FROM customer""")
-def money_cleaners(spark, d):
-    c = readers.table(spark, d, "customer")
-    v = F.col("c_acctbal").cast("decimal(18,2)")
-    paren = F.when(v < 0, F.concat(F.lit("($"), F.abs(v).cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("$"), v.cast("string")))
-    return c.select("c_custkey", money.sheet_money(F.concat(F.lit("$"), v.cast("string"))).alias("sheet"), money.signed_money(paren).alias("signed_value"))
-
-
-@query("""SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS claim_year, CAST(month(o_orderdate) AS VARCHAR) || '/' || CAST(day(o_orderdate) AS VARCHAR) || '/' || CAST(year(o_orderdate) AS VARCHAR) AS us FROM orders""")
-def date_cleaners(spark, d):
-    t = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return readers.table(spark, d, "orders").select("o_orderkey", dates.claim_year(t).alias("claim_year"), dates.us_date(t).alias("us"))
-
-
-@query("""SELECT p_partkey, string_split(p_type, ' ')[-1] AS last, string_split(p_type, ' ')[1] AS first FROM part WHERE contains(p_type, ' ')""")
-def name_split(spark, d):
-    p = readers.table(spark, d, "part").where(F.contains("p_type", F.lit(" ")))
-    return p.select("p_partkey", text.name_parts(F.col("p_type")).alias("n")).select("p_partkey", "n.last", "n.first")
-
-
-@query("SELECT DISTINCT l_linestatus, CASE l_linestatus WHEN 'O' THEN 'Open' ELSE l_linestatus END AS status FROM lineitem")
-def status_map(spark, d):
-    return readers.table(spark, d, "lineitem").select("l_linestatus", text.claim_status(F.col("l_linestatus")).alias("status")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import lines, monitoring
+from ..operators import bank, invoices, lines, monitoring, setops
 from ..sources import readers
 from . import bindings as b
 from .catalog import query
@@ -112,32 +112,30 @@ def min_cells(spark, d):
     return readers.at_least(e, 2).select("event_id")
 
 
-@query("SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY upper(c_name) NULLS LAST, c_custkey LIMIT 50")
+@query("SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey NULLS LAST, c_name NULLS LAST, c_acctbal NULLS LAST, c_custkey) AS place FROM customer")
 def members_sorted(spark, d):
-    return readers.table(spark, d, "customer").orderBy(F.upper("c_name").asc_nulls_last(), "c_custkey").limit(50).select("c_custkey", "c_name", "c_acctbal")
+    return bank.placed(readers.table(spark, d, "customer"), "c_mktsegment", [*invoices.member_order("c_nationkey", "c_name", "c_acctbal"), "c_custkey"]).select("c_custkey", "place")
 
 
-@query("SELECT event_type AS kind, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1")
+@query("SELECT event_type AS batch, count(*) AS total, count(*) FILTER (event_id % 4 = 1) AS succeeded, count(*) FILTER (event_id % 4 <> 1) AS failed, round(sum(value), 2) AS seconds FROM events GROUP BY 1")
 def batch_stats(spark, d):
-    return readers.table(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    ok = F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 4 == 1)
+    return monitoring.batch_results(readers.table(spark, d, "events").withColumnRenamed("event_type", "batch"), "batch", ok, "value")
 
 
 @query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY 1")
 def year_histogram(spark, d):
-    return readers.table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
+    return setops.counted(readers.table(spark, d, "orders").select(F.year("o_orderdate").alias("year")), ["year"], "n")
 
 
 @query("SELECT count(DISTINCT (c_mktsegment, c_nationkey)) AS pairs, count(*) FILTER (n > 1) AS repeated FROM (SELECT *, count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) AS n FROM customer)")
 def pair_counts(spark, d):
-    from pyspark.sql import Window
-
-    c = readers.table(spark, d, "customer").withColumn("n", F.count("*").over(Window.partitionBy("c_mktsegment", "c_nationkey")))
-    return c.agg(F.count_distinct("c_mktsegment", "c_nationkey").alias("pairs"), F.count_if(F.col("n") > 1).alias("repeated"))
+    return setops.repeats(readers.table(spark, d, "customer"), ["c_mktsegment", "c_nationkey"])
 
 
 @query("SELECT DISTINCT source AS name FROM documents UNION SELECT DISTINCT role FROM conversations")
 def distinct_union(spark, d):
-    return readers.table(spark, d, "documents").select(F.col("source").alias("name")).union(readers.table(spark, d, "conversations").select("role")).distinct()
+    return setops.sorted_union([readers.table(spark, d, "documents").select(F.col("source").alias("name")), readers.table(spark, d, "conversations").select("role")])
 
 
 @query("SELECT user_id, json_extract_string(props, '$.k') AS k, 'done' AS state FROM events")
@@ -147,8 +145,8 @@ def metadata_merge(spark, d):
     return e.select("user_id", m.alias("m")).select("user_id", F.col("m")["k"].alias("k"), F.col("m")["state"].alias("state"))
 
 
-@query("""SELECT l_orderkey, string_split(p_name, ' ')[1] AS cell, string_split(p_name, ' ')[2] AS next FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1""")
+@query("""SELECT p_partkey, string_split(p_name, ' ')[1] AS cell, string_split(p_name, ' ')[2] AS next FROM part""")
 def pipe_cells(spark, d):
-    li, p = readers.table(spark, d, "lineitem").where("l_linenumber = 1"), readers.table(spark, d, "part")
-    cells = F.split(F.replace("p_name", F.lit(" "), F.lit("|")), r"\|")
-    return li.join(p, li.l_partkey == p.p_partkey).select("l_orderkey", F.get(cells, F.lit(0)).alias("cell"), F.get(cells, F.lit(1)).alias("next"))
+    p = readers.table(spark, d, "part").select("p_partkey", F.concat(F.lit("| "), F.replace("p_name", F.lit(" "), F.lit(" |")), F.lit(" |")).alias("line"))
+    cells = lines.cells(F.col("line"))
+    return p.select("p_partkey", F.get(cells, F.lit(0)).alias("cell"), F.get(cells, F.lit(1)).alias("next"))

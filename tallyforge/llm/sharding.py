@@ -26,6 +26,8 @@ from .common import staged, unit_hash
 
 ROW_BYTES = 16
 MAX_RANGES = 4096
+#: Ranges are sampled again until none is overfull; that so many times do not suffice is an error.
+MAX_ROUNDS = 8
 
 
 def _key(k: Column, doc: Column, row: Column) -> Column:
@@ -34,7 +36,7 @@ def _key(k: Column, doc: Column, row: Column) -> Column:
 
 def _range_of(key: Column, bounds: Column) -> Column:
     """How many of the sorted ``bounds`` are at or below ``key``, by binary search."""
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range((8 * MAX_RANGES).bit_length()))])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((16 * MAX_RANGES).bit_length()))])
 
     def step(lo: Column, s: Column) -> Column:
         return F.when(F.coalesce(F.get(bounds, lo + s - F.lit(1)) <= key, F.lit(False)), lo + s).otherwise(lo)
@@ -67,23 +69,25 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
             F.col(f"`{id_col}`").alias("doc_id"),
             (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            _key(F.xxhash64(text), F.col(f"`{id_col}`").cast("long"), F.monotonically_increasing_id()).alias("key"),
+            _key(F.xxhash64(text), F.col(f"`{id_col}`"), F.monotonically_increasing_id()).alias("key"),
         ),
         "shard-keys",
     )
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = max(1, min(MAX_RANGES, max(16 * shards, math.isqrt(n))))
-    # half of the weight counts rows, so that ranges of many short texts stay short too
-    weight = F.col("size") / F.lit(max(total, 1)) + F.lit(1.0 / max(n, 1))
-    bounds = staged(_quantiles(rows, weight, ranges * draws_per_range / 2, draws_per_range, seed), "shard-bounds")
-    for again in (1, 2):
+    weight = F.col("size") / F.lit(max(total, 1))
+    bounds = staged(_quantiles(rows, weight, ranges * draws_per_range, draws_per_range, seed), "shard-bounds")
+    for again in range(1, MAX_ROUNDS + 1):
         cut = _cut(rows, bounds)
         most_rows, most_bytes = 3 * n / ranges, 3 * total / ranges
         totals = cut.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.max("size").alias("one"))
         over = [r["range"] for r in totals.where((F.col("n") > 1) & ((F.col("n") > most_rows) | (F.col("b") > most_bytes + F.col("one")))).collect()]
         if not over:
             break
-        more = _quantiles(cut.where(F.col("range").isin(over)), weight, ranges * draws_per_range / 2, draws_per_range // 2, seed + again)
+        if again == MAX_ROUNDS:
+            raise RuntimeError(f"{len(over)} ranges are still overfull")
+        # by rows, where short texts crowd a range: each of its rows counts alike
+        more = _quantiles(cut.where(F.col("range").isin(over)), weight + F.lit(1.0 / max(n, 1)), ranges * draws_per_range / 2, draws_per_range // 2, seed + again)
         bounds = staged(bounds.unionByName(more).agg(F.sort_array(F.flatten(F.collect_list("bounds"))).alias("bounds")), "shard-bounds")
 
     cut = _cut(rows, bounds)

@@ -12,17 +12,21 @@ A suffix array of a corpus does not fit a task, so suffixes are first brought to
    suffix array (suffixes, longest common prefixes, left neighbours), built for many
    groups at once.  A stack scan finds its common-prefix intervals; those with more than
    one left neighbour are the maximal repeats, reported with all their occurrences.
-4. Groups with more than ``hot`` kinds of contexts are never gathered: their strings are
-   counted by hash instead, which Spark combines before shuffling.
+4. Groups with more than ``hot`` kinds of contexts are never gathered.  They are dealt anew
+   by deeper context: a context's strings are halved by where the anchor lies in them, and
+   either half goes by all bytes that its strings have in common.  Its parts go through
+   steps 2 and 3, and what is still crowded is halved again, until a part holds one string.
 
 Repeats are found on the input, overlaps included, and never cross documents.  Null text
-is empty.  Rows are told apart by a hash of id and text: equal rows are repeats of one
-another.  An empty table gives an empty result.  ``repeats`` and ``without_repeats`` have
+is empty.  Rows are told apart by 128 bits of hash of id and text: equal rows are repeats
+of one another.  Which contexts are equal as a whole is told by 128 bits too, 64 of the
+anchor and 64 of the context.  Spans are given, not the groups that repeats form.  An empty table gives an empty result.  ``repeats`` and ``without_repeats`` have
 the columns they name; others are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -187,14 +191,14 @@ def repeats_in(contexts: list[bytes], offsets: list[int], groups: list[int], len
     return out
 
 
-ANCHOR_TYPE = "row long, p int, lo int, hi int, fp long, kind long"
+ANCHOR_TYPE = "row binary, p int, lo int, hi int, fp long, kind long"
 
 
 def _anchor_table(rows: DataFrame, length: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
-            ids = b.column("row").to_numpy()
+            ids = b.column("row")
             texts = b.column("text").to_pylist()
             at = 0
             while at < len(texts):  # about 2 MB at a time
@@ -206,7 +210,7 @@ def _anchor_table(rows: DataFrame, length: int, k: int) -> DataFrame:
                 ends = np.cumsum([len(t) for t in part])
                 d, p, lo, hi, fp, kind = anchors(np.frombuffer(b"".join(part), np.uint8), ends, length, k, hasher)
                 base = np.concatenate(([0], ends))[d] if len(d) else d
-                cols = [pa.array(ids[at:till][d], pa.int64()), *(pa.array((x - base).astype(np.int32)) for x in (p, lo, hi)), pa.array(fp), pa.array(kind)]
+                cols = [ids.take(pa.array(d + at)), *(pa.array((x - base).astype(np.int32)) for x in (p, lo, hi)), pa.array(fp), pa.array(kind)]
                 yield pa.RecordBatch.from_arrays(cols, names=["row", "p", "lo", "hi", "fp", "kind"])
                 at = till
 
@@ -214,12 +218,13 @@ def _anchor_table(rows: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(fp, row, lo, n, context) of the anchors in ``wanted`` (row, fp, lo, hi)."""
-    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("fp", "lo", "hi")).alias("at"))  # bounded by a text's length
-    slots = wanted.select(F.pmod("row", F.lit(SLOTS)).alias("slot")).distinct()  # SLOTS rows at most
-    near = rows.withColumn("slot", F.pmod("row", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    """(fp, row, p, lo, hi, context) of the anchors in ``wanted`` (fp, row, p, lo, hi)."""
+    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("fp", "p", "lo", "hi")).alias("at"))  # bounded by a text's length
+    slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS)).alias("slot")
+    slots = wanted.select(slot).distinct()  # SLOTS rows at most
+    near = rows.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
     cut = near.dropDuplicates(["row"]).join(asked, "row").select("row", "text", F.explode("at").alias("a"))
-    return cut.select("a.fp", "row", "a.lo", (F.col("a.hi") - F.col("a.lo") + 1).alias("n"), F.expr(f"substring(text, a.lo + 1, a.hi - a.lo + {length})").alias("context"))
+    return cut.select("a.fp", "row", "a.p", "a.lo", "a.hi", F.expr(f"substring(text, a.lo + 1, a.hi - a.lo + {length})").alias("context"))
 
 
 def _compare(contexts: DataFrame, length: int) -> DataFrame:
@@ -230,10 +235,10 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
 
         def spans(some: list[dict]) -> pa.RecordBatch:
             index: dict[int, int] = {}
-            marks = repeats_in([r["context"] for r in some], [r["n"] for r in some], [index.setdefault(r["fp"], len(index)) for r in some], length)
+            marks = repeats_in([r["context"] for r in some], [r["hi"] - r["lo"] + 1 for r in some], [index.setdefault(r["fp"], len(index)) for r in some], length)
             flat = [(r["row"], r["lo"] + lo, r["lo"] + hi) for r, m in zip(some, marks, strict=True) for lo, hi in m]
             cols = list(zip(*flat, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["row", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["row", "lo", "hi"])
 
         for b in batches:
             for k in range(0, len(b), 4000):
@@ -246,41 +251,60 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield spans(held)
 
-    return contexts.repartition("fp").sortWithinPartitions("fp").mapInArrow(run, "row long, lo int, hi int")
+    slim = contexts.select("fp", "row", "lo", "hi", "context")
+    return slim.repartition("fp").sortWithinPartitions("fp").mapInArrow(run, "row binary, lo int, hi int")
 
 
-def _count_strings(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for groups of any size: strings counted by 128 bits of hash."""
-    each = contexts.select("fp", "row", "lo", F.posexplode(F.expr(f"transform(sequence(1, n), i -> unhex(md5(substring(context, i, {length}))))")).alias("i", "string"))
-    twice = each.groupBy("fp", "string").agg(F.count("*").alias("times")).where("times > 1")
-    at = F.col("lo") + F.col("i")
-    return each.join(twice, ["fp", "string"]).select("row", at.alias("lo"), (at + length).alias("hi"))
+def _halved(contexts: DataFrame, length: int) -> DataFrame:
+    """Contexts of crowded groups as two each: of the strings whose anchor lies ``a`` to ``b``
+    bytes behind their start, those below the middle and those from it on.  The new group is
+    known by the bytes that all such strings have in common, the kind by all of them."""
+    middle = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+    part = F.explode(F.array(F.struct(F.col("a").alias("a"), middle.alias("b")), F.struct(middle.alias("a"), F.col("b").alias("b")))).alias("d")
+    h = contexts.select("fp", "row", "p", F.col("lo").alias("from"), F.col("hi").alias("to"), "context", part).select("*", "d.a", "d.b")
+    h = h.withColumn("lo", F.greatest("from", F.col("p") - F.col("b") + 1)).withColumn("hi", F.least("to", F.col("p") - F.col("a"))).where("a < b AND lo <= hi")
+    common = F.expr(f"substring(context, p - a - from + 1, {length} - (b - 1 - a))")
+    own = F.expr(f"substring(context, lo - from + 1, hi - lo + {length})")
+    h = h.select(F.xxhash64("fp", "a", "b", common).alias("fp"), "row", "p", "lo", "hi", "a", "b", own.alias("context"))
+    return h.withColumn("kind", F.xxhash64("context", F.col("p") - F.col("lo")))
 
 
 def repeats(rows: DataFrame, length: int = 200, k: int = 64, hot: int = 4096) -> DataFrame:
     """(row, lo, hi): spans of ``rows`` (row, text as bytes) that together cover exactly the
     bytes of all strings of ``length`` bytes that start at two or more places."""
+    spans = lambda t: t.select("row", "lo", (F.col("hi") + length).alias("hi"))
     found = staged(_anchor_table(rows, length, k), "anchors")
     groups = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("kind").alias("k0"), F.max("kind").alias("k1")).where("n > 1")
     # written first: Spark splits a hot key's rows only in joins whose inputs come straight from a shuffle
     groups = staged(groups.select("fp", (F.col("k0") != F.col("k1")).alias("varied")), "groups")
     shared = staged(found.join(groups, "fp"), "shared")
-    same = shared.where("NOT varied").select("row", "lo", (F.col("hi") + length).alias("hi"))
+    out = [spans(shared.where("NOT varied"))]
 
     varied = shared.where("varied")
-    kinds = staged(varied.groupBy("fp", "kind").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi")).alias("one")), "kinds")
-    many = kinds.where("n > 1").select("fp", "kind")
-    whole = varied.join(many, ["fp", "kind"], "left_semi").select("row", "lo", (F.col("hi") + length).alias("hi"))
+    kinds = staged(varied.groupBy("fp", "kind").agg(F.count("*").alias("n"), F.min(F.struct("row", "p", "lo", "hi")).alias("one")), "kinds")
+    out.append(spans(varied.join(kinds.where("n > 1").select("fp", "kind"), ["fp", "kind"], "left_semi")))
     crowded = staged(kinds.groupBy("fp").agg((F.count("*") > hot).alias("crowded")), "crowded")
     contexts = staged(_contexts(rows, kinds.select("fp", "one.*"), length).join(crowded, "fp"), "contexts")
-    compared = _compare(contexts.where("NOT crowded").drop("crowded"), length)
-    counted = _count_strings(contexts.where("crowded").drop("crowded"), length)
-    return same.unionByName(whole).unionByName(compared).unionByName(counted)
+    width, few, many = length - k + 1, contexts.where("NOT crowded"), contexts.where("crowded")
+    many = many.withColumns({"a": F.lit(0), "b": F.lit(width)})
+    while True:
+        out.append(_compare(few, length))
+        if width == 1 or many.isEmpty():
+            return functools.reduce(DataFrame.unionByName, out)
+        width = -(-width // 2)
+        halves = staged(_halved(many, length), "halves")
+        kinds = halves.groupBy("fp", "kind").agg(F.count("*").alias("n"), F.min(F.struct("row", "p", "lo", "hi", "a", "b", "context")).alias("one"))
+        kinds = staged(kinds, "half-kinds")
+        out.append(spans(halves.join(kinds.where("n > 1").select("fp", "kind"), ["fp", "kind"], "left_semi")))
+        sizes = staged(kinds.groupBy("fp").agg(F.count("*").alias("m")).where("m > 1"), "half-groups")
+        left = staged(kinds.select("fp", "one.*").join(sizes, "fp"), "half-contexts")
+        few, many = left.where(F.col("m") <= hot), left.where(F.col("m") > hot)
 
 
 def byte_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), text.cast("binary").alias("text"))
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("\x00")), F.lit("\x01"), text)))
+    return docs.select(key.alias("row"), F.col(f"`{id_col}`").alias("doc_id"), text.cast("binary").alias("text"))
 
 
 OUT_TYPE = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"

@@ -147,6 +147,14 @@ DECODERS = {PLAIN: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, DEFLATE_OLD
 ENCODERS = {PLAIN: bytes, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: packbits_encode}
 
 
+def _small_samples(raw: bytes, rows: int, cols: int, samples: int, bits: int) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits, the first in a byte's highest bits; rows begin at whole bytes."""
+    line = -(-cols * samples * bits // 8)
+    packed = np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line, 1)
+    shifts = np.arange(8 - bits, -1, -bits, dtype=np.uint8)
+    return ((packed >> shifts) & np.uint8((1 << bits) - 1)).reshape(rows, -1)[:, : cols * samples].reshape(rows, cols, samples)
+
+
 def _undo_predictor(raw: bytes, rows: int, cols: int, samples: int, dtype: np.dtype, predictor: int) -> np.ndarray:
     """Samples of a strip or tile, shaped (rows, cols, samples)."""
     if predictor == 3:  # bytes of equal weight stand together, most significant first
@@ -160,12 +168,12 @@ def _undo_predictor(raw: bytes, rows: int, cols: int, samples: int, dtype: np.dt
     return a
 
 
-def read_tiff(data: bytes) -> Iterator[dict]:
-    """Each page's geometry and samples (rows, cols, samples), in directory order."""
+def directories(data: bytes) -> Iterator[tuple[dict[int, tuple], str]]:
+    """(tags, byte order) of each page, in directory order."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
-    at, seen, page = struct.unpack_from(order + "I", data, 4)[0], set(), 0
+    at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
     while at:
         if at in seen:
             raise ValueError("directories run in a circle")
@@ -175,28 +183,42 @@ def read_tiff(data: bytes) -> Iterator[dict]:
         for k in range(n):
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
             if kind in TYPES:
-                fmt = f"{order}{count}{TYPES[kind]}"
-                where = at + 10 + 12 * k
-                if struct.calcsize(fmt) > 4:
+                size, where = count * struct.calcsize(order + TYPES[kind]), at + 10 + 12 * k
+                if size > 4:
                     (where,) = struct.unpack_from(order + "I", data, where)
-                tags[tag] = struct.unpack_from(fmt, data, where)
+                if where + size <= len(data):  # a tag that points outside the file is none
+                    tags[tag] = struct.unpack_from(f"{order}{count}{TYPES[kind]}", data, where)
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+        yield tags, order
+
+
+def read_tiff(data: bytes) -> Iterator[dict]:
+    """Each page's geometry and samples (rows, cols, samples), in directory order."""
+    for page, (tags, order) in enumerate(directories(data)):
         yield {"page": page} | _page(data, tags, order)
-        page += 1
+
+
+#: No compression here makes more than so many bytes of one.
+EXPANSION = 4096
 
 
 def _page(data: bytes, tags: dict[int, tuple], order: str) -> dict:
     one = lambda tag, default: tags.get(tag, (default,))[0]
     width, height, samples = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1)
     bits, form, packing, predictor = one(BITS, 1), one(SAMPLE_FORMAT, 1), one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
-    if bits not in (8, 16, 32, 64) or packing not in DECODERS:
-        raise ValueError(f"{bits} bits with compression {packing} are not supported")
-    dtype = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}.get(form, 'u') }{bits // 8}")
+    small = bits in (1, 2, 4)
+    if not small and bits not in (8, 16, 32, 64) or packing not in DECODERS or small and predictor != 1:
+        raise ValueError(f"{bits} bits with compression {packing} and predictor {predictor} are not supported")
+    if width * height * samples * bits > 8 * EXPANSION * len(data):
+        raise ValueError(f"{width} x {height} samples cannot come from {len(data)} bytes")
+    dtype = np.dtype(np.uint8) if small else np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}.get(form, 'u') }{bits // 8}")
     planes = samples if one(PLANAR, 1) == 2 else 1
     inside = samples // planes
     tiled = TILE_OFFSETS in tags
     w, h = (one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
+    if w * h * inside * bits > 8 * EXPANSION * len(data):
+        raise ValueError(f"tiles of {w} x {h} samples cannot come from {len(data)} bytes")
     image = np.zeros((height, width, samples), dtype.newbyteorder("="))
     across, down = -(-width // w), -(-height // h)
     for k, (off, size) in enumerate(zip(offsets, counts, strict=True)):
@@ -204,7 +226,7 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> dict:
         y, x = (cell // across) * h, (cell % across) * w
         rows = h if tiled else min(h, height - y)
         raw = DECODERS[packing](data[off : off + size])
-        block = _undo_predictor(raw[: rows * w * inside * dtype.itemsize], rows, w, inside, dtype, predictor)
+        block = _small_samples(raw, rows, w, inside, bits) if small else _undo_predictor(raw[: rows * w * inside * dtype.itemsize], rows, w, inside, dtype, predictor)
         image[y : y + rows, x : x + w, plane * inside : (plane + 1) * inside] = block[: height - y, : width - x]
     return {"width": width, "height": height, "samples": samples, "bits": bits, "compression": packing, "predictor": predictor, "image": image}
 
@@ -249,30 +271,40 @@ PAGE_TYPE = "page int, width int, height int, samples int, bits int, compression
 PAGE_COLUMNS = [c.split()[0] for c in PAGE_TYPE.split(", ")]
 
 
+DAMAGE = (ValueError, KeyError, IndexError, TypeError, ZeroDivisionError, OverflowError, MemoryError, struct.error, zlib.error)
+
+
 def tiff_pages(df: DataFrame, content_col: str = "content") -> DataFrame:
-    """One row per page: the struct ``row`` of the input's other columns and the page."""
+    """One row per page: the struct ``row`` of the input's other columns and the page.  A page
+    that cannot be read is a row with the error, and so is what is wrong with a file; the
+    pages behind a bad page are read."""
     rest = [F.col(f"`{c}`") for c in df.columns if c != content_col]
     slim = df.select(F.struct(*(rest or [F.lit(None).cast("string").alias("none")])).alias("row"), F.col(f"`{content_col}`").alias("content"))
 
+    def each(data: bytes) -> Iterator[dict]:
+        page, found = 0, directories(data)
+        while True:
+            failed = dict.fromkeys(PAGE_COLUMNS) | {"page": page}
+            try:
+                tags, order = next(found)
+            except StopIteration:
+                return
+            except DAMAGE as e:
+                yield failed | {"error": str(e)[:200] or type(e).__name__}
+                return
+            try:
+                got = _page(data, tags, order)
+                yield {"page": page, "error": None, "pixels": got.pop("image").tobytes()} | got
+            except DAMAGE as e:
+                yield failed | {"error": str(e)[:200] or type(e).__name__}
+            page += 1
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kind = b.schema.field("row").type
             for i, data in enumerate(b.column("content")):
-                if not data.is_valid:
-                    continue
-                pages, raw = read_tiff(data.as_py()), b.column("row").slice(i, 1)
-                page = 0
-                while True:
-                    try:
-                        got = next(pages, None)
-                        if got is None:
-                            break
-                        image = got.pop("image")
-                        got |= {"pixels": image.tobytes(), "error": None}
-                        page = got["page"] + 1
-                    except (ValueError, KeyError, IndexError, TypeError, ZeroDivisionError, struct.error, zlib.error) as e:
-                        got = dict.fromkeys(PAGE_COLUMNS) | {"page": page, "error": str(e)[:200]}
-                        pages = iter(())
+                raw = b.column("row").slice(i, 1)
+                for got in each(data.as_py()) if data.is_valid else ():
                     cols = [pa.array([got[c]], pa.binary() if c == "pixels" else pa.string() if c == "error" else pa.int32()) for c in PAGE_COLUMNS]
                     yield pa.RecordBatch.from_arrays([pa.concat_arrays([raw]).cast(kind), *cols], names=["row", *PAGE_COLUMNS])
 

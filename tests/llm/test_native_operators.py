@@ -136,7 +136,7 @@ def test_a_filter_on_long_texts_keeps_the_words_cut_once(spark):
 
 
 def test_late_rules(spark):
-    rows = [(1, "a " * 10 + "1 " * 30, "few_letters"), (2, "\n".join(f"- item {i} of the list here" for i in range(12)), "bullets"), (3, "\n".join(f"line number {i} breaks off ..." for i in range(12)), "cut_off"), (4, "\n".join(f"a plain line of number {i} ends." for i in range(12)), None)]
+    rows = [(1, "abc " * 10 + "123 " * 30, "few_letters"), (2, "\n".join(f"- item {i} of the list here" for i in range(12)), "bullets"), (3, "\n".join(f"line number {i} breaks off ..." for i in range(12)), "cut_off"), (4, "\n".join(f"a plain line of number {i} ends." for i in range(12)), None)]
     got = spark.createDataFrame(rows, "doc_id int, text string, want string").withColumn("v", quality_cascade.verdict(F.col("text"), quality_cascade.RULES[2:])["rejected_by"])
     assert all(r["v"] == r["want"] for r in got.collect())
 

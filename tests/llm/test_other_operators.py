@@ -40,6 +40,50 @@ def test_model_is_a_distribution_and_rejects_noise(spark):
     assert kneser_ney.classify(df, trusted.limit(0)).where("kept").count() == 90
 
 
+def test_perplexities_against_brute_force(spark):
+    from collections import defaultdict
+    from math import exp, log
+
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice(["the", "cat", "sat", "on", "mats", "and", "dogs", "ran", "42", "Été"]) for _ in range(n))
+    texts = [prose(rng.randint(1, 40)) for _ in range(30)] + ["#!? zz qq", "\n\n", "a"]
+    table = kneser_ney.symbol_table()
+    classes = lambda t: [0, 0, 0, *(int(table[ord(c)]) for c in t.lower())]
+    grams = lambda s: [tuple(s[i - 3 : i + 1]) for i in range(3, len(s))]
+    counts, levels = Counter(g for t in texts[:25] for g in grams(classes(t))), []
+    for order in (4, 3, 2, 1):
+        n = [sum(c == i for c in counts.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
+        d = [0] + [max(0.1, min(i - 0.1, i - (i + 1) * y * n[i + 1] / n[i] if y is not None and n[i] else 0.75)) for i in (1, 2, 3)]
+        cut, total, mass = {g: d[min(c, 3)] for g, c in counts.items()}, defaultdict(int), defaultdict(float)
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            mass[g[:-1]] += cut[g]
+        levels.append((counts, cut, total, mass))
+        counts = Counter(g[1:] for g in counts)  # the next order counts in how many n-grams its own are the end
+
+    def p(g, level=0):
+        if level == 4:
+            return 1 / 64
+        counts, cut, total, mass = levels[level]
+        if g[:-1] not in total:
+            return p(g[1:], level + 1)
+        own = (counts[g] - cut[g]) / total[g[:-1]] if g in counts else 0.0
+        return own + mass[g[:-1]] / total[g[:-1]] * p(g[1:], level + 1)
+
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.classify(df, df.where("doc_id < 25").select("doc_id")).collect()}
+    for i, t in enumerate(texts):
+        g = grams(classes(t))
+        assert abs(got[i] / exp(-sum(log(p(x)) for x in g) / len(g)) - 1) < 1e-3
+
+
+def test_classifier_on_odd_rows(docs, rows, none):
+    got = kneser_ney.classify(docs, docs.where("doc_id > 15").select("doc_id")).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    assert all((r["perplexity"] is None) == (not next(t for d, t, *_ in rows if d == r["doc_id"])) for r in got)
+
+
 @pytest.mark.parametrize("compression", [tiff.PLAIN, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
 @pytest.mark.parametrize("predictor", [1, 2])
 @pytest.mark.parametrize("tile", [0, 32])
@@ -62,6 +106,29 @@ def test_tiff_big_endian_and_float_predictor():
     assert np.array_equal(next(tiff.read_tiff(data))["image"], a)
 
 
+def bilevel(bits, image, compression=1, broken=False):
+    import struct
+
+    rows = np.packbits(np.unpackbits(image[:, :, None], axis=2)[:, :, 8 - bits :].reshape(len(image), -1), axis=1)
+    raw = tiff.ENCODERS[compression](rows.tobytes())
+    tags = {256: (1 << 31) if broken else image.shape[1], 257: len(image), 258: bits, 259: compression, 273: 8, 277: 1, 278: len(image), 279: len(raw)}
+    ifd = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in tags.items()) + struct.pack("<I", 0)
+    return struct.pack("<2sHI", b"II", 42, 8 + len(raw)) + raw + ifd
+
+
+def test_tiff_samples_below_a_byte_and_impossible_sizes(spark):
+    rng = np.random.default_rng(2)
+    for bits in (1, 2, 4):
+        image = rng.integers(0, 1 << bits, (5, 13)).astype(np.uint8)
+        for compression in (tiff.PLAIN, tiff.PACKBITS, tiff.DEFLATE):
+            assert np.array_equal(next(tiff.read_tiff(bilevel(bits, image, compression)))["image"][:, :, 0], image)
+    good = tiff.write_tiff(tiff.payload_pages(b"ab" * 3200, page_rows=40))
+    at = good.index(b"\x00\x01\x04\x00", 8)  # the first page's width tag, as a directory entry
+    df = spark.createDataFrame([(1, bilevel(1, np.ones((2, 9), np.uint8), broken=True)), (2, good[: at + 8] + b"\xff\xff\xff\x7f" + good[at + 12 :])], "id int, content binary")
+    got = tiff.tiff_pages(df).select("row.id", "page", "error").collect()
+    assert [r["error"] is None for r in sorted(got, key=lambda r: (r["id"], r["page"]))] == [False, False, True, True]
+
+
 def test_tiff_pages_of_good_damaged_and_null_files(spark):
     good = tiff.write_tiff(tiff.payload_pages(b"ab" * 3200, page_rows=40))
     df = spark.createDataFrame([(1, good, 5), (2, good[:40], 5), (3, b"", 5), (4, None, 5)], "id int, content binary, page int")

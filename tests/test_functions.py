@@ -113,3 +113,36 @@ def test_empty_tables(spark):
     assert claims.executive_summary(none).first()["total_claims"] == 0
     assert claims.client_risk(none).count() == claims.open_aging(none).count() == claims.by_year(none).count() == 0
     assert claims.portfolio_score(claims.client_risk(none)).first()["portfolio_score"] == 0
+
+
+def test_classification_verdicts(spark):
+    from tallyforge.operators import text_checks
+
+    good = "POST TRANS TRANSACTION REFERENCE AMOUNT\n2/01 2/01 BOOKSHOP 2480394 44.48\n2/02 2/03 GROCER LLC 734 180.00\n"
+    cut = "POST TRANS TRANSACTION REFERENCE AMOUNT\n2/01 2/01 BOOKSHOP 2480394\n2/02 2/03 GROCER LLC 734\n"
+    df = spark.createDataFrame([(good,), (cut,), (None,), ("Amount\n2/01 x\n",)], "t string")
+    assert [r["m"] for r in df.select(text_checks.amounts_missing(F.col("t")).alias("m")).collect()] == [False, True, False, False]
+
+
+def test_quality_of_readable_and_damaged_text(spark):
+    from tallyforge.operators import text_checks as t
+
+    fine = "The insured reported a claim under the policy; the total amount paid and the reserve are dated below. " * 5
+    bad = "(cid:12)(cid:7)|||=== " * 40
+    df = spark.createDataFrame([(fine,), (bad,), ("",), (None,)], "t string").withColumn("m", t.measured(F.col("t"), F.lit(1)))
+    got = df.select(t.reasons(F.col("m")).alias("r"), t.score(F.col("t"), F.col("m")).alias("s"), t.recommendation(F.col("t"), F.col("m")).alias("a")).collect()
+    assert got[0]["r"] == [] and got[0]["a"] == "ok" and got[0]["s"] == 1.0
+    assert {"cids", "noise", "words"} <= set(got[1]["r"]) and got[1]["a"] == "full_vision"
+    assert got[2]["a"] == got[3]["a"] == "full_vision" and got[2]["s"] == got[3]["s"] == 0.0
+
+
+def test_empty_tables_of_the_new_operators(spark):
+    from tallyforge.operators import invoice_lines, invoices, statements
+
+    none = spark.createDataFrame([], "doc long, pos long, line string, page int")
+    for f in (invoice_lines.location_rows, invoice_lines.turned_rows, invoice_lines.grid_rows, invoice_lines.detail_rows, invoice_lines.with_identity):
+        assert f(none).count() == 0
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "no section")], "doc long, text string")
+    assert statements.deposits(texts, "doc", "text").count() == 0 and statements.debits(texts, "doc", "text").count() == 0
+    rows = spark.createDataFrame([], "doc long, n long, plan string, current decimal(18,2), adjustment decimal(18,2)")
+    assert invoices.three_totals(rows, "plan", "current", "adjustment").count() == 3

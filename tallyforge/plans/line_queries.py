@@ -54,7 +54,7 @@ def location_lines(spark, d):
     return _double(ops.location_rows(lines)).select("doc", "last", "first", "plan", "tier", "current")
 
 
-@query(f"""SELECT doc, {sql_names('n')} AS last, 'ANN' AS first, s AS member, CASE WHEN n % 3 = 0 THEN 'DTS' ELSE 'COMBINED' END AS plan, CASE n % 3 WHEN 0 THEN 'STD' ELSE 'LTD+STD' END AS kind, CASE n % 3 WHEN 0 THEN 3.3 WHEN 1 THEN 173.31 ELSE 137.68 END AS current FROM e""", E)
+@query(f"""SELECT doc, {sql_names('n')} AS last, 'ANN' AS first, s AS member, CASE WHEN n % 3 = 0 THEN 'DTS' ELSE 'COMBINED' END AS plan, CASE n % 3 WHEN 0 THEN 'STD' ELSE 'LTD+STD' END AS kind, (CASE n % 3 WHEN 0 THEN 3.3 WHEN 1 THEN 173.31 ELSE 137.68 END)::DOUBLE AS current FROM e""", E)
 def mirrored_lines(spark, d):
     e = _events(spark, d)
     name = _c(F.reverse("s"), " :ON DI NNA ,", F.reverse(pick(NAMES, F.col("n"))), " :EMAN")
@@ -99,7 +99,7 @@ def grid_lines(spark, d):
     return _double(ops.grid_rows(lines)).select("doc", "last", "first", "plan", "kind", "tier", "current")
 
 
-@query(f"""SELECT doc, {sql_names('n')} AS last, 'Ann' AS first, CAST(10000 + n AS VARCHAR) AS member, x.plan AS plan, x.kind AS kind, x.tier AS tier, x.c AS current, x.a AS adjustment FROM e, LATERAL (SELECT unnest([
+@query(f"""SELECT doc, {sql_names('n')} AS last, 'Ann' AS first, CAST(10000 + n AS VARCHAR) AS member, x.plan AS plan, x.kind AS kind, x.tier AS tier, x.c::DOUBLE AS current, x.a AS adjustment FROM e, LATERAL (SELECT unnest([
  {{'plan': 'Life Vol EE', 'kind': 'LIFE', 'tier': 'EE', 'c': n % 50 + 1.5, 'a': NULL::DOUBLE}}, {{'plan': 'VDEN plus', 'kind': 'DENTAL', 'tier': 'ES', 'c': 1020.25, 'a': NULL}}, {{'plan': 'VDEN plus', 'kind': 'DENTAL', 'tier': 'EE', 'c': NULL, 'a': 4.5}}]) AS x)""", E)
 def detail_lines(spark, d):
     e = _events(spark, d)
@@ -176,7 +176,7 @@ def resolved_paths(spark, d):
     return monitoring.resolved_paths(r, "filename", cache).select("id", "path")
 
 
-@query("SELECT conv_id, count(*) + 1 AS calls, (sum(length(text)) + 2 * count(*) + 7)::BIGINT AS total_ai_tokens, count(*) * 0.5 + 0.25 AS total_ai_cost FROM conversations WHERE text IS NOT NULL GROUP BY 1")
+@query("SELECT conv_id, count(*) + 1 AS calls, (sum(length(text)) + 2 * count(*) + 7)::BIGINT AS total_ai_tokens, (count(*) * 0.5 + 0.25)::DOUBLE AS total_ai_cost FROM conversations WHERE text IS NOT NULL GROUP BY 1")
 def added_calls(spark, d):
     call = F.struct(F.length("text").alias("prompt_tokens"), F.lit(2).alias("completion_tokens"), F.lit(0.5).alias("total_cost"))
     c = readers.table(spark, d, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(F.collect_list(call).alias("calls"))

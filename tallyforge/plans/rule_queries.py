@@ -223,10 +223,10 @@ def audit_notes(spark, d):
 # ---------------------------------------------------------------- logs and sets
 
 
-@query("SELECT filename, count(*) AS calls, CAST(sum(t) AS BIGINT) AS tokens, round(sum(value / 1000), 4) AS cost, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS kinds, max(ts) AS last_seen FROM (SELECT *, 'user' || CAST(user_id AS VARCHAR) AS filename, event_id % 100 AS t FROM events) GROUP BY filename")
+@query("SELECT filename, count(*) AS calls, CAST(sum(t) AS BIGINT) AS tokens, sum(CAST(value AS DECIMAL(18,2)))::DOUBLE AS cost, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS kinds, max(ts) AS last_seen FROM (SELECT *, 'user' || CAST(user_id AS VARCHAR) AS filename, event_id % 100 AS t FROM events) GROUP BY filename")
 def usage_by_file(spark, d):
-    e = readers.table(spark, d, "events").select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("filename"), (F.col("event_id") % 100).alias("total_tokens"), (F.col("value") / 1000).alias("total_cost"), "event_type", "ts")
-    return monitoring.usage_details(e, ["filename"], "event_type", "ts")
+    e = readers.table(spark, d, "events").select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("filename"), (F.col("event_id") % 100).alias("total_tokens"), cents(F.col("value")).alias("total_cost"), "event_type", "ts")
+    return monitoring.usage_details(e, ["filename"], "event_type", "ts").withColumn("cost", F.col("cost").cast("double"))
 
 
 @query("WITH c AS (SELECT user_id, avg(value) AS confidence FROM events GROUP BY 1) SELECT user_id, confidence FROM c UNION ALL SELECT NULL, avg(confidence) FROM c")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def new_rows(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
@@ -41,3 +42,9 @@ def run_available(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame,
     """Everything there is now, then stop; a later call goes on where this one ended."""
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def follow(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], every: str = "30 seconds", mode: str = "append") -> StreamingQuery:
+    """What comes, looked for at an interval, until the query is stopped.  Empty looks cost
+    nothing but a listing; ``monitoring.poll_interval`` tells how far to space them."""
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(processingTime=every).start()

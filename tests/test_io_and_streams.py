@@ -100,3 +100,15 @@ def test_paired_steps(spark, tmp_path):
     q = streams.paired_steps(streams.new_rows(spark, str(tmp_path / "s"), schema), streams.new_rows(spark, str(tmp_path / "e"), schema), "k", "ts", "30 minutes")
     streams.run_available(q, str(tmp_path / "ck"), lambda b, _: got.extend(b.collect()))
     assert [r["k"] for r in got] == [1]
+
+
+def test_follow_reads_until_it_is_stopped(spark, tmp_path):
+    df = spark.range(5)
+    df.write.parquet(str(tmp_path / "in"))
+    got = []
+    q = streams.follow(streams.new_rows(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "ck"), lambda b, _: got.extend(r["id"] for r in b.collect()), "1 second")
+    q.processAllAvailable()
+    df.write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(got) == sorted([*range(5), *range(5)])

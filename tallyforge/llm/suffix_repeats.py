@@ -241,11 +241,11 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["row", "lo", "hi"])
 
         for b in batches:
-            for k in range(0, len(b), 4000):
-                held += b.slice(k, 4000).to_pylist()
+            for k in range(0, len(b), 2000):
+                held += b.slice(k, 2000).to_pylist()
                 last = held[-1]["fp"]
                 whole = [r for r in held if r["fp"] != last]  # groups lie together; the last may go on
-                if len(whole) >= 4000:
+                if len(whole) >= 2000:
                     yield spans(whole)
                     held = [r for r in held if r["fp"] == last]
         if held:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import re
 import shutil
 import tempfile
@@ -84,6 +85,24 @@ def numbered(docs: DataFrame, id_col: str, name: str) -> DataFrame:
     return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def dense_positions(df: DataFrame, order: list[Column], name: str, scratch: Scratch) -> DataFrame:
+    """``df`` with ``name``, each row's place from 0 in the order of ``order``, written out.
+
+    Rows are dealt by ranges of ``order`` and sorted there; the first place of each range
+    comes from the counts of the ranges before it, a row per writing task.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    cut = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    cut = scratch.staged(cut.withColumn(name, F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright(name, 33)
+    sizes = sorted(cut.groupBy(part.alias("part")).count().collect())
+    starts = itertools.accumulate((r["count"] for r in sizes), initial=0)
+    first = spark.createDataFrame([(r["part"], start) for r, start in zip(sizes, starts)], "part long, first long")
+    told = cut.withColumn("part", part).join(F.broadcast(first), "part")
+    return told.withColumn(name, F.col("first") + F.col(name).bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "first")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` applied to ``value``, which is evaluated once however often it is used."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -184,7 +184,7 @@ def carried(parts: DataFrame, times: Callable, act: Callable, start: tuple[int,
     while not below.groupBy("conv").count().where("count > 1").isEmpty():
         up = below.groupBy("conv", F.shiftright("block", FAN_BITS).alias("up")).agg(F.sort_array(F.collect_list(F.struct("block", "value"))).alias("kids"))
         up = up.select("conv", F.col("up").alias("block"), "kids")
-        levels.append(scratch.staged(up.mapInPandas(combined, up.schema.add("value", "array<long>")), "carries"))
+        levels.append(scratch.staged(up.mapInPandas(combined, "conv string, block long, kids array<struct<block:long,value:array<long>>>, value array<long>"), "carries"))
         below = levels[-1]
     down = below.select("conv", "block", begin.alias("carry"))
     while levels:

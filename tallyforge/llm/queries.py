@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dart_minhash, fuzzy_lines, kneser_ney, merkle, mixing, quality_cascade, sharding, simple8b, suffix_repeats, tiff, turns
+from . import bpe, dart_minhash, fuzzy_lines, kneser_ney, licenses, merkle, mixing, quality_cascade, sharding, simple8b, suffix_repeats, tiff, turns
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +67,16 @@ def op12_turn_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sampled_splitters, op2_hypergeometric_mix, op3_kneser_ney, op4_tiff_pages, op5_simple8b_tokens, op6_byte_bpe,
         op7_suffix_repeats, op8_fuzzy_lines, op9_dart_minhash, op10_rule_cascade,
-        op11_merkle_manifest, op12_turn_automaton,
+        op11_merkle_manifest, op12_turn_automaton, op13_license_rules,
     )
 }
 

@@ -10,7 +10,7 @@ darts of all documents of a batch are thrown together in numpy.
 Candidates are verified exactly, on the shingle sets of whole texts, and linked documents
 form classes.  Documents with equal texts are one class; they are collapsed to the least
 id before the search, so a group of copies costs one candidate.  Buckets are resolved by
-``links.resolve``: no list of all pairs, no cap.
+``links.resolve``: no list of all pairs, no cap, and no loss but that of the bands.
 
 With ``weights="set"`` each distinct shingle weighs 1 and the similarity is the plain
 Jaccard similarity of the shingle sets; with ``"count"`` it weighs as often as it occurs.
@@ -206,6 +206,24 @@ def jaccard_at_least(threshold: float, words: int, weights: str):
     return run
 
 
+def shingle_sets(words: int, weights: str):
+    """The distinct shingles of texts; one that weighs w is w tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 200):
+                part = b.slice(at, 200)
+                d, h, w = weighted(*shingles(part.column("text").to_pylist(), words), weights)
+                w = w.astype(np.int64)
+                nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+                tokens = np.repeat(h, w) + GOLD * nth.astype(np.uint64)
+                ends = np.cumsum(np.bincount(np.repeat(d, w), minlength=len(part)))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(tokens.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("n"), lists], names=["id", "tokens"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 26, rows: int = 5, weights: str = "set"
 ) -> DataFrame:
@@ -229,7 +247,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int = 5, thresh
     texts = signed.groupBy("copy").agg(first.alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     texts = staged(texts.withColumn("n", F.monotonically_increasing_id()), "texts")
     with Scratch(docs.sparkSession) as scratch:
-        found, labels = links.resolve(texts.select(F.col("n").alias("id"), "keys"), _verifier(slim, texts, threshold, words, weights, scratch))
+        verify, sets = _verifier(slim, texts, threshold, words, weights, scratch)
+        found, labels = links.resolve(texts.select(F.col("n").alias("id"), "keys"), verify, sets, threshold)
     degree = found.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("n_links"))
     of_text = texts.select("n", "copy", "first").join(labels.withColumnRenamed("id", "n"), "n", "left").join(degree, "n", "left")
     of_text = of_text.select("copy", "first", F.coalesce("label", "n").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -239,8 +258,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int = 5, thresh
 
 
 def _verifier(slim: DataFrame, texts: DataFrame, threshold: float, words: int, weights: str, scratch: Scratch):
-    """Joins candidates with their texts; the texts of all ids that are ever asked for are
-    written once, on the first call."""
+    """(verify, sets): the first joins candidates with their texts and compares them, the second
+    gives the shingle sets of ids.  The texts of all ids that are ever asked for are written
+    once, on the first call of ``verify``."""
     store: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -256,7 +276,10 @@ def _verifier(slim: DataFrame, texts: DataFrame, threshold: float, words: int, w
         full = pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "ta", "tb")  # a hot id's text meets each of its partners: a join that Spark can split
         return full.mapInArrow(jaccard_at_least(threshold, words, weights), "a long, b long")
 
-    return verify
+    def sets(ids: DataFrame) -> DataFrame:
+        return store[0].join(ids.withColumnRenamed("id", "n"), "n", "left_semi").select("n", "text").mapInArrow(shingle_sets(words, weights), "id long, tokens array<long>")
+
+    return verify, sets
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -1,8 +1,8 @@
 """Connected components and bucket resolution as joins and aggregations.
 
-Both work on links between ids and never gather a bucket or a component: a group of any
-size is handled by minima and maxima per key, which Spark combines before shuffling, and
-by joins of written tables, which it can split when they are skewed.
+Neither gathers a bucket or a component: a group of any size is handled by minima and
+maxima per key, which Spark combines before shuffling, and by joins of written tables,
+which it can split when they are skewed.
 """
 
 from __future__ import annotations
@@ -17,10 +17,6 @@ from .common import Scratch, staged
 
 #: A bucket of so many ids is small: those not joined by then meet in pairs.
 SMALL = 32
-#: A large bucket is dealt anew by each of so many following keys of its ids.
-SPREAD = 3
-#: Of so many keys at most; ids that share them have nearly equal signatures.
-MOST = 4
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -64,80 +60,81 @@ def pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def resolve(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+def close_pairs(sets: DataFrame, labels: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of ids of different components among which are all whose ``tokens``, sets
+    of numbers, have a Jaccard similarity of ``threshold`` or more.
+
+    Tokens are put in order, the rarest first.  Of two such sets the smaller has, within its
+    first ``n - 2t/(1+t) n + 1`` tokens, one that is within the first ``m - t m + 1`` of the
+    larger; what follows these two must suffice for the overlap that is needed.  Tokens that
+    most sets share, as those of a template do, come last and join nothing.
+    """
+    sets = scratch.staged(sets.select("id", F.size("tokens").alias("size"), "tokens"), "sets")
+    each = sets.select("id", "size", F.explode("tokens").alias("w"))
+    common = scratch.staged(each.groupBy("w").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    ordered = each.join(common, "w").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    own = F.col("size") - F.size("ws")  # those of one set only come before all others
+    first = lambda share: F.col("size") - F.ceil(F.col("size") * F.lit(share) - F.lit(1e-6)) + 1
+    heads = ordered.select("id", "size", own.alias("own"), first(2 * threshold / (1 + threshold)).alias("short"), F.slice("ws", F.lit(1), F.greatest(F.lit(0), first(threshold) - own).cast("int")).alias("ws"))
+    heads = heads.select("id", "size", "own", "short", F.posexplode("ws").alias("i", "w")).select("id", "size", "short", (F.col("own") + F.col("i")).alias("at"), F.col("w.w").alias("w"))
+    heads = scratch.staged(heads.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "heads")
+    a, b = heads.where("at < short").alias("a"), heads.alias("b")
+    enough = F.lit(threshold / (1 + threshold)) * (F.col("a.size") + F.col("b.size")) - F.lit(1e-6)
+    fits = (F.col("a.label") != F.col("b.label")) & ((F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.id") != F.col("b.id"))))
+    fits &= F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) >= enough
+    fits &= F.col("a.size") >= F.col("b.size") * F.lit(threshold) - F.lit(1e-6)
+    return a.join(b, (F.col("a.w") == F.col("b.w")) & fits).select(*pair("a.id", "b.id")).distinct()
+
+
+def resolve(
+    nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], threshold: float, small: int = SMALL
+) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between ids of one bucket that ``verify`` confirms, so many that they
-    make the components that all such links would make, but for the losses named below;
-    and those components (id, label), for every id with a link.  ``nodes`` has (id, keys)
-    with a key or null for each band; equal keys make a bucket.
+    make the components that all such links would make; and those components (id, label),
+    for every id with a link.  ``nodes`` has (id, keys) with a key or null for each band;
+    equal keys make a bucket.  ``tokens`` gives (id, tokens), the sets that are compared,
+    for a table of ids.
 
     1. Every bucket compares its ids with one of them, its centre: the least id, or in a
        bucket of more than ``small`` ids the one whose buckets are largest, since a text
        that many were copied from shares most buckets with them.
     2. A bucket whose ids are then in one component is done.  In a small bucket, ids of
        different components meet in pairs, at most ``small / 2`` for each id.
-    3. A large bucket, without its centre, is dealt anew by its key and one of the
-       ``SPREAD`` next keys of each id, its parts by twice as many keys, until a part goes
-       by ``MOST`` keys; there the parts are compared in the same way.
+    3. The ids of all large buckets that are not done meet by their rarest tokens, exactly:
+       ``close_pairs``.
 
-    So comparisons grow with the number of ids, whatever the size of a bucket, and rounds
-    are few.  A link is lost if its ids meet in large buckets only, share none of the next
-    keys there, and are joined by no other way.
+    So comparisons grow with the number of ids, whatever the size of a bucket, unless many
+    texts of different components share their rarest tokens too.
     """
     with Scratch(nodes.sparkSession) as scratch:
-        n_bands = nodes.agg(F.coalesce(F.max(F.size("keys")), F.lit(0))).first()[0]
-        following = lambda i: F.get("keys", (F.col("at") + F.lit(i)) % F.lit(n_bands))
-
-        def pairs_of(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-            """(pairs to compare, the large buckets with their centres); with labels, ids of
-            one component are not compared, and small buckets are taken in pairs."""
-            large, more = members.where(F.col("n") > small), None
-            few = members.where(F.col("n") <= small)
-            if labels is None:
-                pairs = few.where("id <> c").select(*pair("c", "id"))
-            else:
-                other = few.select("key", F.col("id").alias("id2"), F.col("label").alias("label2"))
-                pairs = few.join(other, "key").where("label <> label2 AND id < id2").select(*pair("id", "id2"))
-            if not large.isEmpty():
-                score = large.groupBy("id").agg(F.sum("n").alias("score"))
-                scored = scratch.staged(large.join(score, "id"), "scored")
-                label = F.lit(None).cast("long") if labels is None else F.col("label")
-                hubs = scored.groupBy("key").agg(F.max(F.struct("score", "id", label.alias("label"))).alias("top"))
-                hubs = scratch.staged(hubs.select("key", F.col("top.id").alias("c"), F.col("top.label").alias("lc")), "hubs")
-                more = scratch.staged(scored.drop("c", "score").join(hubs, "key"), "large")
-                pairs = pairs.unionByName(more.where("id <> c" if labels is None else "label <> lc").select(*pair("c", "id")))
-                more = more.drop("lc")
-            return pairs.distinct(), more
-
-        def gathered(bands: DataFrame) -> DataFrame:
-            sizes = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("c")).where("n > 1")
-            return scratch.staged(bands.join(scratch.staged(sizes, "sizes"), "key"), "members")
-
-        def unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-            """The rows of buckets with more than one component, with labels, without centres."""
-            told = scratch.staged(rows.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "told")
-            mixed = told.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-            return scratch.staged(told.join(scratch.staged(mixed, "mixed"), "key").where("id <> c"), "unsettled")
-
-        members = gathered(nodes.select("id", F.posexplode("keys").alias("at", "key")).where("key IS NOT NULL"))
-        pairs, large = pairs_of(members, None)
-        found = [scratch.staged(verify(pairs), "verified")]
+        bands = nodes.select("id", F.explode("keys").alias("key")).where("key IS NOT NULL")
+        sizes = scratch.staged(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("c")).where("n > 1"), "sizes")
+        members = scratch.staged(bands.join(sizes, "key"), "members")
+        large = members.where(F.col("n") > small)
+        pairs = members.where((F.col("n") <= small) & (F.col("id") != F.col("c"))).select(*pair("c", "id"))
+        some_large = not large.isEmpty()
+        if some_large:
+            score = large.groupBy("id").agg(F.sum("n").alias("score"))
+            scored = scratch.staged(large.select("id", "key").join(score, "id"), "scored")
+            hubs = scratch.staged(scored.groupBy("key").agg(F.max(F.struct("score", "id"))["id"].alias("c")), "hubs")
+            pairs = pairs.unionByName(scored.join(hubs, "key").where("id <> c").select(*pair("c", "id")))
+        found = [scratch.staged(verify(pairs.distinct()), "verified")]
         labels = components(found[0])
-        pairs, _ = pairs_of(unsettled(members.where(F.col("n").between(3, small)), labels), labels)
-        used = 1
-        while True:
-            found.append(scratch.staged(verify(pairs), "verified"))
-            labels = joined(labels, found[-1])
-            if large is None or used >= min(n_bands, MOST):
-                break
-            rest = unsettled(large, labels).select("id", "key", "at", "label").join(nodes.select("id", "keys"), "id")
-            if used == 1:
-                rest = rest.select("id", "key", "keys", "label", F.explode(F.array(*[F.col("at") + i for i in range(min(SPREAD, n_bands - 1))])).alias("at"))
-                rest = rest.where(following(1).isNotNull())
-            keys = [following(i + 1) for i in range(min(used, n_bands - used))]
-            at = ((F.col("at") + F.lit(len(keys))) % F.lit(n_bands)).cast("int")
-            members = gathered(scratch.staged(rest.select("id", "label", at.alias("at"), F.xxhash64("key", "at", *keys).alias("key")), "dealt"))
-            if members.isEmpty():
-                break
-            pairs, large = pairs_of(members, labels)
-            used *= 2
+
+        def unsettled(rows: DataFrame) -> DataFrame:
+            """The rows of buckets with more than one component, with labels."""
+            told = scratch.staged(rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "told")
+            mixed = told.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
+            return scratch.staged(told.join(scratch.staged(mixed, "mixed"), "key"), "unsettled")
+
+        few = unsettled(members.where(F.col("n").between(3, small)))
+        other = few.select("key", F.col("id").alias("id2"), F.col("label").alias("label2"))
+        pairs = few.join(other, "key").where("label <> label2 AND id < id2").select(*pair("id", "id2")).distinct()
+        found.append(scratch.staged(verify(pairs), "verified"))
+        labels = joined(labels, found[-1])
+        if some_large:
+            ids = scratch.staged(unsettled(large).select("id").distinct(), "crowded")
+            if not ids.isEmpty():
+                found.append(scratch.staged(verify(close_pairs(tokens(ids), labels, threshold, scratch)), "verified"))
+                labels = joined(labels, found[-1])
         return staged(functools.reduce(DataFrame.unionByName, found).distinct(), "links-found"), labels

@@ -288,11 +288,43 @@ def test_components_and_buckets(spark):
     got = {r["id"]: r["label"] for r in links.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     label = union(200, pairs)
     assert all(got[x] == label[x] for p in pairs if p[0] != p[1] for x in p)
-    # one bucket of 40 ids in 10 chains: all links that join components are found
-    ids = spark.range(40).select(F.lit(1).cast("long").alias("key"), "id")
-    found, _ = links.resolve(ids.select("id", F.array("key").alias("keys")), lambda p: p.where("a % 10 = b % 10 AND abs(a - b) = 10"), small=40)
-    got = {r["id"]: r["label"] for r in links.components(found).collect()}
-    assert all(got[i] == i % 10 for i in range(40))
+
+
+@pytest.mark.parametrize("small", [40, 5])
+def test_buckets_small_and_large(spark, small):
+    """One bucket of 400 ids in chains of 40: neighbours of a chain share 9 of 10 tokens, all
+    ids four of a template; the components are found with few comparisons."""
+    sets = {i: {-1, -2, -3, -4} | {1000 * (i % 10) + 2 * (i // 10) + k for k in range(36)} for i in range(400)}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+    compared = []
+
+    def verify(pairs):
+        asked = [(r["a"], r["b"]) for r in pairs.collect()]
+        compared.extend(asked)
+        return spark.createDataFrame([p for p in asked if near(*p)], "a long, b long")
+
+    nodes = spark.range(400).select("id", F.array(F.lit(1).cast("long")).alias("keys"))
+    tokens = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, tokens array<long>")
+    _, labels = links.resolve(nodes, verify, lambda ids: tokens.join(ids, "id", "left_semi"), 0.8, small=small)
+    got = {r["id"]: r["label"] for r in labels.collect()}
+    assert all(got[i] == i % 10 for i in range(400)) and len(compared) < 5000
+
+
+def test_links_in_crowded_buckets_are_found(spark):
+    """Pairs at about 0.82 whose texts share a template that puts all of them at about 0.71:
+    buckets are large and hold few links."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    template, rows = [word() for _ in range(500)], []
+    for i in range(300):
+        own = [word() for _ in range(98)]
+        other = [*own[:39], *(word() for _ in range(59))]
+        rows += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + other))]
+    sets = [shingle_set(t, 5) for _, t in rows]
+    sim = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(0.8 < sim(2 * i, 2 * i + 1) < 0.85 for i in range(300)) and 0.68 < sim(0, 2) < 0.75
+    got = {r["id"]: r["class_id"] for r in dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[i] == i // 2 * 2 for i in got) and len(got) == 600
 
 
 @pytest.mark.parametrize("run", [tiff.digest, dart_minhash.digest, suffix_repeats.digest, lambda d: simple8b.digest(d, WORD_FILE), lambda d: bpe.digest(d, BYTE_FILE)])

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import month_day, month_day_gap
+from ..functions.dates import month_day
 from ..functions.text import squeeze
+from . import scan
 
 # --- fixed values ---
 CREDIT_WORDS = "deposit|credit|interest|refund|incoming|receive"
@@ -29,24 +34,33 @@ def signed(amount: Column, description: Column) -> Column:
     return F.when(d.rlike(DEBIT_WORDS) & (v > 0), -v).when(~d.rlike(DEBIT_WORDS) & d.rlike(CREDIT_WORDS) & (v < 0), -v).otherwise(v)
 
 
-def audit_balance(tx: DataFrame, part: str, order: list[str], opening: Column, tolerance: float = 0.01) -> DataFrame:
+def audit_balance(tx: DataFrame, part: str, order: list[str], opening: Column, tolerance: float = 0.01, turn: bool = False, crowded: int = scan.CROWDED) -> DataFrame:
     """Adds prior (the balance before), value (signed), fixed with the amount it should be, and
     a note: whether the sign alone is wrong, else the amount.
 
     A printed balance is an anchor: the balance before a row is the last anchor before it,
-    or the opening, plus the signed amounts since."""
-    w = Window.partitionBy(part).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    or the opening, plus the signed amounts since.  With ``turn``, a statement is read twice,
+    with the signs as they are and with all of them turned, and the reading that agrees with
+    more of its anchors is taken for all its rows (as they are, at a tie); ``turned`` tells
+    which it was.
+    """
     v = signed(F.col("amount"), F.col("description"))
-    t = tx.withColumn("value", v).withColumn("__g", F.count("running_balance").over(before)).withColumn("__a", F.last("running_balance", ignorenulls=True).over(before))
-    since = Window.partitionBy(part, "__g").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("prior", F.coalesce("__a", opening) + F.coalesce(F.sum(F.when(F.col("running_balance").isNull(), F.col("value"))).over(since), F.lit(0)))
+    t = scan.since_anchor(tx.withColumn("value", v), part, order, F.col("running_balance"), F.col("value"), crowded=crowded)
+    base = F.coalesce("anchor", opening)
+    gap = lambda way: F.abs(base + way * (F.col("since") + F.col("value")) - F.col("running_balance"))
+    if turn:
+        agree = lambda way: F.count_if(gap(F.lit(way)) <= tolerance)
+        per = t.groupBy(F.col(part).alias("__p")).agg((agree(-1) > agree(1)).alias("turned"))
+        t = t.join(per, F.col(part).eqNullSafe(F.col("__p"))).drop("__p")
+        way = F.when(F.col("turned"), -1).otherwise(1)
+        t = t.withColumn("value", (way * F.col("value")).cast(t.schema["value"].dataType)).withColumn("since", (way * F.col("since")).cast(t.schema["since"].dataType))
+    t = t.withColumn("prior", base + F.col("since"))
     off = F.abs(F.col("prior") + F.col("value") - F.col("running_balance")) > tolerance
     t = t.withColumn("fixed", F.coalesce(off, F.lit(False)))
     swapped = F.abs(F.col("prior") - F.col("value") - F.col("running_balance")) <= tolerance
     note = F.when(F.col("fixed") & swapped, "sign reversed").when(F.col("fixed"), F.concat(F.lit("amount should be "), F.format_string("%.2f", F.abs(F.col("running_balance") - F.col("prior")).cast("double"))))
     t = t.withColumn("note", note)
-    return t.withColumn("amount_due", F.when(F.col("fixed"), F.abs(F.round(F.col("running_balance") - F.col("prior"), 2))).otherwise(F.col("amount"))).drop("__g", "__a")
+    return t.withColumn("amount_due", F.when(F.col("fixed"), F.abs(F.round(F.col("running_balance") - F.col("prior"), 2))).otherwise(F.col("amount"))).drop("anchor", "since")
 
 
 def summary_line(description: Column, amount: Column, most: float, words: tuple[str, ...] = DEPOSIT_SUMMARY_WORDS) -> Column:
@@ -61,35 +75,100 @@ def summary_line(description: Column, amount: Column, most: float, words: tuple[
     return named | F.coalesce((F.abs(amount) > most) | counted, F.lit(False))
 
 
+#: Days between ``MM/DD`` dates that count as at most one day apart, round the turn of the year.
+NEAR = (-365, -364, -1, 0, 1, 364, 365)
+GRAM = 5
+
+
+def contained(nodes: DataFrame) -> DataFrame:
+    """(whole, part): nodes of equal ``key``, at most a day apart, of which one's text holds
+    the other's; ``nodes`` has key, node, day and text, node by node.
+
+    A text is looked up by its rarest ``GRAM`` letters among those of its key, a shorter one
+    by itself, in the pieces of all texts; so texts of an amount that have nothing rare in
+    common never meet.
+    """
+    def pieces(n: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring("text", i, n))
+        return F.when(n == 0, F.array(F.lit(""))).when(F.length("text") >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    # explode multiplies rows beyond what the planner expects: the hints keep it from broadcasting them
+    grams = nodes.select("key", "node", "day", F.explode(F.array_distinct(pieces(F.lit(GRAM)))).alias("piece")).hint("merge")
+    often = grams.groupBy("key", "piece").agg(F.count("*").alias("df"))
+    rare = grams.join(often, ["key", "piece"]).groupBy("node").agg(F.min(F.struct("df", "piece"))["piece"].alias("piece"))
+    parts = nodes.join(rare, "node", "left").withColumn("piece", F.coalesce("piece", "text"))
+    parts = parts.select("key", F.col("node").alias("part"), F.col("text").alias("less"), "piece", F.explode(F.array(*[F.col("day") + s for s in NEAR])).alias("day"))
+    short = nodes.where(F.length("text") < GRAM).groupBy("key").agg(F.collect_set(F.length("text")).alias("lengths"))
+    lengths = F.concat(F.array(F.lit(GRAM)), F.coalesce("lengths", F.array().cast("array<int>")))
+    every = nodes.join(short, "key", "left").select("key", F.col("node").alias("whole"), "day", "text", F.explode(F.array_distinct(F.flatten(F.transform(lengths, pieces)))).alias("piece")).hint("merge")
+    met = every.join(parts, ["key", "day", "piece"]).where((F.col("whole") != F.col("part")) & F.col("text").contains(F.col("less")))
+    return met.select("whole", "part").distinct()
+
+
 def drop_duplicates(tx: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Transactions without those that repeat one of equal keys, at most a day apart, whose
     description holds the other's.  Of two the longer description stays; the first, if equal.
-
-    Equal rows are collapsed first, while Spark combines them before the shuffle: a later
-    one is always covered.  What is left of a key is cut where two days lie further apart
-    than one, and each stretch is folded in order.
+    Rows are taken in ``order``: one that a row that stays holds is dropped; else it stays,
+    and those it holds go.
+
+    Rows of equal keys, day and text are one node.  Which nodes hold one another is found by
+    ``contained``.  Of a node that meets no other, the first row stays.  The others are dealt
+    by key and stretch of days and folded in order, streaming: each task keeps, for a node,
+    whether it stays and how many that hold it do.  A date that is no day is near none but
+    its like.
     """
     text = squeeze(F.upper(F.coalesce("description", F.lit(""))))
-    once = tx.groupBy(*keys, "date", text.alias("__text")).agg(F.min(order).alias("__o"))
-    day = F.coalesce(F.datediff(month_day(F.col("date")), F.lit("2000-01-01").cast("date")), F.lit(-999))
-    per_key = Window.partitionBy(*keys)
-    once = once.withColumn("__d", day).withColumn("__new", F.coalesce(F.col("__d") - F.lag("__d").over(per_key.orderBy("__d", "__o")) > 1, F.lit(False)))
-    once = once.withColumn("__run", F.count_if("__new").over(per_key.orderBy("__d", "__o"))).withColumn("__last", F.max("__run").over(per_key))
-    # December 31 and January 1 are neighbours
-    round_ = F.max((F.col("__d") >= 365).cast("int")).over(per_key) * F.max((F.col("__d").between(0, 0)).cast("int")).over(per_key)
-    first_day = F.min(F.when(F.col("__d") >= 0, F.col("__run"))).over(per_key)
-    once = once.withColumn("__run", F.when((round_ == 1) & (F.col("__run") == F.col("__last")), first_day).otherwise(F.col("__run")))
-
-    def step(kept: Column, x: Column) -> Column:
-        near = lambda u: month_day_gap(x["date"], u["date"]) <= 1
-        covered = F.exists(kept, lambda u: near(u) & u["text"].contains(x["text"]))
-        shorter = lambda u: near(u) & x["text"].contains(u["text"])
-        return F.when(covered, kept).otherwise(F.array_append(F.filter(kept, lambda u: ~shorter(u)), x))
-
-    row = F.struct(F.col("__o").alias("o"), F.col("date").alias("date"), F.col("__text").alias("text"))
-    g = once.groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(row)).alias("__rows"))
-    stay = g.select(F.explode(F.aggregate("__rows", F.slice("__rows", 1, 0), step)).alias("r")).select(F.col("r.o").alias(order))
-    return tx.join(stay, order, "left_semi")
+    day = F.coalesce(F.datediff(month_day(F.col("date")), F.lit("2000-01-01").cast("date")), F.lit(-9999))
+    key = F.md5(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    rows = tx.select(key.alias("key"), F.col(order).alias("__o"), day.alias("day"), text.alias("text"))
+    rows = rows.withColumn("node", F.md5(F.concat_ws(" ", "key", "day", "text")))
+    nodes = rows.groupBy("key", "node", "day", "text").agg(F.min("__o").alias("__o"))
+    pairs = contained(nodes.where("day >= 0"))
+    linked = pairs.select(F.explode(F.array("whole", "part")).alias("node")).distinct()
+    alone = nodes.join(linked, "node", "left_anti").select("__o")
+
+    # the days of a key in stretches: a year at most
+    met = nodes.join(linked, "node", "left_semi")
+    days = met.groupBy("key").agg(F.array_sort(F.collect_set("day")).alias("days"))
+    starts = F.filter("days", lambda d, i: (i == 0) | (d - F.get("days", i - 1) > 1))
+    stretch = F.size(F.filter("starts", lambda s: s <= F.col("day")))
+    real = F.array_min(F.filter("days", lambda d: d >= 0))
+    round_ = (F.array_max("days") - real >= 364) & (stretch == F.size("starts"))
+    days = days.select("key", "days", starts.alias("starts"))
+    placed = met.join(days, "key").withColumn("stretch", F.when(round_, F.size(F.filter("starts", lambda s: s <= real))).otherwise(stretch))
+    holds = pairs.groupBy("whole").agg(F.collect_list("part").alias("parts")).withColumnRenamed("whole", "node")
+    placed = placed.join(holds, "node", "left").select("node", F.concat_ws(" ", "key", "stretch").alias("group"), "parts")
+    kind = rows.schema["__o"].dataType.simpleString()
+
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, stays, held, parts = None, {}, Counter(), {}
+
+        def lost(node: str) -> None:
+            for p in (node, *parts[node]):
+                held[p] -= 1
+            del stays[node]
+
+        for b in batches:
+            done = []
+            for g, node, o, inside in zip(b["group"], b["node"], b["__o"], b["parts"]):
+                if g != group:
+                    done += stays.values()
+                    group, stays, held, parts = g, {}, Counter(), {}
+                if held[node] > 0:
+                    continue
+                parts[node] = [] if inside is None else list(inside)
+                for p in parts[node]:
+                    if p in stays:
+                        lost(p)
+                stays[node] = o
+                for p in (node, *parts[node]):
+                    held[p] += 1
+            yield pd.DataFrame({"__o": pd.Series(done, dtype=b["__o"].dtype)})
+        yield pd.DataFrame({"__o": list(stays.values())})
+
+    ordered = rows.select("node", "__o").join(placed, "node").repartition("group").sortWithinPartitions("group", "__o")
+    stay = alone.unionByName(ordered.select("group", "node", "__o", "parts").mapInPandas(folded, f"__o {kind}"))
+    return tx.join(stay.withColumnRenamed("__o", order), order, "left_semi")
 
 
 def debit_order(check_no: Column, date: Column) -> list[Column]:

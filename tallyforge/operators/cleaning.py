@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_corporate, no_sentinel, zero_stripped
+from . import scan
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -16,30 +17,24 @@ def first_wins(df: DataFrame, keys: list[str], order: list[Column | str]) -> Dat
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def best_version(df: DataFrame, key: str, order: list[str], score: str, date: str, details: list[str]) -> DataFrame:
-    """One record per key by an ordered fold over its copies.
+def best_version(df: DataFrame, key: str, order: list[str], score: str, date: str, details: list[str], crowded: int = scan.CROWDED) -> DataFrame:
+    """One record per key, as if its copies were merged one by one in order.
 
-    A copy takes over if its score is better and it has a date or the holder has none, or
-    if it alone has a date.  The loser fills the winner's empty details.  Copies of a key
-    are few (versions of one claim); they are gathered and folded in order.
+    A copy takes over if its score is better than all before it and it has a date or none
+    before it has, or if it alone has a date.  The loser fills the winner's empty details.
+    So a detail comes from the last copy that took over and has it, else from the first of
+    the others that has it; what takes over follows from the best score and the number of
+    dates before it.  Nothing is gathered, whatever the number of copies.
     """
-    fields = [score, date, *details]
-    copies = F.array_sort(F.collect_list(F.struct(*order, *[F.col(c).alias(f"f_{c}") for c in fields])))
-    as_state = lambda x, best: F.struct(best.alias("best"), *[x[f"f_{c}"].alias(c) for c in fields])
-
-    def step(a: Column, x: Column) -> Column:
-        new, old = x[f"f_{date}"].isNotNull(), a[date].isNotNull()
-        takes = ((x[f"f_{score}"] > a["best"]) & (new | ~old)) | (~old & new)
-        pick = lambda c: F.when(takes, F.coalesce(x[f"f_{c}"], a[c])).otherwise(F.coalesce(a[c], x[f"f_{c}"]))
-        return F.struct(
-            F.greatest(a["best"], x[f"f_{score}"]).alias("best"), F.when(takes, x[f"f_{score}"]).otherwise(a[score]).alias(score),
-            pick(date).alias(date), *[pick(c).alias(c) for c in details],
-        )
-
-    g = df.groupBy(key).agg(copies.alias("c"))
-    head = F.get(F.col("c"), F.lit(0))
-    folded = F.aggregate(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0))), as_state(head, head[f"f_{score}"]), step)
-    return g.select(key, folded.alias("v"), F.size("c").cast("long").alias("copies")).select(key, "copies", *[F.col(f"v.{c}").alias(c) for c in [date, *details]], F.col("v.best").alias("best_score"))
+    seen = {"__best": ("max", F.col(score)), "__dated": ("count", F.col(date))}
+    r = scan.running(df, key, order, seen, inclusive=False, crowded=crowded)
+    better, new, none = F.coalesce(F.col(score) > F.col("__best"), F.lit(False)), F.col(date).isNotNull(), F.col("__dated") == 0
+    r = r.withColumn("__takes", (better & (new | none)) | (none & new))
+    at = F.struct(*order)
+    has = lambda c, takes: F.when(F.col(c).isNotNull() & (F.col("__takes") == takes), at)
+    # the first copy holds until one takes over; like those that lose later it fills what is missing, in order
+    pick = lambda c: F.coalesce(F.max_by(c, has(c, True)), F.min_by(c, has(c, False))).alias(c)
+    return r.groupBy(key).agg(F.count("*").alias("copies"), *[pick(c) for c in [date, *details]], F.max(score).alias("best_score"))
 
 
 def missing_from(master: DataFrame, found: DataFrame, key: str, zero_insensitive: bool = False) -> DataFrame:
@@ -70,15 +65,14 @@ def math_check(parts: list[Column], reported: Column, tolerance: float) -> Colum
     return F.struct(diff.cast("double").alias("diff"), (diff < tolerance).alias("valid"))
 
 
-def nearest_before(events: DataFrame, anchors: DataFrame, part: str, at: str, value: str) -> DataFrame:
+def nearest_before(events: DataFrame, anchors: DataFrame, part: str, at: str, value: str, crowded: int = scan.CROWDED) -> DataFrame:
     """As-of join: every event with the value of the last anchor at or before it in its part.
 
-    One union and one window instead of a range join; anchors come before events at a tie."""
+    One union and one scan instead of a range join; anchors come before events at a tie."""
     both = events.select("*", F.lit(None).cast(anchors.schema[value].dataType).alias("__v"), F.lit(1).alias("__side")).unionByName(
         anchors.select(part, at, F.col(value).alias("__v"), F.lit(0).alias("__side")), allowMissingColumns=True
     )
-    w = Window.partitionBy(part).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__side = 1").drop("__v", "__side")
+    return scan.running(both, part, [at, "__side"], {value: ("last", F.col("__v"))}, crowded=crowded).where("__side = 1").drop("__v", "__side")
 
 
 def looked_up(rows: DataFrame, key: str, table: DataFrame, table_key: str, columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key, plain
+from . import scan
 
 #: Parts of plan names that mark subtotals.
 AGGREGATE_PLANS = (
@@ -73,13 +74,15 @@ def unpivot_premiums(wide: DataFrame, ids: list[str], values: list[str], name: s
     return wide.unpivot(ids, values, name, value).where(F.col(value).isNotNull() & (F.col(value) != 0))
 
 
-def fill_down(rows: DataFrame, part: str, order: list[str], columns: list[str]) -> DataFrame:
+def fill_down(rows: DataFrame, part: str, order: list[str], columns: list[str], crowded: int = scan.CROWDED) -> DataFrame:
     """Blank identifier cells take the value of the row above."""
-    w = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({c: F.last(F.nullif(F.trim(c), F.lit("")), ignorenulls=True).over(w) for c in columns})
+    filled = scan.running(rows, part, order, {f"__{c}": ("last", F.nullif(F.trim(c), F.lit(""))) for c in columns}, crowded=crowded)
+    return filled.withColumns({c: F.col(f"__{c}") for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
-def repair_orphans(rows: DataFrame, part: str, order: list[str], person: str, plan: str, amounts: list[str], index: str, placeholder: str, late: int = 50) -> DataFrame:
+def repair_orphans(
+    rows: DataFrame, part: str, order: list[str], person: str, plan: Column, amounts: list[str], index: str, placeholder: str, late: int = 50, crowded: int = scan.CROWDED
+) -> DataFrame:
     """Placeholder rows take the last real person before them.
 
     Dropped are placeholders that are subtotals, come late in their chunk, repeat a plan of
@@ -87,22 +90,23 @@ def repair_orphans(rows: DataFrame, part: str, order: list[str], person: str, pl
     sets the person nor counts as one of their plans.
     """
     is_place = F.col(person) == placeholder
-    subtotal = F.upper(F.coalesce(plan, F.lit(""))).rlike(AGGREGATE_PLANS)
+    name = F.upper(F.coalesce(plan, F.lit("")))
+    subtotal = name.rlike(AGGREGATE_PLANS)
     total = F.upper(F.concat_ws(" ", person, plan)).contains("TOTAL")
     real = ~is_place & ~subtotal & ~total & F.col(person).isNotNull() & ~F.upper(person).isin("", "NONE", "NAN")
-    before = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    r = rows.withColumn("__real", real).withColumn("__last", F.last(F.when(F.col("__real"), F.col(person)), ignorenulls=True).over(before))
-    r = r.withColumn("__run", F.count_if(F.col("__real") & ~F.col(person).eqNullSafe(F.col("__last"))).over(upto))
-    seen = F.collect_set(F.when(F.col("__real"), F.upper(F.coalesce(plan, F.lit(""))))).over(Window.partitionBy(part, "__run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    r = r.withColumn("__seen", seen)
+    r = rows.withColumn("__real", real).withColumn("__name", name)
+    r = scan.running(r, part, order, {"__last": ("last", F.when(F.col("__real"), F.col(person)))}, inclusive=False, crowded=crowded)
+    changes = F.when(F.col("__real") & ~F.col(person).eqNullSafe(F.col("__last")), 1)
+    r = scan.running(r, part, order, {"__run": ("count", changes)}, crowded=crowded)
+    # whether a real row of the run had the plan before
+    of_plan = Window.partitionBy(part, "__run", "__name").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("__seen", F.count_if("__real").over(of_plan) > 0)
     empty = F.lit(True)
     for a in amounts:
         empty = empty & F.col(a).isNull()
-    name = F.upper(F.coalesce(plan, F.lit("")))
-    drop = is_place & (subtotal | (F.col(index) >= late) | ((name != "") & F.array_contains("__seen", name)) | empty | F.col("__last").isNull())
+    drop = is_place & (subtotal | (F.col(index) >= late) | ((F.col("__name") != "") & F.col("__seen")) | empty | F.col("__last").isNull())
     fixed = r.where(~F.coalesce(drop, F.lit(False)))
-    return fixed.withColumn("repaired", F.coalesce(is_place, F.lit(False))).withColumn(person, F.when(is_place, F.col("__last")).otherwise(F.col(person))).drop("__real", "__last", "__run", "__seen")
+    return fixed.withColumn("repaired", F.coalesce(is_place, F.lit(False))).withColumn(person, F.when(is_place, F.col("__last")).otherwise(F.col(person))).drop("__real", "__last", "__run", "__seen", "__name")
 
 
 def move_adjustments(rows: DataFrame, plan: str, current: str, adjustment: str) -> DataFrame:

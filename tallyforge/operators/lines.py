@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+from . import scan
+
 
 def to_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(doc, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
@@ -45,12 +48,44 @@ def section(text: Column, start: str, ends: list[str]) -> Column:
     return F.when(begin > 0, F.when(stop.isNotNull(), F.substring(rest, F.lit(1), stop)).otherwise(rest))
 
 
-def headers_apart(marks: DataFrame, doc: str, at: str, gap: int) -> DataFrame:
-    """Header positions at least ``gap`` + 1 after the last one that was taken.  What is
-    taken depends on what was, so a document's few marks are folded in order."""
-    g = marks.groupBy(doc).agg(F.array_sort(F.collect_list(at)).alias("a"))
+def headers_apart(marks: DataFrame, doc: str, at: str, gap: int, crowded: int = 4096) -> DataFrame:
+    """Header positions at least ``gap`` + 1 after the last one that was taken.
+
+    What is taken depends on what was: the marks of a document are folded in order, if they
+    are at most ``crowded``.  The marks of larger ones are not gathered.  There each mark
+    points at the first one more than ``gap`` behind it; what is taken is the chain of
+    pointers from the first mark, and doubling the pointers marks it in rounds that grow
+    with the logarithm of its length.  Each round is a written table.
+    """
+    marks = marks.select(doc, at).where(F.col(at).isNotNull()).distinct()
+    sized = marks.groupBy(doc).agg(F.count("*").alias("n"))
+    g = marks.join(sized.where(F.col("n") <= crowded).select(doc), doc, "left_semi").groupBy(doc).agg(F.array_sort(F.collect_list(at)).alias("a"))
     fold = F.aggregate("a", F.slice("a", 1, 0), lambda kept, x: F.when((F.size(kept) == 0) | (x - F.element_at(kept, -1) > gap), F.array_append(kept, x)).otherwise(kept))
-    return g.select(doc, F.explode(fold).alias(at))
+    few = g.select(doc, F.explode(fold).alias(at))
+    most = sized.agg(F.max("n")).first()[0] or 0
+    if most <= crowded:
+        return few
+    many = marks.join(sized.where(F.col("n") > crowded).select(doc), doc, "left_semi")
+    return few.unionByName(_chained(many, doc, at, gap, most))
+
+
+def _chained(marks: DataFrame, doc: str, at: str, gap: int, most: int) -> DataFrame:
+    # the first mark behind each position + gap: a scan from the end, marks before positions at a tie
+    both = marks.select(doc, F.col(at).alias("p"), F.lit(1).alias("side"), F.lit(None).cast(marks.schema[at].dataType).alias("from"))
+    both = both.unionByName(marks.select(doc, (F.col(at) + gap + 1).alias("p"), F.lit(0).alias("side"), F.col(at).alias("from")))
+    back = both.withColumn("__p", -F.col("p")).withColumn("__side", -F.col("side"))
+    found = scan.running(back, doc, ["__p", "__side"], {"to": ("last", F.when(F.col("side") == 1, F.col("p")))}, crowded=scan.CROWDED)
+    jumps = shared.written(found.where("side = 0 AND to IS NOT NULL").select(doc, "from", "to"), "jumps")
+    taken = shared.written(marks.groupBy(doc).agg(F.min(at).alias(at)), "taken")
+    for _ in range(max(1, int(most)).bit_length()):
+        # the chain so far and as much again; then jumps of twice the length
+        more = taken.join(jumps.withColumnRenamed("from", at), [doc, at]).select(doc, F.col("to").alias(at))
+        if more.isEmpty():
+            break
+        taken = shared.written(taken.unionByName(more).distinct(), "taken")
+        then = jumps.select(doc, F.col("from").alias("to"), F.col("to").alias("__to"))
+        jumps = shared.written(jumps.join(then, [doc, "to"]).select(doc, "from", F.col("__to").alias("to")), "jumps")
+    return taken
 
 
 def new_starts(rows: DataFrame, part: str, order: list[str], value: str) -> DataFrame:

@@ -47,10 +47,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return _written(df, name)[0]
 
 
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -60,8 +60,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def staged(self, df: DataFrame, name: str) -> DataFrame:
-        out, path = _written(df, name)
+    def staged(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        out, path = _written(df, name, **options)
         self.paths.append(path)
         return out
 

@@ -47,10 +47,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return _written(df, name)[0]
 
 
-def _written(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -58,17 +58,29 @@ class Scratch:
     """Staged tables that go when the block ends; what leaves it must be staged elsewhere."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.tables = spark, [], []
 
-    def staged(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        out, path = _written(df, name, **options)
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _written(df, name)
         self.paths.append(path)
         return out
 
+    def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """Like ``staged``, dealt by ``key``: grouping and joining by it move these rows no more."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}/{table}"
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(parts, key).options(path=path, compression="zstd").saveAsTable(table)
+        self.tables.append(table)
+        self.paths.append(path)
+        return self.spark.table(table)
+
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
+        for t in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for p in self.paths:
             path = jvm.org.apache.hadoop.fs.Path(p)

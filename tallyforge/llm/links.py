@@ -60,30 +60,33 @@ def pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def close_pairs(sets: DataFrame, labels: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of ids of different components among which are all whose ``tokens``, sets
-    of numbers, have a Jaccard similarity of ``threshold`` or more.
-
-    Tokens are put in order, the rarest first.  Of two such sets the smaller has, within its
-    first ``n - 2t/(1+t) n + 1`` tokens, one that is within the first ``m - t m + 1`` of the
-    larger; what follows these two must suffice for the overlap that is needed.  Tokens that
-    most sets share, as those of a template do, come last and join nothing.
+def close_pairs(members: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of ids of one bucket and different components among which are all whose
+    ``tokens``, sets of numbers, have a Jaccard similarity of ``threshold`` or more.
+    ``members`` has (key, id, label), ``sets`` (id, tokens).
+
+    The tokens of a bucket are put in order, the rarest first.  Of two such sets the smaller
+    has, within its first ``n - 2t/(1+t) n + 1`` tokens, one that is within the first
+    ``m - t m + 1`` of the larger; what follows these two must suffice for the overlap that
+    is needed.  Tokens that most sets of the bucket share, as those of a template do, come
+    last and join nothing.
     """
     sets = scratch.staged(sets.select("id", F.size("tokens").alias("size"), "tokens"), "sets")
-    each = sets.select("id", "size", F.explode("tokens").alias("w"))
-    common = scratch.staged(each.groupBy("w").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
-    ordered = each.join(common, "w").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    each = members.join(sets, "id").select("key", "id", "label", "size", F.explode("tokens").alias("w"))
+    each = scratch.staged(each, "tokens")
+    common = scratch.staged(each.groupBy("key", "w").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    ordered = each.join(common, ["key", "w"]).groupBy("key", "id", "label", "size").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
     own = F.col("size") - F.size("ws")  # those of one set only come before all others
     first = lambda share: F.col("size") - F.ceil(F.col("size") * F.lit(share) - F.lit(1e-6)) + 1
-    heads = ordered.select("id", "size", own.alias("own"), first(2 * threshold / (1 + threshold)).alias("short"), F.slice("ws", F.lit(1), F.greatest(F.lit(0), first(threshold) - own).cast("int")).alias("ws"))
-    heads = heads.select("id", "size", "own", "short", F.posexplode("ws").alias("i", "w")).select("id", "size", "short", (F.col("own") + F.col("i")).alias("at"), F.col("w.w").alias("w"))
-    heads = scratch.staged(heads.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "heads")
+    heads = ordered.select("key", "id", "label", "size", own.alias("own"), first(2 * threshold / (1 + threshold)).alias("short"), F.slice("ws", F.lit(1), F.greatest(F.lit(0), first(threshold) - own).cast("int")).alias("ws"))
+    heads = heads.select("key", "id", "label", "size", "own", "short", F.posexplode("ws").alias("i", "w"))
+    heads = scratch.staged(heads.select("key", "id", "label", "size", "short", (F.col("own") + F.col("i")).alias("at"), F.col("w.w").alias("w")), "heads")
     a, b = heads.where("at < short").alias("a"), heads.alias("b")
     enough = F.lit(threshold / (1 + threshold)) * (F.col("a.size") + F.col("b.size")) - F.lit(1e-6)
     fits = (F.col("a.label") != F.col("b.label")) & ((F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.id") != F.col("b.id"))))
     fits &= F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) >= enough
     fits &= F.col("a.size") >= F.col("b.size") * F.lit(threshold) - F.lit(1e-6)
-    return a.join(b, (F.col("a.w") == F.col("b.w")) & fits).select(*pair("a.id", "b.id")).distinct()
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.w") == F.col("b.w")) & fits).select(*pair("a.id", "b.id")).distinct()
 
 
 def resolve(
@@ -100,7 +103,7 @@ def resolve(
        that many were copied from shares most buckets with them.
     2. A bucket whose ids are then in one component is done.  In a small bucket, ids of
        different components meet in pairs, at most ``small / 2`` for each id.
-    3. The ids of all large buckets that are not done meet by their rarest tokens, exactly:
+    3. The ids of a large bucket that is not done meet by the rarest of its tokens, exactly:
        ``close_pairs``.
 
     So comparisons grow with the number of ids, whatever the size of a bucket, unless many
@@ -133,8 +136,9 @@ def resolve(
         found.append(scratch.staged(verify(pairs), "verified"))
         labels = joined(labels, found[-1])
         if some_large:
-            ids = scratch.staged(unsettled(large).select("id").distinct(), "crowded")
-            if not ids.isEmpty():
-                found.append(scratch.staged(verify(close_pairs(tokens(ids), labels, threshold, scratch)), "verified"))
+            crowded = unsettled(large).select("key", "id", "label")
+            if not crowded.isEmpty():
+                sets = tokens(crowded.select("id").distinct())
+                found.append(scratch.staged(verify(close_pairs(crowded, sets, threshold, scratch)), "verified"))
                 labels = joined(labels, found[-1])
         return staged(functools.reduce(DataFrame.unionByName, found).distinct(), "links-found"), labels

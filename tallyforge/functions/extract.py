@@ -48,7 +48,7 @@ def carrier(text: Column) -> Column:
     domain = F.regexp_replace(F.regexp_replace(domain, r"[.,);]+$", ""), r"(?i)^www\.", "")
     parts = F.filter(F.split(F.substring_index(domain, ".", 1), "[_-]+"), lambda t: t != "")
     pretty = F.array_join(F.transform(parts, lambda t: F.when(F.length(t) <= 4, F.upper(t)).otherwise(F.initcap(t))), " ")
-    site = F.when((domain != "") & ~F.lower(domain).contains("atlas"), F.coalesce(F.nullif(pretty, F.lit("")), domain))
+    site = F.when((domain != "") & ~F.lower(domain).rlike("|".join(not_sites) or "^$"), F.coalesce(F.nullif(pretty, F.lit("")), domain))
     return F.coalesce(*[labelled(x) for x in CARRIER_LABELS], best, site)
 
 
@@ -109,11 +109,19 @@ def cell_facts(cells: Column) -> Column:
     return F.struct(*[fact(n) for n in CELL_KEYS])
 
 
+def with_year(start: Column, period: Column) -> Column:
+    """A month and day in digits takes the year that its period ends with, if the period has
+    one; a date of any other form stays."""
+    year = F.regexp_extract(period, r"(\d{4})\s*$", 1)
+    return F.when((year != "") & start.rlike(r"^\d{1,2}[/-]\d{1,2}$"), F.concat(F.replace(start, F.lit("-"), F.lit("/")), F.lit("/"), year)).otherwise(start)
+
+
 def period_start(text: Column) -> Column:
     """The first date of a period: before to, thru or through, before a spaced dash, before any
-    dash where dates have slashes or dots, or the first of two ISO dates; else the text."""
+    dash where dates have slashes or dots, or the first of two ISO dates; else the text.  A
+    start without a year takes that of the end."""
     t = F.trim(text)
-    cut = lambda p: F.trim(F.get(F.split(t, p), F.lit(0)))
+    cut = lambda p: with_year(F.trim(F.get(F.split(t, p), F.lit(0))), t)
     word, spaced, dash = r"(?i)\s+\b(?:to|thru|through)\b\s+", r"\s+[-–—]\s*|[-–—]\s+", "[-–—]"
     iso = F.regexp_extract(t, r"^([^-]*-[^-]*-[^-]*)-", 1)
     return (
@@ -126,7 +134,7 @@ def both_ends(text: Column, parse) -> Column:
     """Both dates of a period as ``m/d/yyyy - m/d/yyyy``, one date as ``m/d/yyyy``; what is no date stays."""
     us = lambda x: F.concat_ws("/", F.month(x).cast("string"), F.dayofmonth(x).cast("string"), F.year(x).cast("string"))
     t = F.trim(text)
-    ends = F.transform(F.split(t, "-"), lambda p: parse(F.trim(p)))
+    ends = F.transform(F.split(t, "-"), lambda p: parse(with_year(F.trim(p), t)))
     ranged = t.contains("-") & ~t.rlike(r"^\d{4}-\d{2}-\d{2}$") & ~t.rlike(r"^\d{1,2}-\d{1,2}-\d{2,4}$") & (F.size(ends) == 2) & F.get(ends, F.lit(0)).isNotNull() & F.get(ends, F.lit(1)).isNotNull()
     one = parse(t)
     return F.when(ranged, F.concat(us(F.get(ends, F.lit(0))), F.lit(" - "), us(F.get(ends, F.lit(1))))).when(one.isNotNull(), us(one)).otherwise(text)

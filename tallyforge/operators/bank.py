@@ -63,16 +63,16 @@ def audit_balance(tx: DataFrame, part: str, order: list[str], opening: Column, t
     return t.withColumn("amount_due", F.when(F.col("fixed"), F.abs(F.round(F.col("running_balance") - F.col("prior"), 2))).otherwise(F.col("amount"))).drop("anchor", "since")
 
 
-def summary_line(description: Column, amount: Column, most: float, words: tuple[str, ...] = DEPOSIT_SUMMARY_WORDS) -> Column:
-    """Rows that sum others: by a word, by an amount over ``most``, or by a count and an amount
-    in the description, the amount being the row's own."""
+def summary_line(description: Column, amount: Column, most: float, words: tuple[str, ...] = DEPOSIT_SUMMARY_WORDS, by_count: bool = False) -> Column:
+    """Rows that sum others: by a word, by an amount over ``most``, or, ``by_count`` (for debits
+    only), by a count and an amount in the description, the amount being the row's own."""
     d = F.upper(F.coalesce(description, F.lit("")))
     named = F.lit(False)
     for w in words:
         named = named | d.contains(w)
     own = F.format_number(F.abs(amount).cast("decimal(18,2)").cast("double"), 2)
     counted = d.rlike(r"\d+\s+[\d,]+\.\d{2}") & (d.contains(own) | d.contains(F.replace(own, F.lit(","), F.lit(""))))
-    return named | F.coalesce((F.abs(amount) > most) | counted, F.lit(False))
+    return named | F.coalesce((F.abs(amount) > most) | (counted if by_count else F.lit(False)), F.lit(False))
 
 
 #: Days between ``MM/DD`` dates that count as at most one day apart, round the turn of the year.

@@ -63,15 +63,22 @@ def measured(text: Column, pages: Column, limits: Limits = CLAIMS) -> Column:
     noisy = F.size(F.filter(lines, lambda x: (_kept(x, "a-zA-Z0-9") * 2 < F.length(x)) | x.rlike(r"[|_]{3,}")))
     odd = F.filter(F.regexp_extract_all(t, F.lit("[a-zA-Z]{9,}"), F.lit(0)), lambda w: _kept(w, "aeiouAEIOU") / F.length(w) < 0.15)
     return F.struct(
-        F.regexp_count(t, F.lit(r"\(cid:")).alias("cids"), F.round(F.when(dense > 0, 1 - alnum / dense).otherwise(F.lit(1.0)), 3).alias("noise"),
+        F.regexp_count(t, F.lit(r"\(cid:")).alias("cids"), F.when(dense > 0, 1 - alnum / dense).otherwise(F.lit(1.0)).alias("noise"),
         F.floor(F.length(t) / F.greatest(pages, F.lit(1))).cast("int").alias("chars_per_page"), word_hits(t, limits.expected).alias("words"),
-        F.round(_kept(t, "aeiouAEIOU") / F.greatest(alpha, F.lit(1)), 3).alias("vowels"), alpha.alias("letters"), F.size(odd).alias("nonsense"),
-        F.round(noisy / F.greatest(F.size(lines), F.lit(1)), 3).alias("noisy_lines"), word_hits(t, limits.turned).alias("turned"),
+        (_kept(t, "aeiouAEIOU") / F.greatest(alpha, F.lit(1))).alias("vowels"), alpha.alias("letters"), F.size(odd).alias("nonsense"),
+        (noisy / F.greatest(F.size(lines), F.lit(1))).alias("noisy_lines"), word_hits(t, limits.turned).alias("turned"),
     )
 
 
+def shown(m: Column) -> Column:
+    """The measures with shares rounded to three places, as reports and the score have them."""
+    for c in ("noise", "vowels", "noisy_lines"):
+        m = m.withField(c, F.round(m[c], 3))
+    return m
+
+
 def reasons(m: Column, limits: Limits = CLAIMS) -> Column:
-    """What speaks against a text, in order; ``m`` are its measures."""
+    """What speaks against a text, in order; ``m`` are its measures, not rounded."""
     return F.array_compact(F.array(
         F.when(m["cids"] > limits.cids, "cids"), F.when(m["noise"] > limits.noise, "noise"), F.when(m["chars_per_page"] < limits.chars_per_page, "sparse"), F.when(m["words"] < limits.words, "words"),
         F.when((m["letters"] > 100) & (m["vowels"] < 0.22), "vowels"), F.when(m["nonsense"] > 3, "nonsense"), F.when(m["noisy_lines"] > limits.noisy_lines, "lines"), F.when(m["turned"] >= 2, "turned"),
@@ -79,7 +86,8 @@ def reasons(m: Column, limits: Limits = CLAIMS) -> Column:
 
 
 def score(text: Column, m: Column, limits: Limits = CLAIMS) -> Column:
-    """From 0 (unusable) to 1."""
+    """From 0 (unusable) to 1; it goes by the measures as they are shown."""
+    m = shown(m)
     penalty = (
         F.when(m["cids"] > limits.cids, 0.4).otherwise(0.0) + F.when(m["noise"] > limits.noise, F.least(F.lit(0.3), m["noise"])).otherwise(0.0) + F.when(m["vowels"] < 0.22, 0.2).otherwise(0.0)
         + F.when(m["noisy_lines"] > limits.noisy_lines, F.least(F.lit(0.2), m["noisy_lines"])).otherwise(0.0) + F.greatest(F.lit(0), limits.words - m["words"]) * 0.05

@@ -85,8 +85,8 @@ def status_map(spark, d):
 IDS = {"12345.0": "12345", "0000123": "123", "000012": "000012", " 77 ": "77", None: None}
 INVOICES = {"000000005372": None, "0000027716": "27716", "260210001403": "260210001403", "00123": "00123", "A-0000123": "A-0000123"}
 FILES = {'a/b:c*"d".pdf': "a_b_c__d_.pdf", "plain.pdf": "plain.pdf"}
-GHOSTS = {"Doe, John": True, "Acme Corp": True, "Ann Stone": False, "Placeholder": True, "policy total row": True, "Incagnoli": False, None: False}
-BUSINESS = {"Acme Inc": True, "Incagnoli": False, "the Insured": True, None: False}
+GHOSTS = {"Doe, John": True, "Acme Corp": True, "Ann Stone": False, "Placeholder": True, "policy total row": True, "Quillfeather": False, None: False}
+BUSINESS = {"Acme Inc": True, "Quillfeather": False, "the Insured": True, None: False}
 
 
 def _flags(table: dict, name: str) -> str:
@@ -202,13 +202,13 @@ def placeholder_repair(spark, d):
 MEMOS = ["Card purchase", "Ledger balance forward", "12 1,000.25", "12 1000.25 paid", "12 9,999.25", "Page 3", "ach debits list", "======================", "Rent"]
 
 
-@query("SELECT event_id, k IN (1, 2, 3, 5, 7) OR big AS deposit, k IN (1, 2, 3, 5, 6, 7) OR big AS debit FROM (SELECT event_id, event_id % 9 AS k, event_id % 50 = 0 AS big FROM events)")
+@query("SELECT event_id, k IN (1, 5, 7) OR big AS deposit, k IN (1, 2, 3, 5, 6, 7) OR big AS debit FROM (SELECT event_id, event_id % 9 AS k, event_id % 50 = 0 AS big FROM events)")
 def summary_rules(spark, d):
     k = F.col("event_id")
     amount = F.when(k % 50 == 0, 9000000).otherwise(F.lit(1000.25)).cast("decimal(18,2)")
-    e = readers.table(spark, d, "events").where("true").select("event_id", pick(MEMOS, k).alias("memo"), amount.alias("amount"))
+    e = readers.table(spark, d, "events").select("event_id", pick(MEMOS, k).alias("memo"), amount.alias("amount"))
     # the large ones have an amount of their own, so that no memo repeats it
-    return e.select("event_id", bank.summary_line(F.col("memo"), F.col("amount"), 8e6).alias("deposit"), bank.summary_line(F.col("memo"), F.col("amount"), 5e6, bank.DEBIT_SUMMARY_WORDS).alias("debit"))
+    return e.select("event_id", bank.summary_line(F.col("memo"), F.col("amount"), 8e6).alias("deposit"), bank.summary_line(F.col("memo"), F.col("amount"), 5e6, bank.DEBIT_SUMMARY_WORDS, by_count=True).alias("debit"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'amount should be 30.00' WHEN event_id % 4 = 1 THEN 'sign reversed' END AS note FROM events""")

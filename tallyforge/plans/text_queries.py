@@ -21,13 +21,13 @@ def _hits(t: str, words) -> str:
 
 LETTERS = "length(regexp_replace({t}, '[^{c}]', '', 'g'))"
 MEASURES = f"""t AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN ' claim policy date paid (cid:1)(cid:2)' WHEN 1 THEN repeat('|||||=====', 40) WHEN 2 THEN ' xzkrtvbnmq brrrrrrrrrrr sttttttttttt wqrtpsdfgh claim total amount paid mialC etaD' ELSE '' END AS t FROM documents),
-m AS (SELECT doc_id, t, length(t) - length(replace(t, '(cid:', 'cid:')) AS cids, round(CASE WHEN length(dense) > 0 THEN 1 - {LETTERS.format(t='t', c='a-zA-Z0-9')} / length(dense) ELSE 1 END, 3) AS noise, length(t) // 2 AS cpp, {_hits('t', ops.CLAIM_WORDS)} AS words,
- round({LETTERS.format(t='t', c='aeiouAEIOU')} / greatest(letters, 1), 3) AS vowels, letters, len(list_filter(regexp_extract_all(t, '[a-zA-Z]{{9,}}'), lambda w: {LETTERS.format(t='w', c='aeiouAEIOU')} / length(w) < 0.15)) AS nonsense,
- round(len(list_filter(ls, lambda x: {LETTERS.format(t='x', c='a-zA-Z0-9')} * 2 < length(x) OR regexp_matches(x, '[|_]{{3,}}'))) / greatest(len(ls), 1), 3) AS nl, {_hits('t', ops.TURNED_CLAIM_WORDS)} AS turned
+m AS (SELECT doc_id, t, length(t) - length(replace(t, '(cid:', 'cid:')) AS cids, CASE WHEN length(dense) > 0 THEN 1 - {LETTERS.format(t='t', c='a-zA-Z0-9')} / length(dense) ELSE 1 END AS noise, length(t) // 2 AS cpp, {_hits('t', ops.CLAIM_WORDS)} AS words,
+ {LETTERS.format(t='t', c='aeiouAEIOU')} / greatest(letters, 1) AS vowels, letters, len(list_filter(regexp_extract_all(t, '[a-zA-Z]{{9,}}'), lambda w: {LETTERS.format(t='w', c='aeiouAEIOU')} / length(w) < 0.15)) AS nonsense,
+ len(list_filter(ls, lambda x: {LETTERS.format(t='x', c='a-zA-Z0-9')} * 2 < length(x) OR regexp_matches(x, '[|_]{{3,}}'))) / greatest(len(ls), 1) AS nl, {_hits('t', ops.TURNED_CLAIM_WORDS)} AS turned
  FROM (SELECT *, regexp_replace(t, '[\\s$.,/\\-:]', '', 'g') AS dense, {LETTERS.format(t='t', c='a-zA-Z')} AS letters, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, chr(9) || chr(11) || chr(12) || chr(13) || ' ')), lambda x: length(x) >= 5) AS ls FROM t)),
 q AS (SELECT *, list_filter([CASE WHEN cids > 30 THEN 'cids' END, CASE WHEN noise > 0.2 THEN 'noise' END, CASE WHEN cpp < 200 THEN 'sparse' END, CASE WHEN words < 4 THEN 'words' END, CASE WHEN letters > 100 AND vowels < 0.22 THEN 'vowels' END,
  CASE WHEN nonsense > 3 THEN 'nonsense' END, CASE WHEN nl > 0.15 THEN 'lines' END, CASE WHEN turned >= 2 THEN 'turned' END], lambda x: x IS NOT NULL) AS reasons,
- CASE WHEN trim(t) = '' THEN 0 ELSE greatest(0, round(1 - (CASE WHEN cids > 30 THEN 0.4 ELSE 0 END + CASE WHEN noise > 0.2 THEN least(0.3, noise) ELSE 0 END + CASE WHEN vowels < 0.22 THEN 0.2 ELSE 0 END + CASE WHEN nl > 0.15 THEN least(0.2, nl) ELSE 0 END + greatest(0, 4 - words) * 0.05), 3)) END::DOUBLE AS score FROM m)"""
+ CASE WHEN trim(t) = '' THEN 0 ELSE greatest(0, round(1 - (CASE WHEN cids > 30 THEN 0.4 ELSE 0 END + CASE WHEN round(noise, 3) > 0.2 THEN least(0.3, round(noise, 3)) ELSE 0 END + CASE WHEN round(vowels, 3) < 0.22 THEN 0.2 ELSE 0 END + CASE WHEN round(nl, 3) > 0.15 THEN least(0.2, round(nl, 3)) ELSE 0 END + greatest(0, 4 - words) * 0.05), 3)) END::DOUBLE AS score FROM m)"""
 
 
 def _spiced(spark, d):
@@ -36,11 +36,12 @@ def _spiced(spark, d):
     return _documents(spark, d).select("doc_id", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
 
 
-@query("SELECT doc_id, cids::INTEGER AS cids, noise, cpp::INTEGER AS chars_per_page, words::INTEGER AS words, vowels, letters::INTEGER AS letters, nonsense::INTEGER AS nonsense, nl AS noisy_lines, turned::INTEGER AS turned, reasons, score, CASE WHEN len(reasons) = 0 AND t <> '' THEN 'ok' WHEN score < 0.4 THEN 'full_vision' ELSE 'dpi_fallback' END AS advice FROM q", MEASURES)
+@query("SELECT doc_id, cids::INTEGER AS cids, round(noise, 3) AS noise, cpp::INTEGER AS chars_per_page, words::INTEGER AS words, round(vowels, 3) AS vowels, letters::INTEGER AS letters, nonsense::INTEGER AS nonsense, round(nl, 3) AS noisy_lines, turned::INTEGER AS turned, reasons, score, CASE WHEN len(reasons) = 0 AND t <> '' THEN 'ok' WHEN score < 0.4 THEN 'full_vision' ELSE 'dpi_fallback' END AS advice FROM q", MEASURES)
 def quality_report(spark, d):
     """All eight measures, the reasons against a text, its score and what to do."""
     m = _spiced(spark, d).select("doc_id", "text", ops.measured(F.col("text"), F.lit(2)).alias("m"))
-    return m.select("doc_id", "m.*", ops.reasons(F.col("m")).alias("reasons"), ops.score(F.col("text"), F.col("m")).alias("score"), ops.recommendation(F.col("text"), F.col("m")).alias("advice"))
+    m = m.withColumn("shown", ops.shown(F.col("m")))
+    return m.select("doc_id", "shown.*", ops.reasons(F.col("m")).alias("reasons"), ops.score(F.col("text"), F.col("m")).alias("score"), ops.recommendation(F.col("text"), F.col("m")).alias("advice"))
 
 
 @query("SELECT user_id, c > 1 AND bare > 0 AND user_id % 4 <> 0 AS missing FROM (SELECT user_id, count(*) AS c, count(*) FILTER (event_id % 5 = 0 AND user_id % 2 = 0) AS bare FROM events GROUP BY 1)")
@@ -58,18 +59,18 @@ def amounts_missing(spark, d):
 PAGES = ["Beginning Balance\n" + "deposit of the month and the account statement with balance and date " * 5, "Amount " + "account statement balance date amount transaction deposit " * 6, "\n".join(f"{i}.5" for i in range(30)), "(cid:7)" * 20 + " words of a page without any marks at all", "a page of plain prose that is long enough. " * 8, "Date 1"]
 
 
-@query("SELECT c_custkey, k IN (1, 2, 3, 5) OR k = 4 AS needs_patch, k IN (2, 3) OR (k = 4 AND false) AS forced FROM (SELECT c_custkey, c_custkey % 6 AS k FROM customer) WHERE k <> 4")
+@query("SELECT c_custkey, k IN (1, 2, 3, 5) AS needs_patch, k IN (2, 3) AS forced FROM (SELECT c_custkey, c_custkey % 6 AS k FROM customer)")
 def page_health(spark, d):
     k = F.col("c_custkey")
-    c = readers.table(spark, d, "customer").where(k % 6 != 4).select("c_custkey", ops.page_health(pick(PAGES, k)).alias("h"))
+    c = readers.table(spark, d, "customer").select("c_custkey", ops.page_health(pick(PAGES, k)).alias("h"))
     return c.select("c_custkey", F.col("h.needs_patch").alias("needs_patch"), F.col("h.force").alias("forced"))
 
 
-@query("""SELECT doc_id, n < 100 OR an < n * 0.3 OR doc_id % 3 = 1 AND n > 0 AND (10 + sl) > n * 0.05 OR sl > n * 0.05 AS unreadable FROM (SELECT doc_id, length(t) AS n, length(regexp_replace(t, '[^a-zA-Z0-9]', '', 'g')) AS an, len(regexp_extract_all(t, '/[0-9]')) AS sl
- FROM (SELECT doc_id, trim(coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN repeat('/114 ', 40) ELSE '' END, ' ') AS t FROM documents)) WHERE doc_id % 3 <> 1""")
+@query("""SELECT doc_id, n < 100 OR an < n * 0.3 OR sl > n * 0.05 OR cid * 7 > n * 0.1 AS unreadable FROM (SELECT doc_id, length(t) AS n, length(regexp_replace(t, '[^a-zA-Z0-9]', '', 'g')) AS an, len(regexp_extract_all(t, '/[0-9]')) AS sl, len(regexp_extract_all(t, '[(]cid:')) AS cid
+ FROM (SELECT doc_id, trim(coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN repeat('/114 ', 40) WHEN 1 THEN repeat('(cid:9)', 10) ELSE '' END, ' ') AS t FROM documents))""")
 def unreadable_pages(spark, d):
-    more = F.when(F.col("doc_id") % 3 == 0, "/114 " * 40).otherwise("")
-    return _documents(spark, d).where("doc_id % 3 <> 1").select("doc_id", ops.unreadable_page(F.concat(F.coalesce("text", F.lit("")), more)).alias("unreadable"))
+    more = F.when(F.col("doc_id") % 3 == 0, "/114 " * 40).when(F.col("doc_id") % 3 == 1, "(cid:9)" * 10).otherwise("")
+    return _documents(spark, d).select("doc_id", ops.unreadable_page(F.concat(F.coalesce("text", F.lit("")), more)).alias("unreadable"))
 
 
 @query("SELECT doc_id, text || ' end' AS text FROM documents")
@@ -130,7 +131,7 @@ def label_rules(spark, d):
 
 CARRIERS = {
     "Report\nCarrier: Stone Trust Commercial\n": "Stone Trust Commercial", "State Compensation Insurance Fund\nand ABC Insurance\n": "State Compensation Insurance Fund", "Claimant Jones Indemnity\nwww.fcbi-fund.com/x": "FCBI FUND",
-    "see https://www.berkley.com,\n": "Berkley", "nothing here": None, "www.atlas.com": None, "this Acme Casualty Company of old": "this Acme Casualty Company",
+    "see https://www.berkley.com,\n": "Berkley", "nothing here": None, "www.mirrorsite.com": None, "this Acme Casualty Company of old": "this Acme Casualty Company",
 }
 
 
@@ -154,9 +155,9 @@ def form_answers(spark, d):
 
 PERIODS = {
     "02/01/26-02/28/26": "02/01/26", "March 1 to March 31": "March 1", "1/1/2026 THRU 1/31/2026": "1/1/2026", "2026-01-01-2026-01-31": "2026-01-01", "2026-01-01": "2026-01-01", "Jan 1 - Jan 31": "Jan 1", "n/a": "n/a",
-    "01.02.2026–28.02.2026": "01.02.2026", "2026-01-01 – 2026-01-31": "2026-01-01", None: None,
+    "01.02.2026–28.02.2026": "01.02.2026", "2026-01-01 – 2026-01-31": "2026-01-01", "12/01 - 12/31/2025": "12/01/2025", "04/01-04/30/2026": "04/01/2026", "2-1 to 2-28-2026": "2/1/2026", "Jan 1 to Jan 31, 2025": "Jan 1", None: None,
 }
-BOTH = {"1/2/2026 - 1/31/2026": "1/2/2026 - 1/31/2026", "2026-01-05": "1/5/2026", "Jan 5, 2026": "1/5/2026", "next week": "next week", "01/05/2026-02/07/2026": "1/5/2026 - 2/7/2026"}
+BOTH = {"1/2/2026 - 1/31/2026": "1/2/2026 - 1/31/2026", "2026-01-05": "1/5/2026", "Jan 5, 2026": "1/5/2026", "next week": "next week", "01/05/2026-02/07/2026": "1/5/2026 - 2/7/2026", "12/01 - 12/31/2025": "12/1/2025 - 12/31/2025"}
 STAMPS = {"2026-01-05 10:30:00": 10, "2026-01-05T10:30:00Z": 10, "2026-01-05T10:30:00+02:00": 8, "soon": None, "2026-01-05 10:30:00.5": 10}
 
 

@@ -72,21 +72,23 @@ def close_pairs(members: DataFrame, sets: DataFrame, threshold: float, scratch:
     last and join nothing.
     """
     sets = scratch.staged(sets.select("id", F.size("tokens").alias("size"), "tokens"), "sets")
-    each = members.join(sets, "id").select("key", "id", "label", "size", F.explode("tokens").alias("w"))
-    each = scratch.staged(each, "tokens")
-    common = scratch.staged(each.groupBy("key", "w").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
-    ordered = each.join(common, ["key", "w"]).groupBy("key", "id", "label", "size").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    members = scratch.staged(members.withColumn("m", F.monotonically_increasing_id()), "places")
+    # a token goes by a hash of it and its bucket, so rows are two numbers
+    each = members.join(sets, "id").select("m", "key", F.explode("tokens").alias("w")).select("m", F.xxhash64("key", "w").alias("w"))
+    common = scratch.staged(each.groupBy("w").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "frequencies")
+    ordered = each.join(common, "w").groupBy("m").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    ordered = ordered.join(members.join(sets.select("id", "size"), "id"), "m")
     own = F.col("size") - F.size("ws")  # those of one set only come before all others
     first = lambda share: F.col("size") - F.ceil(F.col("size") * F.lit(share) - F.lit(1e-6)) + 1
-    heads = ordered.select("key", "id", "label", "size", own.alias("own"), first(2 * threshold / (1 + threshold)).alias("short"), F.slice("ws", F.lit(1), F.greatest(F.lit(0), first(threshold) - own).cast("int")).alias("ws"))
-    heads = heads.select("key", "id", "label", "size", "own", "short", F.posexplode("ws").alias("i", "w"))
-    heads = scratch.staged(heads.select("key", "id", "label", "size", "short", (F.col("own") + F.col("i")).alias("at"), F.col("w.w").alias("w")), "heads")
+    heads = ordered.select("id", "label", "size", own.alias("own"), first(2 * threshold / (1 + threshold)).alias("short"), F.slice("ws", F.lit(1), F.greatest(F.lit(0), first(threshold) - own).cast("int")).alias("ws"))
+    heads = heads.select("id", "label", "size", "own", "short", F.posexplode("ws").alias("i", "w"))
+    heads = scratch.staged(heads.select("id", "label", "size", "short", (F.col("own") + F.col("i")).alias("at"), F.col("w.w").alias("w")), "heads")
     a, b = heads.where("at < short").alias("a"), heads.alias("b")
     enough = F.lit(threshold / (1 + threshold)) * (F.col("a.size") + F.col("b.size")) - F.lit(1e-6)
     fits = (F.col("a.label") != F.col("b.label")) & ((F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.id") != F.col("b.id"))))
     fits &= F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) >= enough
     fits &= F.col("a.size") >= F.col("b.size") * F.lit(threshold) - F.lit(1e-6)
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.w") == F.col("b.w")) & fits).select(*pair("a.id", "b.id")).distinct()
+    return a.join(b, (F.col("a.w") == F.col("b.w")) & fits).select(*pair("a.id", "b.id")).distinct()
 
 
 def resolve(

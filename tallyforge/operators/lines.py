@@ -147,6 +147,21 @@ def absent(rows: DataFrame, known: DataFrame, keys: dict[str, Column]) -> DataFr
     return r.join(k, cond, "left_anti").select(*rows.columns)
 
 
+def append_absent(rows: DataFrame, more: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``rows`` and those of ``more`` whose keys they lack, of rows of equal keys the first;
+    keys of rows without the first key are not looked at."""
+    known = rows.where(F.col(keys[0]).isNotNull())
+    new = absent(more, known, {k: F.col(k) for k in keys})
+    w = Window.partitionBy(*keys).orderBy(order)
+    return rows.unionByName(new.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n"), allowMissingColumns=True)
+
+
+def fallback(rows: DataFrame, second: DataFrame, first: str, last: str) -> DataFrame:
+    """``rows`` and those of a second reading whose ``FIRST_LAST`` name no row with a last name has."""
+    name = F.concat_ws("_", F.upper(F.coalesce(first, F.lit("NONE"))), F.upper(F.coalesce(last, F.lit("NONE"))))
+    return rows.unionByName(absent(second, rows.where(F.coalesce(last, F.lit("")) != ""), {"name": name}), allowMissingColumns=True)
+
+
 def cells(line: Column) -> Column:
     """The trimmed cells between a line's bars; a bar at either end bounds no cell."""
     return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from ..sources import shared
+
 
 def union_all(tables: list[DataFrame]) -> DataFrame:
     """Rows of all tables by column name; a column that a table lacks is null."""
@@ -89,3 +91,35 @@ def repeats(df: DataFrame, keys: list[str]) -> DataFrame:
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     g = counted(df, keys, "n")
     return g.agg(F.count_if(known).alias("pairs"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).cast("long").alias("repeated"))
+
+
+def json_diff(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, path, kind, old, new): how the JSON object ``text`` of each key differs, whatever
+    its form.  Objects are gone into; what is there on one side only is added or removed
+    as a whole, at its topmost path; lists and all else are compared as values, numbers by
+    what they amount to.  Keys that either table lacks, and texts that are no objects, count
+    as empty objects.
+
+    Each level is one join by (key, path), then a written table; there are as many as the
+    objects are deep.
+    """
+    spark = old.sparkSession
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    shown = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+    number = lambda v: F.when(F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "double"))
+
+    def fields(pairs: DataFrame, side: str) -> DataFrame:
+        e = pairs.where(is_object(F.col(side))).lateralJoin(spark.tvf.variant_explode(F.col(side).outer()))
+        return e.select("k", F.concat_ws(".", F.nullif("path", F.lit("")), "key").alias("path"), F.col("value").alias(side))
+
+    parse = lambda t, side: t.select(F.col(key).alias("k"), F.lit("").alias("path"), F.try_parse_json(text).alias(side))
+    pairs, out = parse(old, "a").join(parse(new, "b"), ["k", "path"], "full"), []
+    while True:
+        level = shared.written(fields(pairs, "a").withColumn("ina", F.lit(True)).join(fields(pairs, "b").withColumn("inb", F.lit(True)), ["k", "path"], "full"), "json-level")
+        deeper = is_object(F.col("a")) & is_object(F.col("b"))
+        same = F.coalesce(number(F.col("a")) == number(F.col("b")), F.lit(False)) | F.to_json("a").eqNullSafe(F.to_json("b"))
+        kind = F.when(F.col("ina").isNull(), "added").when(F.col("inb").isNull(), "removed").when(~deeper & ~same, "changed")
+        out.append(level.select(F.col("k").alias(key), "path", kind.alias("kind"), shown(F.col("a")).alias("old"), shown(F.col("b")).alias("new")).where("kind IS NOT NULL"))
+        pairs = level.where(deeper).select("k", "path", "a", "b")
+        if pairs.isEmpty():
+            return reduce(lambda x, y: x.unionByName(y), out)

@@ -402,10 +402,17 @@ def bank_sums(spark, d):
     return bank.sums(t.withColumn("value", bank.signed(F.col("amount"), F.col("description"))), "user_id")
 
 
-@query()
+GAP = "CASE WHEN abs(u.d - x[1].d) > 300 THEN abs(abs(u.d - x[1].d) - 365) ELSE abs(u.d - x[1].d) END <= 1"
+FOLDED = b.TRANSACTIONS + f""", n AS (SELECT event_id, round(amount, 0) AS key, upper(description) AS t, dayofyear(strptime('2000/' || date, '%Y/%m/%d')) AS d FROM tx),
+l AS (SELECT list([{{'id': event_id, 'd': d, 't': t}}] ORDER BY event_id) AS rows FROM n GROUP BY key),
+k AS (SELECT unnest(list_reduce(rows, lambda a, x: CASE WHEN len(list_filter(a, lambda u: {GAP} AND contains(u.t, x[1].t))) > 0 THEN a ELSE list_append(list_filter(a, lambda u: NOT ({GAP} AND contains(x[1].t, u.t))), x[1]) END)) AS r FROM l)"""
+
+
+@query("SELECT event_id, date, description FROM tx JOIN k ON event_id = r.id", FOLDED)
 def fuzzy_tx_dedupe(spark, d):
+    """Transactions of equal amounts, to the unit, over all users."""
     t = b.transactions(spark, d).withColumn("amount", F.round("amount", 0).cast("decimal(18,0)"))
-    return bank.drop_duplicates(t, ["user_id", "amount"], "event_id").select("event_id", "date", "description")
+    return bank.drop_duplicates(t, ["amount"], "event_id").select("event_id", "date", "description")
 
 
 @query("SELECT event_id, description FROM tx WHERE NOT regexp_matches(upper(description), 'SUMMARY|TOTAL|VIEW') AND abs(amount) <= 150", b.TRANSACTIONS)
@@ -566,7 +573,18 @@ def alnum_ratio(spark, d):
     return readers.table(spark, d, "documents").select("doc_id", docs_ops.alnum_ratio(F.col("text")).alias("ratio"))
 
 
-@query()
+COUNTED = "length(regexp_replace({t}, '[^{c}]', '', 'g'))"
+NOISE = f"""t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+c AS (SELECT doc_id, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) AS i FROM t),
+g AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS run FROM c WHERE ch <> chr(10)) GROUP BY doc_id, ch, run HAVING count(*) >= 10) GROUP BY doc_id),
+m AS (SELECT doc_id, t, length(t) AS n, len(regexp_extract_all(t, '[(]cid:')) AS cid, len(regexp_extract_all(t, '[/\\\\|@#$%&<>={{}}\\[\\]^~`]')) AS symbols, len(regexp_extract_all(t, '[^\\x20-\\x7E]')) AS odd, len(regexp_extract_all(t, '[a-zA-Z]{{3,}}')) AS words,
+ coalesce(g.n, 0) AS runs, length(regexp_replace(t, '[\\s$.,/\\-:]', '', 'g')) AS dense, {COUNTED.format(t='t', c='a-zA-Z0-9')} AS alnum, {COUNTED.format(t='t', c='a-zA-Z')} AS alpha, {COUNTED.format(t='t', c='aeiouAEIOU')} AS vowels,
+ list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, chr(9) || chr(13) || ' ')), lambda x: length(x) >= 5) AS ls FROM t LEFT JOIN g USING (doc_id)),
+q AS (SELECT *, len(list_filter(ls, lambda x: {COUNTED.format(t='x', c='a-zA-Z0-9')} * 2 < length(x) OR regexp_matches(x, '[|_]{{3,}}'))) / greatest(len(ls), 1) AS nl FROM m)"""
+
+
+@query("""SELECT doc_id, n >= 50 AND (cid / greatest(n / 8, 1) > 0.25 OR (symbols + odd) / greatest(n, 1) > 0.15 OR symbols / greatest(n, 1) > 0.10 OR ((symbols + odd) / greatest(n, 1) > 0.08 AND words / greatest(n / 5, 1) < 0.20) OR runs > 3) AS is_noise,
+ list_filter([CASE WHEN cid > 5 THEN 'cid' END, CASE WHEN round(CASE WHEN dense > 0 THEN 1 - alnum / dense ELSE 1 END, 4) > 0.3 THEN 'noise' END, CASE WHEN alpha > 100 AND round(vowels / greatest(alpha, 1), 4) < 0.22 THEN 'vowels' END, CASE WHEN round(nl, 4) > 0.15 THEN 'lines' END], lambda x: x IS NOT NULL) AS reasons FROM q""", NOISE)
 def text_noise(spark, d):
     q = docs_ops.quality(F.col("text"))
     return readers.table(spark, d, "documents").select("doc_id", docs_ops.is_noise(F.col("text")).alias("is_noise"), docs_ops.quality_reasons(q).alias("reasons"))

@@ -42,7 +42,7 @@ def section_slice(spark, d):
     return readers.table(spark, d, "documents").select("doc_id", lines.section(F.col("text"), "the", [r"\."]).alias("part"))
 
 
-@query()
+@query("SELECT doc_id, CAST(pos AS INTEGER) AS pos FROM l WHERE pos % 6 = 0", LINES)
 def header_gaps(spark, d):
     return lines.headers_apart(_lines(spark, d), "doc_id", "pos", 5)
 

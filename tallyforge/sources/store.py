@@ -46,6 +46,11 @@ def move(spark: SparkSession, path: str, to: str) -> None:
     fs.rename(p, _at(spark, to)[0])
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p, fs = _at(spark, path)
+    return bool(fs.getFileStatus(p).isDirectory())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p, fs = _at(spark, path)
     return bool(fs.exists(p))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def new_rows(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
+def new_rows(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_trigger: int | None = None, pattern: str = "*") -> DataFrame:
     """Files that have not been read yet; the checkpoint of the query is the ledger."""
-    r = spark.readStream.format(fmt).schema(schema)
+    r = spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", pattern)
     return (r.option("maxFilesPerTrigger", per_trigger) if per_trigger else r).load(path)
 
 

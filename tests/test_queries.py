@@ -70,13 +70,13 @@ def test_duplicate_transactions_against_brute_force(spark, duck):
         gap = abs((day(a) - day(b)).days)
         return (abs(gap - 365) if gap > 300 else gap) <= 1
 
-    rows = duck.sql("""SELECT user_id, CAST(round(CAST(value AS DECIMAL(18,2)), 0) AS INTEGER), event_id, strftime(ts, '%m/%d'), CASE event_type WHEN 'purchase' THEN 'Card purchase' WHEN 'error' THEN 'Check payment' ELSE 'Deposit ' || event_type END FROM events ORDER BY event_id""").fetchall()
+    rows = duck.sql("""SELECT CAST(round(CAST(value AS DECIMAL(18,2)), 0) AS INTEGER), event_id, strftime(ts, '%m/%d'), CASE event_type WHEN 'purchase' THEN 'Card purchase' WHEN 'error' THEN 'Check payment' ELSE 'Deposit ' || event_type END FROM events ORDER BY event_id""").fetchall()
     kept = defaultdict(list)
-    for user, amount, event, date, text in rows:
-        have, text = kept[user, amount], re.sub(r"\s+", " ", text.upper()).strip()
+    for amount, event, date, text in rows:
+        have, text = kept[amount], re.sub(r"\s+", " ", text.upper()).strip()
         if any(near(date, d) and text in t for _, d, t in have):
             continue
-        kept[user, amount] = [(e, d, t) for e, d, t in have if not (near(date, d) and t in text)] + [(event, date, text)]
+        kept[amount] = [(e, d, t) for e, d, t in have if not (near(date, d) and t in text)] + [(event, date, text)]
     assert sorted(r["event_id"] for r in catalog.QUERIES["fuzzy_tx_dedupe"](spark, FOLDER).collect()) == sorted(e for v in kept.values() for e, _, _ in v)
 
 

@@ -155,21 +155,24 @@ def loaded(tokenizer_path: str) -> tuple[ByteBPE, WordTable]:
 TYPE = "n_tokens long, ids binary"
 
 
-def encode_column(docs: DataFrame, tokenizer_path: str, text_col: str = "text", rows: int = 256) -> DataFrame:
-    """``docs`` with n_tokens and ids (little-endian unsigned 32-bit)."""
+def encode_column(docs: DataFrame, tokenizer_path: str, text_col: str = "text", rows: int = 256, keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with n_tokens and ids (little-endian unsigned 32-bit)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, table = loaded(tokenizer_path)
         for b in batches:
             for k in range(0, len(b), rows):
                 some = b.slice(k, rows)
-                ids, sizes = table.ids([bpe.chunks(t or "") for t in some.column("text").to_pylist()])
+                column = some.column("text") if apart else some.column("row").field(text_col)
+                ids, sizes = table.ids([bpe.chunks(t or "") for t in column.to_pylist()])
                 raw, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes)
                 parts = [raw[4 * lo : 4 * hi] for lo, hi in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())], names=["row", "n_tokens", "ids"])
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "ids")]
-    packed = docs.select(F.struct(*(kept or [F.lit(None).cast("string").alias("none")])).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "ids")]
+    apart = text_col not in names  # a text that is kept goes to the workers once
+    kept = [F.col(f"`{c}`") for c in names] or [F.lit(None).cast("string").alias("none")]
+    packed = docs.select(F.struct(*kept).alias("row"), *([F.col(f"`{text_col}`").alias("text")] if apart else []))
     return packed.mapInArrow(encode, f"row {packed.schema['row'].dataType.simpleString()}, {TYPE}").select("row.*", "n_tokens", "ids")
 
 
@@ -193,7 +196,7 @@ def decoded_digest(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    return decoded_digest(encode_column(docs.select("doc_id", "text"), tokenizer_path), tokenizer_path)
+    return decoded_digest(encode_column(docs, tokenizer_path, keep=["doc_id"]), tokenizer_path)
 
 
 def decode_column(encoded: DataFrame, tokenizer_path: str) -> DataFrame:

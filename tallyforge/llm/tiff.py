@@ -33,9 +33,9 @@ CLEAR, END, FIRST = 256, 257, 258
 # --- end of fixed values ---
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -71,12 +71,14 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int) -> bytes:
     base = [bytes((i,)) for i in range(256)] + [b"", b""]
     table, out, last = list(base), [], b""
-    bits = width = held = 0
+    bits = held = made = 0
     width = 9
     for byte in data:
+        if made >= most:
+            break
         bits, held = (bits << 8) | byte, held + 8
         if held < width:
             continue
@@ -95,6 +97,7 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise ValueError("LZW code out of range")
         out.append(entry)
+        made += len(entry)
         if last:
             table.append(last + entry[:1])
         last = entry
@@ -143,7 +146,16 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-DECODERS = {PLAIN: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, DEFLATE_OLD: zlib.decompress, PACKBITS: packbits_decode}
+def inflate(data: bytes, most: int) -> bytes:
+    d = zlib.decompressobj()
+    out = d.decompress(data, max(1, most))
+    if len(out) < most and not d.eof:
+        raise ValueError("deflate data end early")
+    return out
+
+
+#: From packed bytes and the bytes that are needed to these; no more are made.
+DECODERS = {PLAIN: lambda data, most: data[:most], LZW: lzw_decode, DEFLATE: inflate, DEFLATE_OLD: inflate, PACKBITS: packbits_decode}
 ENCODERS = {PLAIN: bytes, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: packbits_encode}
 
 
@@ -198,6 +210,8 @@ def read_tiff(data: bytes) -> Iterator[dict]:
         yield {"page": page} | _page(data, tags, order)
 
 
+#: Pages go on in batches of about so many bytes of pixels.
+BATCH_BYTES = 4 << 20
 #: No compression here makes more than so many bytes of one.
 EXPANSION = 4096
 
@@ -225,8 +239,9 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> dict:
         plane, cell = divmod(k, across * down)
         y, x = (cell // across) * h, (cell % across) * w
         rows = h if tiled else min(h, height - y)
-        raw = DECODERS[packing](data[off : off + size])
-        block = _small_samples(raw, rows, w, inside, bits) if small else _undo_predictor(raw[: rows * w * inside * dtype.itemsize], rows, w, inside, dtype, predictor)
+        need = rows * -(-w * inside * bits // 8)
+        raw = DECODERS[packing](data[off : off + size], need)[:need]
+        block = _small_samples(raw, rows, w, inside, bits) if small else _undo_predictor(raw, rows, w, inside, dtype, predictor)
         image[y : y + rows, x : x + w, plane * inside : (plane + 1) * inside] = block[: height - y, : width - x]
     return {"width": width, "height": height, "samples": samples, "bits": bits, "compression": packing, "predictor": predictor, "image": image}
 
@@ -299,14 +314,23 @@ def tiff_pages(df: DataFrame, content_col: str = "content") -> DataFrame:
                 yield failed | {"error": str(e)[:200] or type(e).__name__}
             page += 1
 
+    def packed(b: pa.RecordBatch, at: list[int], pages: list[dict]) -> pa.RecordBatch:
+        cols = [pa.array([p[c] for p in pages], pa.binary() if c == "pixels" else pa.string() if c == "error" else pa.int32()) for c in PAGE_COLUMNS]
+        return pa.RecordBatch.from_arrays([b.column("row").take(pa.array(at, pa.int64())), *cols], names=["row", *PAGE_COLUMNS])
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind = b.schema.field("row").type
+            at, pages, held = [], [], 0
             for i, data in enumerate(b.column("content")):
-                raw = b.column("row").slice(i, 1)
                 for got in each(data.as_py()) if data.is_valid else ():
-                    cols = [pa.array([got[c]], pa.binary() if c == "pixels" else pa.string() if c == "error" else pa.int32()) for c in PAGE_COLUMNS]
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays([raw]).cast(kind), *cols], names=["row", *PAGE_COLUMNS])
+                    at.append(i)
+                    pages.append(got)
+                    held += len(got["pixels"] or b"")
+                    if held > BATCH_BYTES or len(pages) == 1000:
+                        yield packed(b, at, pages)
+                        at, pages, held = [], [], 0
+            if pages:
+                yield packed(b, at, pages)
 
     kind = slim.schema["row"].dataType.simpleString()
     return slim.mapInArrow(decode, f"row {kind}, {PAGE_TYPE}")
@@ -336,29 +360,56 @@ def text_to_tiff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(store, "doc_id long, n_bytes long, media binary")
 
 
-def describe(pages: list[dict]) -> str:
-    """Pages, rows, mean sample and an 8-bin histogram."""
-    counts = sum((np.bincount(p["image"].ravel(), minlength=256) for p in pages), np.zeros(256, np.int64))
-    mean = float(counts @ np.arange(256)) / max(1, counts.sum())
-    return f"pages={len(pages)};rows={sum(p['height'] for p in pages)};mean={mean:.4f};hist={','.join(map(str, counts.reshape(8, 32).sum(1)))}"
+class Features:
+    """What a document's pages add up to: the hash of all pixels, the last 64 of them, pages,
+    rows, mean sample and an 8-bin histogram."""
+
+    def __init__(self) -> None:
+        self.hash, self.tail, self.size = hashlib.sha256(), b"", 0
+        self.pages, self.rows, self.counts = 0, 0, np.zeros(256, np.int64)
+
+    def add(self, pixels: bytes, height: int) -> None:
+        self.hash.update(pixels)
+        self.tail, self.size = (self.tail + pixels[-64:])[-64:], self.size + len(pixels)
+        self.pages, self.rows = self.pages + 1, self.rows + height
+        self.counts += np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)
+
+    def text(self) -> str:
+        mean = float(self.counts @ np.arange(256)) / max(1, self.counts.sum())
+        return f"pages={self.pages};rows={self.rows};mean={mean:.4f};hist={','.join(map(str, self.counts.reshape(8, 32).sum(1)))}"
 
 
 DIGEST_TYPE = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns, all taken from the decoded pages of the stored files."""
+    """The contract's columns, all taken from the page rows of the stored files.
+
+    The pages of a file follow one another where they were read, so they are added up in
+    passing: a task holds the features of one document."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, Features()
+
+        def done() -> tuple:
+            return now[1], now[2], total.size, total.hash.hexdigest(), zlib.crc32(total.tail), now[3], now[4], total.text()
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for n, media in zip(b.column("n_bytes").to_pylist(), b.column("media"), strict=True):
-                data = media.as_py()
-                pages = list(read_tiff(data))
-                payload = b"".join(p["image"].tobytes() for p in pages)
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), describe(pages)))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, cols, kinds)], names=[c.split()[0] for c in DIGEST_TYPE.split(", ")])
-
-    return text_to_tiff(docs).mapInArrow(read, DIGEST_TYPE)
+            rows, out = b.column("row").to_pylist(), []
+            for row, pixels, height, error in zip(rows, b.column("pixels").to_pylist(), b.column("height").to_pylist(), b.column("error").to_pylist(), strict=True):
+                if error is not None:
+                    raise ValueError(f"a stored page cannot be read: {error}")
+                key = (row["file"], row["doc_id"], row["n_bytes"], row["media_bytes"], row["media_sha256"])
+                if now is not None and key != now:
+                    out.append(done())
+                    total = Features()
+                now = key
+                total.add(pixels, height)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), KINDS, strict=True)], names=[c.split()[0] for c in DIGEST_TYPE.split(", ")])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(done(), KINDS, strict=True)], names=[c.split()[0] for c in DIGEST_TYPE.split(", ")])
+
+    files = text_to_tiff(docs).select(F.monotonically_increasing_id().alias("file"), "doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    return tiff_pages(files, "media").mapInArrow(added, DIGEST_TYPE)

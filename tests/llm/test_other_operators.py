@@ -10,6 +10,7 @@ import pytest
 from brute import repeated_bytes, shingle_set, similar, union
 from pyspark.sql import functions as F
 
+from tallyforge.llm.common import Scratch
 from tallyforge.llm import bpe, dart_minhash, kneser_ney, links, queries, simple8b, suffix_repeats, tiff
 
 WORD_FILE, BYTE_FILE = (queries.tokenizer_file(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -40,6 +41,28 @@ def test_model_is_a_distribution_and_rejects_noise(spark):
     assert kneser_ney.classify(df, trusted.limit(0)).where("kept").count() == 90
 
 
+@pytest.mark.parametrize("letters", ["абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x4E60)))])
+def test_other_scripts_are_judged(spark, letters):
+    rng = random.Random(3)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(80)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    noise = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    rows = [(i, prose(60), "xx") for i in range(150)] + [(1000 + i, noise(60), "xx") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["kept"] for r in kneser_ney.classify(df, df.where("doc_id < 100").select("doc_id")).collect()}
+    assert sum(got[i] for i in range(150)) >= 148 and sum(got[1000 + i] for i in range(50)) <= 2
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(-(10**7), 10**12)) for _ in range(700)]
+    with Scratch(spark) as scratch:
+        got = {r["g"]: r["value"] for r in kneser_ney.quantiles(spark.createDataFrame(rows, "g string, k long"), "g", "k", 0.9, scratch).collect()}
+    for g in ("a", "b", None):
+        ks = sorted(k for x, k in rows if x == g)
+        assert got[g] == ks[-(-9 * len(ks) // 10) - 1]
+
+
 def test_perplexities_against_brute_force(spark):
     from collections import defaultdict
     from math import exp, log
@@ -72,7 +95,7 @@ def test_perplexities_against_brute_force(spark):
         return own + mass[g[:-1]] / total[g[:-1]] * p(g[1:], level + 1)
 
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.classify(df, df.where("doc_id < 25").select("doc_id")).collect()}
+    got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.classify(df, df.where("doc_id < 25").select("doc_id"), held_out=0).collect()}
     for i, t in enumerate(texts):
         g = grams(classes(t))
         assert abs(got[i] / exp(-sum(log(p(x)) for x in g) / len(g)) - 1) < 1e-3

@@ -20,14 +20,16 @@ A suffix array of a corpus does not fit a task, so suffixes are first brought to
 Repeats are found on the input, overlaps included, and never cross documents.  Null text
 is empty.  Rows are told apart by 128 bits of hash of id and text: equal rows are repeats
 of one another.  Which contexts are equal as a whole is told by 128 bits too, 64 of the
-anchor and 64 of the context.  Spans are given, not the groups that repeats form.  An empty table gives an empty result.  ``repeats`` and ``without_repeats`` have
-the columns they name; others are ignored.
+anchor and 64 of the context.  ``repeats`` gives spans, ``repeat_groups`` the maximal repeats
+with all their occurrences.  An empty table gives an empty result.  The functions have the
+columns they name; others are ignored.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -191,6 +193,25 @@ def repeats_in(contexts: list[bytes], offsets: list[int], groups: list[int], len
     return out
 
 
+def groups_in(contexts: list[bytes], offsets: list[int], groups: list[int], length: int) -> Iterator[tuple[int, int, int, str]]:
+    """(context, from, to, hash of the bytes) of every occurrence of every maximal repeat."""
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    sizes = np.array([len(c) for c in contexts])
+    begin = np.cumsum(sizes) - sizes
+    n = np.array(offsets)
+    owner = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    starts = begin[owner] + within
+    left = np.where(within > 0, data[starts - 1].astype(np.int64), -1 - owner)
+    order, found = maximal_repeats(data, starts, (begin + sizes)[owner], np.array(groups)[owner], length, left)
+    for size, first, last in found:
+        at = order[first : last + 1]
+        lo = int(starts[at[0]])
+        known = hashlib.md5(data[lo : lo + size].tobytes()).hexdigest()
+        for s in at.tolist():
+            yield int(owner[s]), int(within[s]), int(within[s]) + size, known
+
+
 ANCHOR_TYPE = "row binary, p int, lo int, hi int, fp long, kind long"
 
 
@@ -255,17 +276,58 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
     return slim.repartition("fp").sortWithinPartitions("fp").mapInArrow(run, "row binary, lo int, hi int")
 
 
+def _grouped(contexts: DataFrame, length: int) -> DataFrame:
+    """(fp, row, p, from, to, group): occurrences of maximal repeats among the contexts of each
+    group, relative to the anchor; a context that others equal (``n`` > 1) is one as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def told(some: list[dict]) -> Iterator[pa.RecordBatch]:
+            index: dict[int, int] = {}
+            places = [index.setdefault(r["fp"], len(index)) for r in some]
+            whole = ((i, 0, len(r["context"]), hashlib.md5(r["context"]).hexdigest()) for i, r in enumerate(some) if r["n"] > 1)
+            every = itertools.chain(whole, groups_in([r["context"] for r in some], [r["hi"] - r["lo"] + 1 for r in some], places, length))
+            while part := list(itertools.islice(every, 20000)):
+                rows = [(some[i]["fp"], some[i]["row"], some[i]["p"], some[i]["lo"] - some[i]["p"] + lo, some[i]["lo"] - some[i]["p"] + hi, g) for i, lo, hi, g in part]
+                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["fp", "row", "p", "from", "to", "group"])
+
+        for b in batches:
+            for k in range(0, len(b), 2000):
+                held += b.slice(k, 2000).to_pylist()
+                last = held[-1]["fp"]
+                whole = [r for r in held if r["fp"] != last]
+                if len(whole) >= 2000:
+                    yield from told(whole)
+                    held = [r for r in held if r["fp"] == last]
+        if held:
+            yield from told(held)
+
+    slim = contexts.select("fp", "row", "p", "lo", "hi", "context", "n")
+    return slim.repartition("fp").sortWithinPartitions("fp").mapInArrow(run, "fp long, row binary, p int, `from` int, `to` int, `group` string")
+
+
+def _of_kind(found: DataFrame, kinds: DataFrame, members: DataFrame) -> DataFrame:
+    """As ``_grouped``: what was found at one anchor of a kind, at all of that kind; ``fp`` is
+    then the group that each came from, ``up``."""
+    one = kinds.select("fp", "kind", F.col("one.row").alias("row"), F.col("one.p").alias("p"))
+    of_kind = found.join(one, ["fp", "row", "p"]).select("fp", "kind", "from", "to", "group")
+    return of_kind.join(members.select("fp", "kind", "row", "p", "up"), ["fp", "kind"]).select(F.col("up").alias("fp"), "row", "p", "from", "to", "group")
+
+
 def _halved(contexts: DataFrame, length: int) -> DataFrame:
     """Contexts of crowded groups as two each: of the strings whose anchor lies ``a`` to ``b``
     bytes behind their start, those below the middle and those from it on.  The new group is
     known by the bytes that all such strings have in common, the kind by all of them."""
     middle = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
     part = F.explode(F.array(F.struct(F.col("a").alias("a"), middle.alias("b")), F.struct(middle.alias("a"), F.col("b").alias("b")))).alias("d")
-    h = contexts.select("fp", "row", "p", F.col("lo").alias("from"), F.col("hi").alias("to"), "context", part).select("*", "d.a", "d.b")
+    h = contexts.withColumnsRenamed({"lo": "from", "hi": "to"}).withColumn("d", part).drop("a", "b").select("*", "d.a", "d.b")
     h = h.withColumn("lo", F.greatest("from", F.col("p") - F.col("b") + 1)).withColumn("hi", F.least("to", F.col("p") - F.col("a"))).where("a < b AND lo <= hi")
     common = F.expr(f"substring(context, p - a - from + 1, {length} - (b - 1 - a))")
     own = F.expr(f"substring(context, lo - from + 1, hi - lo + {length})")
-    h = h.select(F.xxhash64("fp", "a", "b", common).alias("fp"), "row", "p", "lo", "hi", "a", "b", own.alias("context"))
+    carried = [c for c in ("n",) if c in contexts.columns]
+    h = h.select(F.xxhash64("fp", "a", "b", common).alias("fp"), F.col("fp").alias("up"), "row", "p", "lo", "hi", "a", "b", own.alias("context"), *carried)
     return h.withColumn("kind", F.xxhash64("context", F.col("p") - F.col("lo")))
 
 
@@ -301,6 +363,51 @@ def repeats(rows: DataFrame, length: int = 200, k: int = 64, hot: int = 4096) ->
         few, many = left.where(F.col("m") <= hot), left.where(F.col("m") > hot)
 
 
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, k: int = 64, hot: int = 4096) -> DataFrame:
+    """(group, doc_id, lo, hi): the maximal repeats of ``length`` bytes or more with all their
+    occurrences; bytes lo to hi of the texts of a group are equal.
+
+    A repeat is maximal within the context of its anchor: a longer passage is a chain of
+    overlapping repeats, one for each anchor in it.  Rows of equal id and text share a row
+    of the result for each of theirs.  The result is as large as the repeats it lists.
+    """
+    rows = byte_rows(docs, id_col, text_col)
+    found = staged(_anchor_table(rows.select("row", "text"), length, k), "anchors")
+    groups = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("kind").alias("k0"), F.max("kind").alias("k1")).where("n > 1")
+    groups = staged(groups.select("fp", (F.col("k0") != F.col("k1")).alias("varied")), "groups")
+    shared = staged(found.join(groups, "fp"), "shared")
+    alike = shared.where("NOT varied").select(F.md5(F.concat_ws(" ", "fp", "kind")).alias("group"), "row", "lo", (F.col("hi") + length).alias("hi"))
+    members = shared.where("varied")
+    kinds = staged(members.groupBy("fp", "kind").agg(F.count("*").alias("n"), F.min(F.struct("row", "p", "lo", "hi")).alias("one")), "kinds")
+    crowded = staged(kinds.groupBy("fp").agg((F.count("*") > hot).alias("crowded")), "crowded")
+    times = kinds.select("fp", F.col("one.row").alias("row"), F.col("one.p").alias("p"), "n")
+    contexts = _contexts(rows.select("row", "text"), kinds.select("fp", "one.*"), length)
+    contexts = staged(contexts.join(times, ["fp", "row", "p"]).join(crowded, "fp"), "contexts")
+    width, many = length - k + 1, contexts.where("crowded")
+    levels, out = [(kinds, members.withColumn("up", F.col("fp")))], [_grouped(contexts.where("NOT crowded"), length)]
+    many = many.withColumns({"a": F.lit(0), "b": F.lit(width)})
+    while width > 1 and not many.isEmpty():
+        width = -(-width // 2)
+        halves = staged(_halved(many, length), "halves")
+        parts = halves.groupBy("fp", "kind").agg(F.sum("n").alias("n"), F.min(F.struct("row", "p", "lo", "hi", "a", "b", "context")).alias("one"))
+        parts = staged(parts, "half-kinds")
+        sizes = staged(parts.groupBy("fp").agg(F.count("*").alias("m")), "half-groups")
+        left = staged(parts.select("fp", "n", "one.*").join(sizes, "fp").where("m > 1 OR n > 1"), "half-contexts")
+        levels.append((parts, halves))
+        out.append(_grouped(left.where(F.col("m") <= hot), length))
+        many = left.where(F.col("m") > hot)
+    every = []
+    for depth, found in enumerate(out):  # from one anchor of a kind to all, level by level up
+        found = staged(found.distinct(), "found")
+        for parts, those in reversed(levels[: depth + 1]):
+            found = _of_kind(found, parts, those)
+        every.append(found.select("group", "row", (F.col("p") + F.col("from")).alias("lo"), (F.col("p") + F.col("to")).alias("hi")))
+    every = functools.reduce(DataFrame.unionByName, every)
+    told = staged(alike.unionByName(every).distinct(), "occurrences")
+    several = told.groupBy("group").count().where("count > 1").select("group")
+    return told.join(several, "group").join(rows.select("row", "doc_id"), "row").select("group", "doc_id", "lo", "hi")
+
+
 def byte_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("\x00")), F.lit("\x01"), text)))

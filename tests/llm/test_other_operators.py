@@ -305,6 +305,31 @@ def test_rows_of_equal_and_null_ids_stay_apart(spark):
     assert Counter((r["doc_id"], r["text"] or "") for r in got) == Counter([(None, a), (None, b), (7, c), (8, d), (8, e), (None, "")])
 
 
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_repeat_groups_hold_all_occurrences(spark, docs, rows, hot):
+    rng = random.Random(12)
+    bit = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, long = bit(260), bit(700)
+    texts = [bit(50) + shared + bit(40), shared + bit(30) + shared, long, bit(20) + long[:500], long[100:] + bit(10), long + "x", bit(300), None, ""]
+    texts += [bit(rng.randint(0, 30)) + shared[rng.randint(0, 40) :] + bit(5) for _ in range(8)] + [long] * 3
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    groups = {}
+    for r in suffix_repeats.repeat_groups(table, hot=hot).collect():
+        groups.setdefault(r["group"], set()).add((r["doc_id"], r["lo"], r["hi"]))
+    raws = [(t or "").encode() for t in texts]
+    assert len(groups) > 5
+    for at in groups.values():
+        (text,) = {raws[d][lo:hi] for d, lo, hi in at}
+        assert len(text) >= 200 and len(at) > 1
+        every = {(d, i, i + len(text)) for d, raw in enumerate(raws) for i in range(len(raw) - len(text) + 1) if raw[i : i + len(text)] == text}
+        assert at == every
+    # together they cover what is repeated
+    covered = [bytearray(len(r)) for r in raws]
+    for d, lo, hi in {x for at in groups.values() for x in at}:
+        covered[d][lo:hi] = b"\1" * (hi - lo)
+    assert covered == repeated_bytes(raws, 200)
+
+
 def test_components_and_buckets(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(50)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(40)]

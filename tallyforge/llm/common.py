@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import itertools
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark drop the shuffle files of what runs in the block when it has ended, not when
+    the driver happens to collect its garbage: what is written needs them no more."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
@@ -50,7 +64,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -70,7 +85,8 @@ class Scratch:
         table = f"{name}_{uuid.uuid4().hex}"
         path = f"{shared_dir(self.spark)}/{table}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.bucketBy(parts, key).options(path=path, compression="zstd").saveAsTable(table)
+        with shuffles_freed(self.spark):
+            df.write.bucketBy(parts, key).options(path=path, compression="zstd").saveAsTable(table)
         self.tables.append(table)
         self.paths.append(path)
         return self.spark.table(table)

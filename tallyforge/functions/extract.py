@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,6 +18,35 @@ NOT_INSURERS = (
 )
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 AMOUNT = r"([\d,]+\.\d{2})"
+STATEMENT = ("opening_balance", "total_deposits", "total_withdrawals", "total_checks", "ending_balance")
+#: How statements print their sums, in the order in which they are tried, and which group is what.
+STATEMENT_LAYOUTS = (
+    (
+        rf"Opening Ledger Balance\s+\${AMOUNT}\s+Deposits and Credits\s+\d+\s+\${AMOUNT}\s+Withdrawals and Debits\s+\d+\s+\${AMOUNT}\s+Checks Paid\s+\d+\s+\${AMOUNT}\s+Ending Ledger Balance\s+\${AMOUNT}",
+        {"opening_balance": 1, "total_deposits": 2, "total_withdrawals": 3, "total_checks": 4, "ending_balance": 5},
+    ),
+    (
+        rf"(?s)Previous Balance \${AMOUNT} Payments and Other Credits \(-\) \${AMOUNT} Purchases and Other Debits \(\+\) \${AMOUNT}.*?New Balance \${AMOUNT}",
+        {"opening_balance": 1, "total_deposits": 2, "total_withdrawals": 3, "ending_balance": 4},
+    ),
+    (rf"Amount:\s+{AMOUNT}\s+{AMOUNT}\s+{AMOUNT}-\s+{AMOUNT}-\s+{AMOUNT}", {"opening_balance": 1, "total_deposits": 2, "total_withdrawals": 3, "total_checks": 4, "ending_balance": 5}),
+    (rf"Beginning Balance:\s+\${AMOUNT}\s+Ending Balance:\s+\${AMOUNT}", {"opening_balance": 1, "ending_balance": 2}),
+    (
+        r"Beginning\s+Deposits and\s+Checks and\s+Ending\s+balance\s+other credits\s+other debits\s+balance\s+([\d,.]*)\s+([\d,.]+)\s+([\d,.]+)\s+([\d,.]*)",
+        {"opening_balance": 1, "total_deposits": 2, "total_withdrawals": 3, "ending_balance": 4},
+    ),
+    (rf"Total\s+\d+\s+{AMOUNT}\s+Total\s+\d+\s+{AMOUNT}", {"total_deposits": 1, "total_withdrawals": 2}),
+)
+#: What else stands beside the fourth layout.
+BOTH_TOTALS = rf"Total Debits/Credits\s+{AMOUNT}\s+{AMOUNT}"
+CHECKS_PAID = rf"Number Checks Paid: \d+ Totaling: \${AMOUNT}"
+#: Words for either balance, where no layout fits.
+OPENING_WORDS = rf"(?i)(?:Opening|Beginning|Previous) Balance[:\s]*\$?{AMOUNT}"
+ENDING_WORDS = rf"(?i)(?:Ending|Ending Ledger|New) Balance[:\s]*\$?{AMOUNT}"
+#: Words for an amount due, for other totals, and for totals that read from right to left.
+DUE_WORDS = r"AMOUNT\s*DUE|BALANCE\s*DUE|TOTAL\s*DUE|TOTAL\s*AMOUNT\s*DUE|INVOICED?\s*AMOUNT"
+TOTAL_WORDS = r"INVOICE\s*TOTAL|GRAND\s*TOTAL|TOTAL\s*PREMIUM|TOTALCURRENTPREMIUM|CURRENT\s*PREMIUM\s*DUE|TOTAL"
+TURNED_TOTAL_WORDS = r"LATOT|EUD\s*LATOT|EUD\s*TNUOMA|EUD\s*TNUOMA\s*LATOT"
 # --- end of fixed values ---
 
 
@@ -29,9 +59,10 @@ def money(text: Column) -> Column:
     return F.regexp_replace(text, "[,$ ]", "").try_cast("decimal(18,2)")
 
 
-def carrier(text: Column) -> Column:
+def carrier(text: Column, not_sites: Sequence[str] = ()) -> Column:
     """The insurer that the first 120 lines name: by a label, else the longest name of a
-    company (one that begins with a capital before others), else the web address."""
+    company (one that begins with a capital before others), else the web address, unless
+    that holds one of ``not_sites``, patterns of addresses that are no insurer's."""
     head = F.array_join(F.slice(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), 1, 120), "\n")
 
     def labelled(label: str) -> Column:
@@ -67,9 +98,9 @@ def stated_totals(text: Column) -> Column:
     totals, to which come those that read from right to left."""
     up = F.upper(F.coalesce(text, F.lit("")))
     every = lambda words, amount: F.regexp_extract_all(up, F.lit(rf"(?:{words})\s*[:$]*\s*{amount}"), F.lit(1))
-    due = every(r"AMOUNT\s*DUE|BALANCE\s*DUE|TOTAL\s*DUE|TOTAL\s*AMOUNT\s*DUE|INVOICED?\s*AMOUNT", r"([0-9,]+\.[0-9]{2})")
-    other = every(r"INVOICE\s*TOTAL|GRAND\s*TOTAL|TOTAL\s*PREMIUM|TOTALCURRENTPREMIUM|CURRENT\s*PREMIUM\s*DUE|TOTAL", r"([0-9,]+\.[0-9]{2})")
-    turned = F.transform(every(r"LATOT|EUD\s*LATOT|EUD\s*TNUOMA|EUD\s*TNUOMA\s*LATOT", r"([0-9]{2}\.[0-9,]+)\$"), lambda x: F.reverse(x))
+    due = every(DUE_WORDS, r"([0-9,]+\.[0-9]{2})")
+    other = every(TOTAL_WORDS, r"([0-9,]+\.[0-9]{2})")
+    turned = F.transform(every(TURNED_TOTAL_WORDS, r"([0-9]{2}\.[0-9,]+)\$"), lambda x: F.reverse(x))
     values = lambda xs: F.filter(F.transform(xs, lambda x: F.regexp_replace(x, ",", "").try_cast("double")), lambda x: x.isNotNull())
     return F.struct(values(due).alias("due"), values(F.concat(other, turned)).alias("other"))
 
@@ -147,34 +178,17 @@ def timestamp(text: Column) -> Column:
     return F.when(plain, F.concat(F.replace(t, F.lit(" "), F.lit("T")), F.lit("Z"))).otherwise(t).try_cast("timestamp")
 
 
-STATEMENT = ("opening_balance", "total_deposits", "total_withdrawals", "total_checks", "ending_balance")
-
-
 def statement_summary(text: Column) -> Column:
     """Opening and ending balance and totals, by the first of the known layouts that fits, else
     by the words for either balance."""
-    t, a = F.coalesce(text, F.lit("")), AMOUNT
-
-    def fields(pattern: str, **groups: int) -> Column:
-        return F.when(t.rlike(pattern), F.struct(*[(money(found(t, pattern, groups[n])) if n in groups else F.lit(None).cast("decimal(18,2)")).alias(n) for n in STATEMENT]))
-
-    ledger = rf"Opening Ledger Balance\s+\${a}\s+Deposits and Credits\s+\d+\s+\${a}\s+Withdrawals and Debits\s+\d+\s+\${a}\s+Checks Paid\s+\d+\s+\${a}\s+Ending Ledger Balance\s+\${a}"
-    card = rf"(?s)Previous Balance \${a} Payments and Other Credits \(-\) \${a} Purchases and Other Debits \(\+\) \${a}.*?New Balance \${a}"
-    signs = rf"Amount:\s+{a}\s+{a}\s+{a}-\s+{a}-\s+{a}"
-    ends = rf"Beginning Balance:\s+\${a}\s+Ending Balance:\s+\${a}"
-    head = r"Beginning\s+Deposits and\s+Checks and\s+Ending\s+balance\s+other credits\s+other debits\s+balance\s+([\d,.]*)\s+([\d,.]+)\s+([\d,.]+)\s+([\d,.]*)"
-    totals = rf"Total\s+\d+\s+{a}\s+Total\s+\d+\s+{a}"
-    pieces = F.when(t.rlike(ends), F.struct(
-        money(found(t, ends, 1)).alias("opening_balance"), money(found(t, rf"Total Debits/Credits\s+{a}\s+{a}", 2)).alias("total_deposits"), money(found(t, rf"Total Debits/Credits\s+{a}\s+{a}", 1)).alias("total_withdrawals"),
-        money(found(t, rf"Number Checks Paid: \d+ Totaling: \${a}")).alias("total_checks"), money(found(t, ends, 2)).alias("ending_balance"),
-    ))
+    t = F.coalesce(text, F.lit(""))
     none = F.lit(None).cast("decimal(18,2)")
-    words = F.struct(
-        money(found(t, rf"(?i)(?:Opening|Beginning|Previous) Balance[:\s]*\$?{a}")).alias("opening_balance"), none.alias("total_deposits"), none.alias("total_withdrawals"), none.alias("total_checks"),
-        money(found(t, rf"(?i)(?:Ending|Ending Ledger|New) Balance[:\s]*\$?{a}")).alias("ending_balance"),
-    )
-    return F.coalesce(
-        fields(ledger, opening_balance=1, total_deposits=2, total_withdrawals=3, total_checks=4, ending_balance=5), fields(card, opening_balance=1, total_deposits=2, total_withdrawals=3, ending_balance=4),
-        fields(signs, opening_balance=1, total_deposits=2, total_withdrawals=3, total_checks=4, ending_balance=5), pieces, fields(head, opening_balance=1, total_deposits=2, total_withdrawals=3, ending_balance=4),
-        fields(totals, total_deposits=1, total_withdrawals=2), words,
-    )
+
+    def fields(pattern: str, groups: dict[str, int]) -> Column:
+        found_ = {n: money(found(t, pattern, groups[n])) if n in groups else none for n in STATEMENT}
+        if set(groups) == {"opening_balance", "ending_balance"}:  # the totals stand elsewhere
+            found_ |= {"total_deposits": money(found(t, BOTH_TOTALS, 2)), "total_withdrawals": money(found(t, BOTH_TOTALS, 1)), "total_checks": money(found(t, CHECKS_PAID))}
+        return F.when(t.rlike(pattern), F.struct(*[found_[n].alias(n) for n in STATEMENT]))
+
+    words = {"opening_balance": money(found(t, OPENING_WORDS)), "ending_balance": money(found(t, ENDING_WORDS))}
+    return F.coalesce(*[fields(p, g) for p, g in STATEMENT_LAYOUTS], F.struct(*[words.get(n, none).alias(n) for n in STATEMENT]))

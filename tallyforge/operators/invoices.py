@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import name_key, plain
 from . import scan
 
-#: Parts of plan names that mark subtotals.
-AGGREGATE_PLANS = (
-    "PARTICIPANT PREMIUM|PARTICIPANT ADJUSTMENT|CURRENT PREMIUM|AMOUNT DUE|BILL BRANCH|NET AMOUNT|TOTAL BILLED|REPORTED INVOICE|LIFE INSURANCE BENEFITS|TOTAL FOR ALL BRANCHES|INVOICE SUMMARY"
+# --- fixed values: parts of plan names that mark subtotals, in rows and beside placeholders ---
+SUBTOTAL_PLANS = (
+    "PARTICIPANT PREMIUM", "PARTICIPANT ADJUSTMENT", "CURRENT PREMIUM", "AMOUNT DUE", "BILL BRANCH", "NET AMOUNT", "TOTAL BILLED", "REPORTED INVOICE", "LIFE INSURANCE BENEFITS", "TOTAL FOR BILL BRANCH", "TOTAL FOR ALL BRANCHES",
+    "INVOICE SUMMARY",
 )
+TOTAL_PLANS = ("TOTAL", "AMOUNT DUE", "BILL BRANCH", "NET AMOUNT", "REPORTED INVOICE", "LIFE INSURANCE BENEFITS")
+# --- end of fixed values ---
+AGGREGATE_PLANS = "|".join(SUBTOTAL_PLANS)
 
 
 def explode_items(docs: DataFrame, header: str, items: str, inherit: list[str]) -> DataFrame:
@@ -405,11 +409,11 @@ def flagged_rates(rates: DataFrame, limits: dict[str, float]) -> DataFrame:
     return rows
 
 
-def merge_integrity(before: DataFrame, after: DataFrame, amount: str) -> DataFrame:
-    """The sums before and after a merge of rows, and whether they agree to a cent."""
+def merge_integrity(before: DataFrame, after: DataFrame, amount: str, tolerance: float = 0.1) -> DataFrame:
+    """The sums before and after a merge of rows, and whether they agree to the tolerance."""
     b = before.agg(F.coalesce(F.sum(amount), F.lit(0)).cast("double").alias("before_sum"))
     a = after.agg(F.coalesce(F.sum(amount), F.lit(0)).cast("double").alias("after_sum"))
-    return b.withColumn("after_sum", a.scalar()).withColumn("intact", F.abs(F.col("before_sum") - F.col("after_sum")) < 0.01)
+    return b.withColumn("after_sum", a.scalar()).withColumn("intact", F.abs(F.col("before_sum") - F.col("after_sum")) < tolerance)
 
 
 def repair_placeholders(rows: DataFrame, doc: str, order: str, last: str, first: str, plan: str, premiums: list[str], carry: list[str]) -> DataFrame:
@@ -426,11 +430,11 @@ def repair_placeholders(rows: DataFrame, doc: str, order: str, last: str, first:
     for p in premiums:
         paid = paid | (F.coalesce(p, F.lit(0)) != 0)
     place = place | (weak & paid)
-    total = up(plan).rlike("TOTAL|AMOUNT DUE|BILL BRANCH|NET AMOUNT|REPORTED INVOICE|LIFE INSURANCE BENEFITS")
+    total = up(plan).rlike("|".join(TOTAL_PLANS))
     sums = total | up(first).contains("TOTAL") | up(last).contains("TOTAL")
     real = ~place & ~sums & (up(last) != "") & (up(last) != "MISSING")
-    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     fields = [last, first, *carry]
-    r = rows.withColumn("__place", place).withColumn("__person", F.last(F.when(real, F.struct(*fields)), ignorenulls=True).over(w))
+    r = rows.withColumns({"__place": place, "__named": F.when(real, F.struct(*fields))})
+    r = scan.running(r, doc, [order], {"__person": ("last", F.col("__named"))}, inclusive=False).drop("__named")
     r = r.where(~F.col("__place") | (~total & F.col("__person").isNotNull()))
     return r.withColumn("repaired", F.col("__place")).withColumns({c: F.when(F.col("__place"), F.col(f"__person.{c}")).otherwise(F.col(c)) for c in fields}).drop("__place", "__person")

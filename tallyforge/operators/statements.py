@@ -45,6 +45,7 @@ class Grammar:
     breaks: str = r"^\b$"
 
 
+# --- fixed values: headings, rows and ends of printed sections ---
 NOISE = r"(?i)^(?:Ledger|Date)\b|^Total\b|Page\s+\d+\s+of\s+\d+|\(continued\)|Account\s+Number:|\d{4}\s+through\s+"
 FINE_PRINT = r"|^\*\s|Annual\s+Percentage\s+Yield|Please\s+examine\s+this\s+statement|subject\s+to|notify\s+us|mailing\s+or|availability"
 LEDGER_ROW = rf"^({DAY})\s+(.+?)\s+\$?({SUM})\s*$"
@@ -53,6 +54,7 @@ CREDITS = Grammar(r"^[ \t]*Deposits\s+and\s+Credits[ \t]*$", (r"^[ \t]*Withdrawa
 WITHDRAWALS = Grammar(r"^[ \t]*Withdrawals\s+and\s+Debits[ \t]*$", (r"^[ \t]*Checks\s+Paid", r"^[ \t]*Daily\s+Balance", r"^[ \t]*Daily\s+Ending\s+Balance"), LEDGER_ROW, 1, 3, 2, NOISE + r"|^Withdrawals\s+and\s+Debits\b", "(?i)ledger date|amount|description")
 POSTED_CREDITS = Grammar(r"^\s*(?:DEPOSITS/CREDITS|TRANSACTIONS)\s*$", (r"^\s*CHARGES/DEBITS\s*$", r"^\s*CHECKS\s+PROCESSED\s*$"), POSTED + r"\s+(.+)$", 1, 2, 3, r"^\b$", rf"(?i)^(?:Posting|Effective|Date|Amount|Description)$|^{DAY}")
 POSTED_DEBITS = Grammar(r"^\s*CHARGES/DEBITS\s*$", (r"^\s*CHECKS\s+PROCESSED\s*$", r"^\s*DAILY\s+BALANCE\s*$"), POSTED + r"\s*-\s*(.*)$", 1, 2, 3, r"^\b$", rf"^{DAY}")
+# --- end of fixed values ---
 
 
 def dated_rows(docs: DataFrame, doc: str, text: str, g: Grammar) -> DataFrame:

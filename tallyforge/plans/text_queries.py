@@ -141,7 +141,7 @@ def extracted_facts(spark, d):
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     totals = extract.stated_totals(text("Amount Due ", (k + 1).cast("string"), ".50\nBalance due: 7.25\nGrand Total $", k.cast("string"), ".50\n83.431$ latot\nLATOT 83.431$"))
     return readers.table(spark, d, "customer").select(
-        "c_custkey", extract.carrier(pick(list(CARRIERS), k)).alias("carrier"), extract.claim_numbers(text("claim# ", k.cast("string"), " and Claim ", k.cast("string"), " claims")).alias("claims"),
+        "c_custkey", extract.carrier(pick(list(CARRIERS), k), ["mirrorsite"]).alias("carrier"), extract.claim_numbers(text("claim# ", k.cast("string"), " and Claim ", k.cast("string"), " claims")).alias("claims"),
         extract.estimated_annual(text("Estimated  annual $ ", F.format_number(k + 1000, 0), " or so")).cast("double").alias("annual"), totals["due"].alias("due"), totals["other"].alias("other"),
     )
 

@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
+#: DuckDB's SQL has no crc32: bit by bit over the bytes of an ASCII text ``{s}``.
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({s}, ''), lambda ch: ord(ch)::UBIGINT)),
+ lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)), 4294967295::UBIGINT)"""
+
 _own_dir: str | None = None
 
 

@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, dense_positions, staged
+from .common import CRC_SQL, Scratch, dense_positions, staged
 
 RADIX_BITS = 10
 FANOUT_BITS = 3
@@ -173,3 +173,26 @@ def digest(docs: DataFrame) -> DataFrame:
     told = manifest(docs, F.when(hit, F.translate("text", UPPER, LOWER)).otherwise(F.col("text")))
     out = told.select("doc_id", "leaf", "subroot", "root", F.sha2(proof(F.col("path")), 256).alias("proof_sha256"), folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+FIELD_SQL = "coalesce(octet_length(encode(CAST({c} AS VARCHAR)))::VARCHAR || ':' || CAST({c} AS VARCHAR), '-')"
+ORACLE_SQL = f"""WITH RECURSIVE d AS (
+  SELECT doc_id, lang, sha256({' || '.join(FIELD_SQL.format(c=c) for c in ('doc_id', 'source', 'lang', 'n_chars', 'text'))}) AS h,
+         CASE WHEN doc_id IS NOT NULL AND {CRC_SQL.format(s='CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN sha256({' || '.join(FIELD_SQL.format(c=c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || {FIELD_SQL.format(c="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS other FROM documents
+), l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d
+), t AS (SELECT 0 AS lv, lang, pos, n, h FROM l
+  UNION ALL SELECT lv + 1, lang, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lv, lang, pos // 8, n
+), s AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1
+), c AS (SELECT 0 AS lv, pos, n, h FROM s
+  UNION ALL SELECT lv + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM c WHERE n > 1 GROUP BY lv, pos // 8, n
+), b AS (SELECT lv, lang, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM t WHERE n > 1 WINDOW w AS (PARTITION BY lv, lang, pos // 8 ORDER BY pos)
+), e AS (SELECT lv, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM c WHERE n > 1 WINDOW w AS (PARTITION BY lv, pos // 8 ORDER BY pos)
+), p AS (SELECT l.lang, l.pos, b.lv, b.l, b.r FROM l JOIN b ON l.lang IS NOT DISTINCT FROM b.lang AND b.pos = l.pos >> CAST(3 * b.lv AS BIGINT)
+  UNION ALL SELECT l.lang, l.pos, 100 + e.lv, e.l, e.r FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang JOIN e ON e.pos = s.pos >> CAST(3 * e.lv AS BIGINT)
+), q AS (SELECT lang, pos, sha256(string_agg(l || r, '' ORDER BY lv)) AS proof, list({{'l': l, 'h': '', 'r': r}} ORDER BY lv) AS path FROM p GROUP BY lang, pos
+), o AS (SELECT doc_id, l.h AS leaf, s.h AS subroot, (SELECT h FROM c WHERE n = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256,
+  list_reduce(list_prepend({{'l': '', 'h': coalesce(other, l.h), 'r': ''}}, coalesce(path, [])), lambda a, x: {{'l': '', 'h': sha256(x.l || a.h || x.r), 'r': ''}}).h AS folded_root
+  FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang LEFT JOIN q ON l.lang IS NOT DISTINCT FROM q.lang AND l.pos = q.pos)
+SELECT *, folded_root = root AS verified FROM o"""

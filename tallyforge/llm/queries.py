@@ -85,4 +85,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_fuzzy_lines": fuzzy_lines.ORACLE_SQL,
     "op9_dart_minhash": dart_minhash.ORACLE_SQL,
     "op10_rule_cascade": quality_cascade.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op12_turn_automaton": turns.ORACLE_SQL,
 }

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, dense_positions, staged
+from .common import CRC_SQL, SPACES, Scratch, dense_positions, staged
 
 PIECE_BITS = 8
 FAN_BITS = 10
@@ -351,3 +351,24 @@ def digest(convs: DataFrame) -> DataFrame:
         zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in names]
         nothing = hashlib.sha256(b"").hexdigest()
         return staged(out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(nothing)).alias("repaired_sha256")), "repaired")
+
+
+ORACLE_SQL = f"""WITH RECURSIVE x AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC_SQL.format(s="(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM conversations
+), y AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM x
+), z AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), sha256(text), copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM y
+), o AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  coalesce(left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS bad FROM z
+), ins(q, pre, names, mid) AS (VALUES ('0', '', '', '0'), ('0', 'I', 'user:', 'u'), ('0', 'II', 'user:' || chr(10) || 'assistant:', 'a'), ('s', '', '', 's'), ('s', 'I', 'user:', 'u'), ('s', 'II', 'user:' || chr(10) || 'assistant:', 'a'),
+  ('u', '', '', 'u'), ('u', 'I', 'assistant:', 'a'), ('u', 'II', 'assistant:' || chr(10) || 'user:', 'u'), ('a', '', '', 'a'), ('a', 'I', 'user:', 'u'), ('a', 'II', 'user:' || chr(10) || 'assistant:', 'a')
+), ops(mid, letter, initial, too, due) AS (VALUES ('0', 'K', 's', 's', ''), ('0', 'K', 'u', 'u', ''), ('s', 'K', 'u', 'u', ''), ('u', 'K', 'a', 'a', ''), ('a', 'K', 'u', 'u', ''), ('0', 'R', '', 'u', 'user'), ('s', 'R', '', 'u', 'user'), ('u', 'R', '', 'a', 'assistant'), ('a', 'R', '', 'u', 'user'),
+  ('0', 'D', '', '0', ''), ('s', 'D', '', 's', ''), ('u', 'D', '', 'u', ''), ('a', 'D', '', 'a', '')
+), m AS (SELECT DISTINCT conv_id, n FROM o
+), r AS (SELECT conv_id, n + 1 AS i, q, {{'cost': cost, 'audit': audit, 'lines': lines}} AS best FROM m, (VALUES ('0', 0, '', ''), ('a', 0, '', ''), ('u', 2, 'I', 'assistant:'), ('s', 4, 'II', 'user:' || chr(10) || 'assistant:')) AS f(q, cost, audit, lines)
+  UNION ALL SELECT conv_id, i, q, min({{'cost': cost, 'audit': audit, 'lines': lines}}) FROM (
+    SELECT o.conv_id, o.i, ins.q, CAST(best.cost + 2 * length(pre) + CASE letter WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END AS INTEGER) AS cost, pre || letter || best.audit AS audit,
+           concat_ws(chr(10), nullif(names, ''), CASE letter WHEN 'K' THEN role || ':' || text WHEN 'R' THEN due || ':' || text END, nullif(best.lines, '')) AS lines
+    FROM r JOIN o ON o.conv_id IS NOT DISTINCT FROM r.conv_id AND o.i = r.i - 1 JOIN ops ON ops.too = r.q AND (letter <> 'K' OR initial = left(role, 1)) AND (letter = 'D' OR fault NOT IN ('blank', 'duplicate')) JOIN ins ON ins.mid = ops.mid) GROUP BY conv_id, i, q
+), g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal FROM o GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON c.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN r ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = 1 AND r.q = '0'"""

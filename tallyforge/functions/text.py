@@ -99,7 +99,12 @@ def plain(text: Column) -> Column:
 
 def name_key(first: Column, last: Column) -> Column:
     """A key that does not depend on which part is the first name."""
-    return F.array_join(F.array_sort(F.array(plain(first), plain(last))), "")
+    return plain_key(plain(first), plain(last))
+
+
+def plain_key(first: Column, last: Column) -> Column:
+    """``name_key`` of parts that are plain already."""
+    return F.concat(F.least(first, last), F.greatest(first, last))
 
 
 def id_text(raw: Column) -> Column:

@@ -16,9 +16,11 @@ def quality(text: Column) -> dict[str, Column]:
     """Counts and ratios that tell readable text from damaged text."""
     t = F.coalesce(text, F.lit(""))
     dense = F.length(F.regexp_replace(t, r"[\s$.,/\-:]+", ""))
-    alnum = F.length(F.regexp_replace(t, "[^a-zA-Z0-9]+", ""))
-    alpha = F.length(F.regexp_replace(t, "[^a-zA-Z]+", ""))
-    vowels = F.length(F.regexp_replace(t, "[^aeiouAEIOU]+", ""))
+    # each pass goes over what the one before left
+    kept = F.regexp_replace(t, "[^a-zA-Z0-9]+", "")
+    letters = F.regexp_replace(kept, "[0-9]+", "")
+    alnum, alpha = F.length(kept), F.length(letters)
+    vowels = F.length(F.regexp_replace(letters, "[^aeiouAEIOU]+", ""))
     lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: F.length(x) >= 5)
     noisy = F.size(F.filter(lines, lambda x: (F.length(F.regexp_replace(x, "[^a-zA-Z0-9]+", "")) * 2 < F.length(x)) | x.rlike(r"[|_]{3,}")))
     return {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import name_key, plain
+from ..functions.text import plain, plain_key
 from . import scan
 
 # --- fixed values: parts of plan names that mark subtotals, in rows and beside placeholders ---
@@ -29,10 +29,11 @@ def explode_items(docs: DataFrame, header: str, items: str, inherit: list[str])
 def merge_rows(rows: DataFrame, first: str, last: str, ids: list[str], plan: Column, dates: list[str], sums: list[str], carry: list[str], order: list[str]) -> DataFrame:
     """Rows of one person, plan and date become one: amounts add up, other fields keep
     their first value.  Rows naming a total, or nobody, stay as they are."""
-    total = plain(F.col(first)).contains("TOTAL") | plain(F.col(last)).contains("TOTAL") | plan.contains("TOTAL") | ((plain(F.col(first)) == "") & (plain(F.col(last)) == ""))
+    f, l, p = (F.col(c) for c in ("__first", "__last", "__plan"))  # each text is cleaned once a row
+    total = f.contains("TOTAL") | l.contains("TOTAL") | p.contains("TOTAL") | ((f == "") & (l == ""))
     ident = F.coalesce(*[F.nullif(plain(F.col(c)), F.lit("")) for c in ids], F.lit("NO_ID"))
-    keyed = rows.withColumn("__total", total)
-    keys = [name_key(F.col(first), F.col(last)).alias("k_name"), ident.alias("k_id"), plan.alias("k_plan"), *[F.coalesce(F.col(d).cast("string"), F.lit("NONE")).alias(f"k_{d}") for d in dates]]
+    keyed = rows.withColumns({"__first": plain(F.col(first)), "__last": plain(F.col(last)), "__plan": plan}).withColumn("__total", total)
+    keys = [plain_key(f, l).alias("k_name"), ident.alias("k_id"), p.alias("k_plan"), *[F.coalesce(F.col(d).cast("string"), F.lit("NONE")).alias(f"k_{d}") for d in dates]]
     firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in [first, last, *carry]]
     merged = keyed.where("NOT __total").groupBy(*keys).agg(*firsts, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.count("*").alias("merged_rows"))
     kept = keyed.where("__total").select(first, last, *carry, *sums, F.lit(1).cast("long").alias("merged_rows"))

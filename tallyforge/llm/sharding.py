@@ -17,6 +17,7 @@ has the id and the sharding columns only, so other columns of the input cannot c
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,9 +26,8 @@ from pyspark.sql import functions as F
 from .common import staged, unit_hash
 
 ROW_BYTES = 16
-MAX_RANGES = 4096
-#: Ranges are sampled again until none is overfull; that so many times do not suffice is an error.
-MAX_ROUNDS = 8
+#: Ranges number the square root of the rows up to here; from then on they hold more rows.
+MAX_RANGES = 1 << 15
 
 
 def _key(k: Column, doc: Column, row: Column) -> Column:
@@ -77,15 +77,13 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     ranges = max(1, min(MAX_RANGES, max(16 * shards, math.isqrt(n))))
     weight = F.col("size") / F.lit(max(total, 1))
     bounds = staged(_quantiles(rows, weight, ranges * draws_per_range, draws_per_range, seed), "shard-bounds")
-    for again in range(1, MAX_ROUNDS + 1):
+    for again in itertools.count(1):  # ranges are sampled again until none is overfull
         cut = _cut(rows, bounds)
         most_rows, most_bytes = 3 * n / ranges, 3 * total / ranges
         totals = cut.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.max("size").alias("one"))
         over = [r["range"] for r in totals.where((F.col("n") > 1) & ((F.col("n") > most_rows) | (F.col("b") > most_bytes + F.col("one")))).collect()]
         if not over:
             break
-        if again == MAX_ROUNDS:
-            raise RuntimeError(f"{len(over)} ranges are still overfull")
         # by rows, where short texts crowd a range: each of its rows counts alike
         more = _quantiles(cut.where(F.col("range").isin(over)), weight + F.lit(1.0 / max(n, 1)), ranges * draws_per_range / 2, draws_per_range // 2, seed + again)
         bounds = staged(bounds.unionByName(more).agg(F.sort_array(F.flatten(F.collect_list("bounds"))).alias("bounds")), "shard-bounds")

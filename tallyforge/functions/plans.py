@@ -56,6 +56,11 @@ def spaced_plan(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"^(?i:TG)([A-Za-z&])", "TG $1"), r"(\bP)(\d{4})", "$1 $2")
 
 
+def blue_type(name: Column) -> Column:
+    """A blue plan has no type of its own, but a bare category is its own type."""
+    return F.when(F.upper(name).isin(*PLAIN_CATEGORIES), name)
+
+
 def blue_plan(name: Column) -> Column:
     """A blue plan's name: no location in front, no tier words, BLUECARE first, NFO read as
     NFQ.  Bare categories stay as they are."""

@@ -74,6 +74,13 @@ def vendor_line(invoices: DataFrame, vendor: str, amount: str, order: list[str],
     return a.withColumn("line", head.scalar()).select(F.concat("line", more).alias("vendors"), "invoices", "total_value")
 
 
+def first_vendors(invoices: DataFrame, vendor: str, order: list[str], shown: int = 5) -> DataFrame:
+    """One text with the first vendors in order, each once: all that is shown is gathered, no more."""
+    first = invoices.where(F.col(vendor).isNotNull()).groupBy(vendor).agg(F.min(F.struct(*order)).alias("at"))
+    head = first.orderBy("at").limit(shown)
+    return head.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", vendor))), lambda x: x[vendor]), ", ").alias("vendors"))
+
+
 def unpivot_premiums(wide: DataFrame, ids: list[str], values: list[str], name: str, value: str) -> DataFrame:
     """Wide premium columns to a row each; empty and zero cells give none."""
     return wide.unpivot(ids, values, name, value).where(F.col(value).isNotNull() & (F.col(value) != 0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import plans, text
 from ..operators import bank, invoices, lines, monitoring, setops
 from ..sources import readers
 from . import bindings as b
@@ -42,6 +42,20 @@ def section_slice(spark, d):
     return readers.table(spark, d, "documents").select("doc_id", lines.section(F.col("text"), "the", [r"\."]).alias("part"))
 
 
+@query("SELECT string_agg(s_name, ', ' ORDER BY s_suppkey) AS vendors FROM (SELECT s_name, s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 5)")
+def first_vendors(spark, d):
+    """The first five vendors of a summary page."""
+    return invoices.first_vendors(readers.table(spark, d, "supplier"), "s_name", ["s_suppkey"])
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Dental' WHEN 1 THEN NULL END AS type, CASE c_custkey % 3 WHEN 0 THEN 'Dental' WHEN 1 THEN 'BLUECARE NFQ' END AS plan FROM customer")
+def blue_plans(spark, d):
+    """Blue plans have no type; bare categories are both type and name."""
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 0, "Dental").when(k % 3 == 1, "JAX NFO BLUECARE USE")
+    return readers.table(spark, d, "customer").select("c_custkey", plans.blue_type(name).alias("type"), plans.blue_plan(name).alias("plan"))
+
+
 @query("SELECT doc_id, CAST(pos AS INTEGER) AS pos FROM l WHERE pos % 6 = 0", LINES)
 def header_gaps(spark, d):
     return lines.headers_apart(_lines(spark, d), "doc_id", "pos", 5)

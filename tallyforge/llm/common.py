@@ -89,8 +89,10 @@ class Scratch:
         table = f"{name}_{uuid.uuid4().hex}"
         path = f"{shared_dir(self.spark)}/{table}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        with shuffles_freed(self.spark):
-            df.write.bucketBy(parts, key).options(path=path, compression="zstd").saveAsTable(table)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        self.spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY (`{key}`) INTO {parts} BUCKETS LOCATION '{path}'")
+        with shuffles_freed(self.spark):  # an insert into the table, whose shuffles Spark knows, unlike those of a save as table
+            df.write.insertInto(table)
         self.tables.append(table)
         self.paths.append(path)
         return self.spark.table(table)

@@ -101,13 +101,17 @@ class Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        """Deletes all that was staged so far."""
         for t in self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {t}")
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for p in self.paths:
             path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
-        self.paths = []
+        self.paths, self.tables = [], []
 
 
 def numbered(docs: DataFrame, id_col: str, name: str) -> DataFrame:

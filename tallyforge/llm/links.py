@@ -112,33 +112,36 @@ def resolve(
     texts of different components share their rarest tokens too.
     """
     with Scratch(nodes.sparkSession) as scratch:
+        early = Scratch(nodes.sparkSession)  # what goes before large buckets are worked on
         bands = nodes.select("id", F.explode("keys").alias("key")).where("key IS NOT NULL")
-        sizes = scratch.staged(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("c")).where("n > 1"), "sizes")
-        members = scratch.staged(bands.join(sizes, "key"), "members")
+        sizes = early.staged(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("c")).where("n > 1"), "sizes")
+        members = early.staged(bands.join(sizes, "key"), "members")
         large = members.where(F.col("n") > small)
         pairs = members.where((F.col("n") <= small) & (F.col("id") != F.col("c"))).select(*pair("c", "id"))
         some_large = not large.isEmpty()
         if some_large:
             score = large.groupBy("id").agg(F.sum("n").alias("score"))
-            scored = scratch.staged(large.select("id", "key").join(score, "id"), "scored")
-            hubs = scratch.staged(scored.groupBy("key").agg(F.max(F.struct("score", "id"))["id"].alias("c")), "hubs")
+            scored = early.staged(large.select("id", "key").join(score, "id"), "scored")
+            hubs = early.staged(scored.groupBy("key").agg(F.max(F.struct("score", "id"))["id"].alias("c")), "hubs")
             pairs = pairs.unionByName(scored.join(hubs, "key").where("id <> c").select(*pair("c", "id")))
         found = [scratch.staged(verify(pairs.distinct()), "verified")]
         labels = components(found[0])
 
-        def unsettled(rows: DataFrame) -> DataFrame:
+        def unsettled(rows: DataFrame, scratch: Scratch) -> DataFrame:
             """The rows of buckets with more than one component, with labels."""
             told = scratch.staged(rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "told")
             mixed = told.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
             return scratch.staged(told.join(scratch.staged(mixed, "mixed"), "key"), "unsettled")
 
-        few = unsettled(members.where(F.col("n").between(3, small)))
+        few = unsettled(members.where(F.col("n").between(3, small)), early)
         other = few.select("key", F.col("id").alias("id2"), F.col("label").alias("label2"))
         pairs = few.join(other, "key").where("label <> label2 AND id < id2").select(*pair("id", "id2")).distinct()
         found.append(scratch.staged(verify(pairs), "verified"))
         labels = joined(labels, found[-1])
+        large = scratch.staged(large.select("key", "id"), "large")
+        early.clear()
         if some_large:
-            crowded = unsettled(large).select("key", "id", "label")
+            crowded = unsettled(large, scratch).select("key", "id", "label")
             if not crowded.isEmpty():
                 sets = tokens(crowded.select("id").distinct())
                 found.append(scratch.staged(verify(close_pairs(crowded, sets, threshold, scratch)), "verified"))

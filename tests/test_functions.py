@@ -146,3 +146,22 @@ def test_empty_tables_of_the_new_operators(spark):
     assert statements.deposits(texts, "doc", "text").count() == 0 and statements.debits(texts, "doc", "text").count() == 0
     rows = spark.createDataFrame([], "doc long, n long, plan string, current decimal(18,2), adjustment decimal(18,2)")
     assert invoices.three_totals(rows, "plan", "current", "adjustment").count() == 3
+
+
+def test_pages_are_turned_with_words_broken_or_not(spark):
+    from tallyforge.operators import text_checks as t
+
+    rows = [("a\n[[PAGE_1]]eciovni\nan.am-uh x[[PAGE_22]]upright\ntext--- PAGE", "a\n[[PAGE_1]]inv\n"), ("[[PAGE_3]]abc", None), ("", None), (None, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string, x string").select(t.pages_turned_back(F.col("t"))).collect()]
+    assert got == ["a\n[[PAGE_1]]invoice\nx hu-ma.na[[PAGE_22]]upright\ntext--- PAGE", "[[PAGE_3]]abc", "", None]
+
+
+def test_passes_over_a_text_do_not_repeat(spark):
+    """Each pattern stands in the plan a bounded number of times: it was there for every word or use."""
+    from tallyforge.operators import documents as d, text_checks as t
+
+    df = spark.createDataFrame([("x",)], "t string")
+    times = lambda c, sign: df.select(c.alias("c"))._jdf.queryExecution().analyzed().toString().count(sign)
+    assert times(t.pages_turned_back(F.col("t")), "[^a-zA-Z0-9]+") == 1
+    assert times(d.quality_reasons(d.quality(F.col("t"))), "[\\s$.,/\\-:]+") == 1
+    assert times(t.measured(F.col("t"), F.lit(1)), "[\\s$.,/\\-:]+") == 1

@@ -129,14 +129,23 @@ def explode_years(rows: DataFrame, years: str, order: list[str]) -> DataFrame:
 def cascade_match(left: DataFrame, right: DataFrame, key: str, rules: list[tuple[str, Column, Column]]) -> DataFrame:
     """(key, match, rule): each row of ``left`` with the least ``id`` of ``right`` that the
     first rule with any match gives.  A rule is a name and a key expression on either side;
-    rows that one rule has matched do not reach the next."""
-    out, rest = [], left
-    for name, lk, rk in rules:
-        r = right.select(rk.alias("__k"), "id").where("__k IS NOT NULL AND __k <> ''").groupBy("__k").agg(F.min("id").alias("match"))
-        hit = rest.withColumn("__k", lk).join(r, "__k").select(key, "match", F.lit(name).alias("rule"))
-        out.append(hit)
-        rest = rest.join(hit.select(key), key, "left_anti")
-    return reduce(lambda a, b: a.unionByName(b), out)
+    rows that one rule has matched do not reach the next.
+
+    The rules' answers are one table, with the keys that both sides have; rows are joined to
+    it rule by rule, and those that have no key to ask for are dealt by their own."""
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), lk.cast("string").alias("__k")) for i, (_, lk, _) in enumerate(rules)]))
+    asked = left.select(asked.alias("a")).select("a.*").where("__k <> ''").distinct()
+    known = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), rk.cast("string").alias("__k"), F.col("id")) for i, (_, _, rk) in enumerate(rules)]))
+    known = right.select(known.alias("a")).select("a.*").where("__k <> ''").groupBy("i", "__k").agg(F.min("id").alias("match"))
+    answers = shared.written(known.join(asked, ["i", "__k"], "left_semi"), "matches")
+    rest = left.select(F.col(key), *[lk.cast("string").alias(f"__k{i}") for i, (_, lk, _) in enumerate(rules)])
+    rest = rest.withColumns({"match": F.lit(None).cast(answers.schema["match"].dataType), "rule": F.lit(None).cast("string")})
+    for i, (name, _, _) in enumerate(rules):
+        k = F.when(F.col("match").isNull() & (F.col(f"__k{i}") != ""), F.col(f"__k{i}")).otherwise(F.concat(F.lit("\0"), F.xxhash64(key).cast("string")))
+        of = answers.where(F.col("i") == i).select(F.col("__k"), F.col("match").alias("__m"))
+        rest = rest.withColumn("__k", k).join(of, "__k", "left")
+        rest = rest.withColumn("rule", F.when(F.col("__m").isNotNull(), F.lit(name)).otherwise(F.col("rule"))).withColumn("match", F.coalesce("match", "__m")).drop("__k", "__m", f"__k{i}")
+    return rest.where("match IS NOT NULL").select(key, "match", "rule")
 
 
 def absent(rows: DataFrame, known: DataFrame, keys: dict[str, Column]) -> DataFrame:

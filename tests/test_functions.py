@@ -165,3 +165,20 @@ def test_passes_over_a_text_do_not_repeat(spark):
     assert times(t.pages_turned_back(F.col("t")), "[^a-zA-Z0-9]+") == 1
     assert times(d.quality_reasons(d.quality(F.col("t"))), "[\\s$.,/\\-:]+") == 1
     assert times(t.measured(F.col("t"), F.lit(1)), "[\\s$.,/\\-:]+") == 1
+
+
+def test_cascade_reads_its_rows_once(spark):
+    from tallyforge.operators import lines
+
+    left = spark.createDataFrame([(1, "a", "x"), (2, "", "x"), (3, None, "y"), (4, "zz", None), (4, "a", ""), (5, "b", "y")], "k int, p string, q string")
+    right = spark.createDataFrame([(9, "a", "x"), (7, "a", "y"), (8, "", "x"), (3, None, "y")], "id int, p string, q string")
+    out = lines.cascade_match(left, right, "k", [(c, F.col(c), F.col(c)) for c in "pq"])
+    assert sorted(map(tuple, out.collect())) == [(1, 7, "p"), (2, 8, "q"), (3, 3, "q"), (4, 7, "p"), (5, 3, "q")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_statements_are_printed_once(spark):
+    from tallyforge.plans import catalog
+
+    plan = catalog.QUERIES["statement_debits"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_type" not in plan

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import extract
 from ..functions.money import cents
 from ..operators import statements as ops
-from ..sources import readers
+from ..sources import readers, shared
 from .catalog import query
 
 KIND = {"credit": ("signup", "view"), "debit": ("purchase", "click"), "check": ("error",)}
@@ -63,8 +63,10 @@ def _columns():
 
 
 def _statements(spark, d):
+    """Printed once: each section is read from the table, not from the events again."""
     k = F.col("doc") % 3
-    return _events(spark, d).select("doc", F.when(k == 0, _ledger()).when(k == 1, _posted()).otherwise(_columns()).alias("text"))
+    printed = _events(spark, d).select("doc", F.when(k == 0, _ledger()).when(k == 1, _posted()).otherwise(_columns()).alias("text"))
+    return shared.written(printed, "statements")
 
 
 EVENTS = """e AS (SELECT user_id AS doc, event_id AS id, CASE WHEN event_type IN ('signup', 'view') THEN 'credit' WHEN event_type IN ('purchase', 'click') THEN 'debit' WHEN event_type = 'error' THEN 'check' END AS kind,

@@ -378,3 +378,12 @@ def test_links_in_crowded_buckets_are_found(spark):
 @pytest.mark.parametrize("run", [tiff.digest, dart_minhash.digest, suffix_repeats.digest, lambda d: simple8b.digest(d, WORD_FILE), lambda d: bpe.digest(d, BYTE_FILE)])
 def test_empty_table(none, run):
     assert run(none).count() == 0
+
+
+def test_all_trusted_documents_are_counted_and_set_thresholds(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text number {i} of some", "en" if i % 3 else None) for i in range(30)], "doc_id long, text string, lang string")
+    counted, ranked, count_grams, quantiles = [], [], kneser_ney.count_grams, kneser_ney.quantiles
+    monkeypatch.setattr(kneser_ney, "count_grams", lambda texts, *more: counted.append(texts.count()) or count_grams(texts, *more))
+    monkeypatch.setattr(kneser_ney, "quantiles", lambda rows, *more: ranked.append(rows.count()) or quantiles(rows, *more))
+    assert kneser_ney.classify(df, df.where("doc_id < 20").select("doc_id")).count() == 30
+    assert counted == [20] and set(ranked) == {20}

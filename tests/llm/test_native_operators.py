@@ -186,6 +186,25 @@ def test_fuzzy_lines_without_spaces_and_short_lines(spark):
     assert gone == {i for i in range(len(lines)) if label[i] != i}
 
 
+def test_sketches_let_no_similar_line_go(spark):
+    """Pairs at the threshold and far below it, with repeated shingles and characters of two
+    units: the bits lose none of the first, whatever the length, and let most others go."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh \U0001f600" if n % 2 else "abcdefgh ") for _ in range(n))
+    rows, near = [], {}
+    for i in range(300):
+        x = text(rng.randrange(8, 400)) * rng.choice((1, 1, 2))
+        y = x + text(max(1, len(x) // 6)) if i % 2 else x[: len(x) // 2] + text(len(x) // 2)
+        rows += [(2 * i, x), (2 * i + 1, y)]
+        a, b = ({t[j : j + 8] for j in range(max(1, len(t) - 7))} for t in (x, y))
+        near[i] = len(a & b) >= 0.8 * len(a | b)
+    signed = fuzzy_lines.signatures(spark.createDataFrame(rows, "h long, line string"), 8).select("id", F.struct("size", "bits", "minima").alias("s"))
+    pairs = signed.where("id % 2 = 0").select((F.col("id") / 2).cast("long").alias("i"), F.col("s").alias("a")).join(signed.where("id % 2 = 1").select(((F.col("id") - 1) / 2).cast("long").alias("i"), F.col("s").alias("b")), "i")
+    got = {r["i"]: r["stay"] for r in pairs.select("i", fuzzy_lines.few_differ(F.col("a"), F.col("b"), 0.8).alias("stay")).collect()}
+    assert len(got) == 300 and sum(near.values()) > 80 and all(got[i] for i in near if near[i])
+    assert sum(not x for x in got.values()) > 50
+
+
 def test_lines_of_equal_and_null_ids_are_removed_by_row(spark):
     rows = [(None, "alpha line one\nbeta line two"), (None, "gamma line three\nalpha line one"), (5, "delta line four\nbeta line two"), (5, "epsilon line five\nzeta line six"), (6, "eta line seven"), (6, "eta line seven"), (None, None)]
     got = [(r["doc_id"], r["text"]) for r in fuzzy_lines.deduplicated_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]

@@ -375,6 +375,26 @@ def test_links_in_crowded_buckets_are_found(spark):
     assert all(got[i] == i // 2 * 2 for i in got) and len(got) == 600
 
 
+def test_what_signing_made_goes_before_sketches_are_compared(spark):
+    """Ids of a bucket above ``small`` meet by sketch, and only what a sketch leaves is verified."""
+    sets = {i: {1000 * (i % 100) + k for k in range(10)} for i in range(200)}
+    asked, early = [], []
+
+    def verify(pairs):
+        got = [(r["a"], r["b"]) for r in pairs.collect()]
+        asked.append(len(got))
+        return spark.createDataFrame([p for p in got if sets[p[0]] == sets[p[1]]], "a long, b long")
+
+    def sketches():
+        early.append(len(asked))
+        return spark.range(200).select("id", (F.col("id") % 100).alias("sketch"))
+
+    nodes = spark.range(200).select("id", F.array(F.lit(1).cast("long")).alias("keys"))
+    _, labels = links.resolve(nodes, verify, lambda ids: pytest.fail("no bucket is so large"), 0.8, small=32, paired=512, sketches=sketches, may_link=lambda a, b: a == b)
+    got = {r["id"]: r["label"] for r in labels.collect()}
+    assert got == {i: i % 100 for i in range(200)} and asked[0] == 199 and asked[1] <= 100 and early == [1]
+
+
 @pytest.mark.parametrize("run", [tiff.digest, dart_minhash.digest, suffix_repeats.digest, lambda d: simple8b.digest(d, WORD_FILE), lambda d: bpe.digest(d, BYTE_FILE)])
 def test_empty_table(none, run):
     assert run(none).count() == 0

@@ -400,6 +400,17 @@ def test_empty_table(none, run):
     assert run(none).count() == 0
 
 
+def test_few_texts_are_moved_for_counting(spark):
+    """Every trusted row stays, also of ids of another type and of repeated ids; of the others
+    few, unless the slots are full."""
+    df = spark.createDataFrame([(i % 4000, f"t{i}") for i in range(5000)], "doc_id int, text string")
+    ids = spark.range(0, 4000, 10).select(F.col("id").alias("doc_id"))
+    near = [r["doc_id"] for r in kneser_ney.maybe_trusted(df, ids).collect()]
+    assert sum(i % 10 == 0 for i in near) == 500 and len(near) < 520
+    assert kneser_ney.maybe_trusted(df, ids, 64).count() > 4900
+    assert kneser_ney.maybe_trusted(df, ids).columns == df.columns and kneser_ney.maybe_trusted(df, ids.limit(0)).count() == 0
+
+
 def test_all_trusted_documents_are_counted_and_set_thresholds(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"text number {i} of some", "en" if i % 3 else None) for i in range(30)], "doc_id long, text string, lang string")
     counted, ranked, count_grams, quantiles = [], [], kneser_ney.count_grams, kneser_ney.quantiles

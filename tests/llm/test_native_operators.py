@@ -205,6 +205,35 @@ def test_sketches_let_no_similar_line_go(spark):
     assert sum(not x for x in got.values()) > 50
 
 
+def test_pairs_of_large_families_are_not_made_one_by_one(spark):
+    """Versions of one text, each with an eighth of its own, lie just below the threshold: they
+    share buckets, sketches tell few of them apart, and pairs must not grow with their square."""
+    from tallyforge.llm import links
+
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    base, n, asked = text(600), 200, []
+    lines = [base[: 8 * (k % 40)] + text(70) + base[8 * (k % 40) + 70 :] for k in range(n)]
+    lines += [x + "!" for x in lines[:3]]
+    texts = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    sets = {k: {x[j : j + 8] for j in range(len(x) - 7)} for k, x in enumerate(lines)}
+    want = {(a, b) for a, b in similar([sets[k] for k in sorted(sets)], 0.8)}
+    signed = fuzzy_lines.signatures(texts, 8).cache()
+
+    def verify(pairs):
+        asked.append(sorted((r["a"], r["b"]) for r in pairs.collect()))
+        return spark.createDataFrame([x for x in asked[-1] if x in want], "a long, b long")
+
+    tokens = lambda ids: texts.join(ids.withColumnRenamed("id", "h"), "h").select(F.col("h").alias("id"), fuzzy_lines.shingle_set(F.col("line"), 8).alias("tokens"))
+    sketches = lambda: signed.select("id", F.struct("size", "bits", "minima").alias("sketch"))
+    found, labels = links.resolve(signed.select("id", "keys"), verify, tokens, 0.8, paired=512, sketches=sketches, may_link=lambda a, b: fuzzy_lines.few_differ(a, b, 0.8))
+    label = union(len(lines), sorted(want))
+    got = {r["id"]: r["label"] for r in labels.collect()}
+    assert all(got.get(k, k) == label[k] for k in range(len(lines)))
+    # a centre for each band, and pairs of small buckets (3585 in all; 16692 when larger buckets made pairs too)
+    assert sum(map(len, asked)) < n * (fuzzy_lines.GROUPS + links.SMALL // 2)
+
+
 def test_lines_of_equal_and_null_ids_are_removed_by_row(spark):
     rows = [(None, "alpha line one\nbeta line two"), (None, "gamma line three\nalpha line one"), (5, "delta line four\nbeta line two"), (5, "epsilon line five\nzeta line six"), (6, "eta line seven"), (6, "eta line seven"), (None, None)]
     got = [(r["doc_id"], r["text"]) for r in fuzzy_lines.deduplicated_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]

@@ -11,7 +11,7 @@ from brute import repeated_bytes, shingle_set, similar, union
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import Scratch
-from tallyforge.llm import bpe, dart_minhash, kneser_ney, links, queries, simple8b, suffix_repeats, tiff
+from tallyforge.llm import bpe, dart_minhash, fuzzy_lines, kneser_ney, links, queries, simple8b, suffix_repeats, tiff
 
 WORD_FILE, BYTE_FILE = (queries.tokenizer_file(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 ODD = ["", "a", "aaa aaaa aaaaaaa", "<|endoftext|> x<|endoftext|><|startoftext|>y", "don't  I'll\n\n\t x \x1c\x1d a\x1cb  ", "日本語 テキスト 😀😀 Ünïcödé", "  lead", "trail  ", "İSTANBUL ΑΣ ΣΑΣ Σ", "1234 12a34 ...,,, !!!???", "x" * 3000, "ab" * 2000]
@@ -418,3 +418,27 @@ def test_all_trusted_documents_are_counted_and_set_thresholds(spark, monkeypatch
     monkeypatch.setattr(kneser_ney, "quantiles", lambda rows, *more: ranked.append(rows.count()) or quantiles(rows, *more))
     assert kneser_ney.classify(df, df.where("doc_id < 20").select("doc_id")).count() == 30
     assert counted == [20] and set(ranked) == {20}
+
+
+def test_only_lines_that_are_compared_are_written(spark, monkeypatch):
+    """Of 301 lines two are like another; no table holds the texts of others."""
+    rng = random.Random(12)
+    lines = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(20)) for _ in range(300)]
+    df = spark.createDataFrame([(i, line) for i, line in enumerate([*lines, lines[7] + "x"])], "doc_id long, text string")
+    texts, written = [], Scratch.staged
+    monkeypatch.setattr(Scratch, "staged", lambda self, t, *name: texts.append(t.count() if "line" in t.columns else 0) or written(self, t, *name))
+    dealt = Scratch.bucketed
+    monkeypatch.setattr(Scratch, "bucketed", lambda self, t, *more: texts.append(out.count() if "line" in (out := dealt(self, t, *more)).columns else 0) or out)
+    got = {r["doc_id"]: r["removed"] for r in fuzzy_lines.removed_lines(df).collect()}
+    assert [i for i, gone in got.items() if gone] == [300] and max(texts) == 2
+
+
+def test_close_groups_are_joined_before_tokens_are_asked_for(spark):
+    """A bucket of two groups: the centre joins its own, centres by sketch the other."""
+    def verify(pairs):
+        return spark.createDataFrame([(r["a"], r["b"]) for r in pairs.collect() if r["a"] // 100 == r["b"] // 100], "a long, b long")
+
+    nodes = spark.range(200).select("id", F.array(F.lit(1).cast("long")).alias("keys"))
+    sketches = lambda: spark.range(200).select("id", (F.expr("id div 100") * 1000 + F.col("id")).alias("sketch"))
+    _, labels = links.resolve(nodes, verify, lambda ids: pytest.fail("no id has another to meet"), 0.8, paired=512, sketches=sketches, may_link=lambda a, b: F.abs(a - b) < 500, rounds=3)
+    assert {r["id"]: r["label"] for r in labels.collect()} == {i: i // 100 * 100 for i in range(200)}

@@ -442,3 +442,45 @@ def test_close_groups_are_joined_before_tokens_are_asked_for(spark):
     sketches = lambda: spark.range(200).select("id", (F.expr("id div 100") * 1000 + F.col("id")).alias("sketch"))
     _, labels = links.resolve(nodes, verify, lambda ids: pytest.fail("no id has another to meet"), 0.8, paired=512, sketches=sketches, may_link=lambda a, b: F.abs(a - b) < 500, rounds=3)
     assert {r["id"]: r["label"] for r in labels.collect()} == {i: i // 100 * 100 for i in range(200)}
+
+
+def test_letters_of_other_scripts_are_symbols_of_their_own(spark):
+    """Each letter is told from those that shared a class with it, and perplexities are those of
+    a plain model over all letters."""
+    from collections import defaultdict
+    from math import exp, log
+
+    table = kneser_ney.symbol_table()
+    letters = "абвгдежзийклмнопрстуфхцчшщыэюя" + "".join(map(chr, range(0x4E00, 0x4E60))) + "ąęłő"
+    assert len({int(table[ord(c)]) for c in letters + "abcdefghijklmnopqrstuvwxyz"}) == len(letters) + 26
+    rng = random.Random(2)
+    words = ["".join(rng.choice(letters) for _ in range(3)) for _ in range(12)] + ["the", "cat", "łódź"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(30)] + ["ωξ the"]
+    seen = {int(table[ord(c)]) for t in texts[:25] for c in t if table[ord(c)] >= 64}
+    symbol = lambda c: s if (s := int(table[ord(c)])) < 64 or s in seen else kneser_ney.OTHER
+    grams = lambda t: [tuple(s[i - 3 : i + 1]) for s in [[0, 0, 0, *map(symbol, t)]] for i in range(3, len(s))]
+    counts, levels = Counter(g for t in texts[:25] for g in grams(t)), []
+    for _ in range(4):
+        n = [sum(c == i for c in counts.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
+        d = [0] + [max(0.1, min(i - 0.1, i - (i + 1) * y * n[i + 1] / n[i] if y is not None and n[i] else 0.75)) for i in (1, 2, 3)]
+        total, mass = defaultdict(int), defaultdict(float)
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            mass[g[:-1]] += d[min(c, 3)]
+        levels.append((counts, d, total, mass))
+        counts = Counter(g[1:] for g in counts)
+
+    def p(g, level=0):
+        if level == 4:
+            return 1 / (64 + len(seen))
+        counts, d, total, mass = levels[level]
+        if g[:-1] not in total:
+            return p(g[1:], level + 1)
+        own = (counts[g] - d[min(counts[g], 3)]) / total[g[:-1]] if g in counts else 0.0
+        return own + mass[g[:-1]] / total[g[:-1]] * p(g[1:], level + 1)
+
+    df = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.classify(df, df.where("doc_id < 25").select("doc_id"), held_out=0).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] / exp(-sum(log(p(x)) for x in grams(t)) / len(t)) - 1) < 1e-3
